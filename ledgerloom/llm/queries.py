@@ -159,10 +159,10 @@ with words as (
   select chunk_uid, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s from words where len(w) >= 40
 ), each as (select chunk_uid, len(s) as n, unnest(s) as g from sets),
 shared as (
-  select a.chunk_uid as uid_a, b.chunk_uid as uid_b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as both
+  select a.chunk_uid as uid_a, b.chunk_uid as uid_b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as hits
   from each a join each b on a.g = b.g and a.chunk_uid < b.chunk_uid group by 1, 2
 )
-select uid_a, uid_b from shared where both >= 0.6 * (na + nb - both)
+select uid_a, uid_b from shared where hits >= 0.6 * (na + nb - hits)
 """
 
 _P6_LINES = r"""
