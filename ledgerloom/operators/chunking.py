@@ -89,7 +89,7 @@ def chunk_documents(
     characters yield nothing; ids are given before the quality filter, so they may have gaps."""
     src = df.select(F.col(doc_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(m) for m in metadata])
     src = src.filter(F.length(T.strip("text")) >= rules.MIN_CHUNK_LENGTH).withColumn("s", T.sentences("text"))
-    src = src.select("doc_id", "s", F.transform("s", counter).alias("n"), F.to_json(F.struct(F.lit(0).alias("_"), *metadata)).alias("meta"))
+    src = src.select("doc_id", "s", F.transform("s", lambda x: counter(x)).alias("n"), F.to_json(F.struct(F.lit(0).alias("_"), *metadata)).alias("meta"))
     budget = int(size * overlap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

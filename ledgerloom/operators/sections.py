@@ -72,17 +72,18 @@ def match_sections(titles: DataFrame, text_col: str, form_col: str) -> DataFrame
     The catalog becomes one ordered CASE of literals, so the match is a projection: no join, no shuffle."""
     t, form = F.col(text_col), F.col(form_col)
     known = {n: (title, p) for n, title, p in rules.SECTIONS}
-    cleaned = F.when(form.isin(*rules.REPORT_FORMS), T.clean_title(strip_item(t))).otherwise(T.clean_title(t))
-    family = form_family(form)
+    # columns of their own: computed once, and the generated code stays small
+    titles = titles.withColumn("_k", T.clean_title(F.when(form.isin(*rules.REPORT_FORMS), strip_item(t)).otherwise(t))).withColumn("_f", form_family(form)).withColumn("_r", is_risk_title(t, form))
+    cleaned, family = F.col("_k"), F.col("_f")
     hit = F.lit(None).cast("string")
     for fam, names in (("10-K", rules.SECTIONS_10K), ("10-Q", rules.SECTIONS_10Q), ("S-1", rules.SECTIONS_S1)):
         case = None
         for n in names:
-            cond = is_risk_title(t, form) if n == "RISK_FACTORS" else cleaned.rlike(known[n][1])
+            cond = F.col("_r") if n == "RISK_FACTORS" else cleaned.rlike(known[n][1])
             case = F.when(cond, n) if case is None else case.when(cond, n)
         hit = F.when(family == fam, case).otherwise(hit)
     named = F.create_map(*[F.lit(x) for n, (title, _) in known.items() for x in (n, title)])
-    return titles.withColumn("section", hit).withColumn("section_title", F.element_at(named, F.col("section")))
+    return titles.withColumn("section", hit).withColumn("section_title", F.element_at(named, F.col("section"))).drop("_k", "_f", "_r")
 
 
 def _doc(doc: str = "doc_id", pos: str = "pos") -> Window:

@@ -49,14 +49,14 @@ def path_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-select chunk_id, uploaded_at, case when regexp_matches(n, '^([A-Z]+)_(\d{4})_unified_chunks$') then regexp_extract(n, '^([A-Z]+)_(\d{4})_unified_chunks$', 1) else ticker end as ticker,
+select chunk_id, case when regexp_matches(n, '^([A-Z]+)_(\d{4})_unified_chunks$') then regexp_extract(n, '^([A-Z]+)_(\d{4})_unified_chunks$', 1) else ticker end as ticker,
   case when regexp_matches(n, '^([A-Z]+)_(\d{4})_unified_chunks$') then regexp_extract(n, '^([A-Z]+)_(\d{4})_unified_chunks$', 2) else year end as year,
   regexp_matches(n, '^([A-Z]+)_(\d{4})_unified_chunks$') as name_ok
 from (select *, coalesce(ticker, '') || '_' || coalesce(year, '') || '_unified_chunks' as n from tsla_2023_unified_chunks)""")
 def name_metadata(spark: SparkSession, d: str) -> DataFrame:
     """SRC6: ticker and year by the name of the file."""
     stem = F.concat(F.coalesce("ticker", F.lit("")), F.lit("_"), F.coalesce("year", F.lit("")), F.lit("_unified_chunks"))
-    return parsed.with_name_metadata(_tsla(spark, d), stem).select("chunk_id", "uploaded_at", "ticker", "year", "name_ok")
+    return parsed.with_name_metadata(_tsla(spark, d), stem).select("chunk_id", "ticker", "year", "name_ok")
 
 
 @query("select ticker as key, ticker, cast(first_year as varchar) as year from companies")
@@ -144,8 +144,8 @@ def flatten_metadata(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {ONE},
 n as (select *, row_number() over (order by chunk_id) - 1 as i, case when page % 2 = 0 then null else chunk_id end as given from one)
 select chunk_id, case when trim(coalesce(given, '')) <> '' then trim(given)
-  when ticker is not null and year is not null then format('{{}}_{{}}_{{}}_{{}}_{{}}', replace(lower(coalesce(type, 'text')), ' ', '_'), ticker, year, lpad(cast(coalesce(page, 0) as varchar), greatest(3, length(cast(coalesce(page, 0) as varchar))), '0'), '0007')
-  when ticker is not null then format('{{}}_{{}}_{{}}_{{}}', replace(lower(coalesce(type, 'text')), ' ', '_'), ticker, lpad(cast(coalesce(page, 0) as varchar), greatest(3, length(cast(coalesce(page, 0) as varchar))), '0'), '0007')
+  when ticker is not null and year is not null then format('{{}}_{{}}_{{}}_{{}}_{{}}', replace(lower(coalesce(type, 'text')), ' ', '_'), ticker, year, lpad(cast(coalesce(page, 0) as varchar), cast(greatest(3, length(cast(coalesce(page, 0) as varchar))) as int), '0'), '0007')
+  when ticker is not null then format('{{}}_{{}}_{{}}_{{}}', replace(lower(coalesce(type, 'text')), ' ', '_'), ticker, lpad(cast(coalesce(page, 0) as varchar), cast(greatest(3, length(cast(coalesce(page, 0) as varchar))) as int), '0'), '0007')
   else 'chunk_' || md5(coalesce(text, ''))[1:8] || '_0007' end as id from n""")
 def fallback_ids(spark: SparkSession, d: str) -> DataFrame:
     """PRJ4: chunks of even pages lose their id and get one."""
@@ -182,10 +182,10 @@ def served_images(spark: SparkSession, d: str) -> DataFrame:
     return t.select("chunk_id", T.mime_type(F.regexp_extract("p", r"(\.[^./]*)$", 1)).alias("mime"), inside.alias("inside"))
 
 
-@query("select chunk_id, uploaded_at, type from tsla_2023_unified_chunks where type in ('Text', 'Section header', 'Title', 'List') and trim(coalesce(text, '')) <> ''")
+@query("select chunk_id, type from tsla_2023_unified_chunks where type in ('Text', 'Section header', 'Title', 'List') and trim(coalesce(text, '')) <> ''")
 def text_elements(spark: SparkSession, d: str) -> DataFrame:
     """FLT4, FLT6."""
-    return _tsla(spark, d).filter(F.col("type").isin(*rules.TEXT_TYPES) & (F.trim(F.coalesce("text", F.lit(""))) != "")).select("chunk_id", "uploaded_at", "type")
+    return _tsla(spark, d).filter(F.col("type").isin(*rules.TEXT_TYPES) & (F.trim(F.coalesce("text", F.lit(""))) != "")).select("chunk_id", "type")
 
 
 def _elements(spark: SparkSession, d: str) -> DataFrame:
@@ -259,7 +259,7 @@ c as (select *, row_number() over (partition by doc_id, page, kind order by cseq
 u as (select e.seq, e.doc_id, e.page, e.kind, cast(c.block_id as int) as block_id from e join c using (doc_id, page, kind, n) where trim(coalesce(c.caption, '')) <> ''
   union all select seq, doc_id, page, type, null from el where type in ('Text', 'Section header', 'Title', 'List') and trim(coalesce(text, '')) <> ''),
 r as (select *, row_number() over (partition by doc_id order by seq) - 1 as i from u)
-select seq, kind, i as "index", case when block_id is null then 'text' else lower(kind) end || '_' || lpad(cast(page as varchar), greatest(3, length(cast(page as varchar))), '0') || '_' || lpad(cast(coalesce(block_id, i) as varchar), greatest(3, length(cast(coalesce(block_id, i) as varchar))), '0') as chunk_id from r""")
+select seq, kind, i as "index", case when block_id is null then 'text' else lower(kind) end || '_' || lpad(cast(page as varchar), cast(greatest(3, length(cast(page as varchar))) as int), '0') || '_' || lpad(cast(coalesce(block_id, i) as varchar), cast(greatest(3, length(cast(coalesce(block_id, i) as varchar))) as int), '0') as chunk_id from r""")
 def unified_chunks(spark: SparkSession, d: str) -> DataFrame:
     """E2: ST1, ST2, PRJ3, WN5, TK7."""
     u = layout.unified_chunks(_elements(spark, d), _clippings(spark, d), "doc_id", "page_number", F.lit("tsla-20231231"))

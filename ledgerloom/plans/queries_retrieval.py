@@ -115,7 +115,7 @@ def _words(col: str) -> str:
 
 _OV = f"(len(list_intersect({_words('a')}, {_words('t')})) / greatest(len({_words('a')}), 1))"
 #: Answers are the first sentences of items, sources the chunks of the same filing: pairs met by an equi-join on doc_id.
-ANSWERS = f"""an as (select section_uid as qid, doc_id, split_part(regexp_replace(text, '([.!?])[{S}]+', '\\1' || chr(1), 'g'), chr(1), 1) || ' ' || split_part(regexp_replace(text, '([.!?])[{S}]+', '\\1' || chr(1), 'g'), chr(1), 2) as a from sec_sections where text is not null and doc_id is not null),
+ANSWERS = f"""an as (select section_uid as qid, doc_id, split_part(regexp_replace(text, '([.!?])[{S}]+', '\\1' || chr(57344), 'g'), chr(57344), 1) || ' ' || split_part(regexp_replace(text, '([.!?])[{S}]+', '\\1' || chr(57344), 'g'), chr(57344), 2) as a from sec_sections where text is not null and doc_id is not null),
 src as (select an.qid, an.a, c.chunk_uid, coalesce(c.text, '') as t, upper(coalesce(trim(c.ticker), '')) as ticker, c.year, row_number() over (partition by an.qid order by c.chunk_uid) as rank from an join sec_chunks c using (doc_id))"""
 
 
@@ -169,7 +169,7 @@ _REPLIES = (
 )
 
 
-@query("select * from (values " + ", ".join(f"({k}, round({s!r}, 6), {v!r}::varchar[], {u!r}::varchar[])" for k, _, s, v, u in _REPLIES) + ") t(k, score, verified_sources, unverified_claims)")
+@query("select * from (values " + ", ".join(f"({k}, round({s!r}::double, 6), {v!r}::varchar[], {u!r}::varchar[])" for k, _, s, v, u in _REPLIES) + ") t(k, score, verified_sources, unverified_claims)")
 def fact_check(spark: SparkSession, d: str) -> DataFrame:
     """SC27, SC28, AG11, JN7, ML6's parsing on canned replies."""
     r = spark.createDataFrame([(k, t) for k, t, *_ in _REPLIES], "k int, reply string")

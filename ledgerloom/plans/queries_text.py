@@ -67,7 +67,7 @@ def char_ratios(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text is not null").select("doc_id", F.round(T.letter_ratio(t), 6).alias("letters"), F.round(T.symbol_ratio(t), 6).alias("symbols"), T.byte_length(t).cast("bigint").alias("n_bytes"), T.has_financial_sign(t).alias("financial"))
 
 
-@query(f"select doc_id, len(s) as n_sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) as longest from (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[{S}]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_strip('x')} <> '') as s from documents where text is not null)")
+@query(f"select doc_id, len(s) as n_sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) as longest from (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[{S}]+', '\\1' || chr(57344), 'g'), chr(57344)), lambda x: {_strip('x')} <> '') as s from documents where text is not null)")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     """SC8."""
     s = table(spark, d, "documents").filter("text is not null").select("doc_id", T.sentences("text").alias("s"))
@@ -168,10 +168,10 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.clean_text("text").alias("clean"))
 
 
-@query(f"select chunk_id, nullif({_strip('''array_to_string(list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(x, '(?i)^[''' + S + ''']*Image:')), chr(10))''')}, '') as body, uploaded_at from tsla_2023_unified_chunks")
+@query(f"select chunk_id, nullif({_strip('''array_to_string(list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(x, '(?i)^[''' + S + ''']*Image:')), chr(10))''')}, '') as body from tsla_2023_unified_chunks")
 def drop_image_lines(spark: SparkSession, d: str) -> DataFrame:
     """SC13."""
-    return table(spark, d, "tsla_2023_unified_chunks").select("chunk_id", T.drop_image_lines("text").alias("body"), "uploaded_at")
+    return table(spark, d, "tsla_2023_unified_chunks").select("chunk_id", T.drop_image_lines("text").alias("body"))
 
 
 @query(f"select chunk_uid, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[{S}]+'), lambda x: x <> ''))) as n from sec_chunks where text is not null")
@@ -187,8 +187,8 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""
-with a as (select section_uid, regexp_replace(text, '(?i)(item\s+(?:1a|1b|7a|7|8|9|15))', chr(1) || '\1', 'g') as t from sec_sections where text is not null),
-b as (select section_uid, unnest(string_split(t, chr(1))) as block, unnest(range(0, len(string_split(t, chr(1))))) as ord from a),
+with a as (select section_uid, regexp_replace(text, '(?i)(item\s+(?:1a|1b|7a|7|8|9|15))', chr(57344) || '\1', 'g') as t from sec_sections where text is not null),
+b as (select section_uid, unnest(string_split(t, chr(57344))) as block, unnest(range(0, len(string_split(t, chr(57344))))) as ord from a),
 c as (select section_uid, ord, upper(regexp_extract(block, '(?i)^(item\s+(?:1a|1b|7a|7|8|9|15))', 1)) as item, trim(regexp_replace(block, '[{S}]+', ' ', 'g')) as text from b)
 select section_uid, dense_rank() over (partition by section_uid order by ord) as nr, item, md5(text) as h from c where item <> '' and text <> ''""")
 def item_blocks(spark: SparkSession, d: str) -> DataFrame:
