@@ -88,7 +88,7 @@ def _boxes(s: str) -> bool:
 
 
 @lru_cache(maxsize=1)
-def _automaton():
+def _automaton():  # built once in each worker process
     """Pattern -> (kind, what, weak): kind "u" with the encodings UTF-8 was read as, "l" with Latin and "c" with Cyrillic pairs."""
     import ahocorasick
 
@@ -111,11 +111,11 @@ def _automaton():
     for true, read in ONE_BYTE:
         to, back = _table(read), _back(true)
         for c in [*sorted(_LETTERS - set(_ASCII)), "’"]:
-            if c in back and (g := to[back[c]]) != c and not g.isascii() and not (g in _LETTERS and g.islower()):
+            if c in back and (g := to[back[c]]) != c and not g.isascii() and not (g in _LETTERS and g.islower() and g != "ÿ"):
                 for a in _ASCII:  # a small letter with an accent is never taken for wrong by itself
-                    if g not in _LETTERS or a.islower():
+                    if g not in _LETTERS or g.isupper():
                         add(a + g, "l", (true, read))
-                    if g not in _LETTERS:
+                    if g not in _LETTERS or g == "ÿ":
                         add(g + a, "l", (true, read))
     for true, read in CYRILLIC:
         to, back = _table(read), _back(true)
@@ -211,14 +211,16 @@ def _wrong_chars(word: str) -> bool:
             continue
         left, right = w[i - 1 : i] if i else "", w[i + 1 : i + 2]
         beside = (left.isalpha() and left.isascii()) + (right.isalpha() and right.isascii())
-        if "\x80" <= c <= "\x9f":
+        if "\x80" <= c <= "\x9f" or c == "ÿ" and not left:
             return True
         if c not in _LETTERS and c not in "’‘–—-…·“”„ªº®™©°²³¹½¼¾§¶•»«€£µ":
             if beside:
                 return True
+        elif c == "·" and beside == 2 and (left.lower(), right.lower()) != ("l", "l"):
+            return True
         elif c not in _LETTERS and right.isalpha() and left.isalpha() and c not in "’‘–—-…·“”„µ":
             return True
-        elif c.isupper() and left.islower() and (right.islower() or not right):
+        elif c.isupper() and left.isalpha() and (right.islower() or not right and left.islower()):
             return True
     return False
 
@@ -305,6 +307,64 @@ def _cyrillic_round(text: str, hits: list[tuple[int, int, dict]]) -> tuple[str,
     return text, []
 
 
+def _signs(true: str, read: str, chars: str) -> dict[str, str]:
+    """What signs of one encoding look like in another, backwards."""
+    to, back = _table(read), _back(true)
+    return {to[back[c]]: c for c in chars}
+
+
+_OEM, _MAC = _signs("cp1252", "cp437", "“”–—•€£±²½×©®§"), _signs("cp1252", "mac_roman", "“”–—•€")
+#: Signs that became letters or blocks: a letter as quotation marks, between numbers, before a number or as a word by itself,
+#: and blocks that stand alone.
+_SIGN = re.compile(
+    r"(?<=\d)[ûñ](?=\d)|(?<!\S)[ùûòñï](?=\s)|(?<![\wÄÇú])[ÄÇú](?=\d)|⌐"
+    r"|(?<![\u2500-\u259f])[▒▓╜╫](?![\u2500-\u259f])"
+)
+_QUOTED = re.compile(r"(?<!\w)([ôì])(\w(?:[^ôöìî\n]{0,80}\w)?)([öî])(?!\w)")
+
+
+def _sign_round(text: str) -> tuple[str, list[str]]:
+    """Repairs lone signs; a letter that only one of the two encodings explains names the encoding."""
+    used: list[str] = []
+
+    def one(m: re.Match) -> str:
+        g = m.group()
+        name, table = ("mac_roman", _MAC) if g in _MAC and g not in _OEM else ("cp437", _OEM)
+        if g not in table:
+            return g
+        used.append(f"cp1252>{name}")
+        return table[g]
+
+    def pair(m: re.Match) -> str:
+        if m.group(1) + m.group(3) not in ("ôö", "ìî"):
+            return m.group()
+        used.append("cp1252>cp437" if m.group(1) == "ô" else "cp1252>mac_roman")
+        return f"“{m.group(2)}”"
+
+    return _SIGN.sub(one, _QUOTED.sub(pair, text)), list(dict.fromkeys(used))
+
+
+#: Letters of Central European words that Western ones turn into, and letters that only the former have.
+_EAST, _ONLY_EAST, _WEST = frozenset("ńŕűčőţřŘŃŔČ"), re.compile("[łąęśżźćěšžůťďňŁĄĘŚŻŹĆĚŠŽŮ]"), re.compile(r"\w*[éèçíóáâêãöüßàñ]\w*")
+
+
+def _east_round(text: str) -> tuple[str, list[str]]:
+    """Western text read in the Central European encoding: its stray letters in the company of Western words only."""
+    if not _EAST.intersection(text) or _ONLY_EAST.search(text) or sum(1 for w in _WEST.findall(text) if not _EAST.intersection(w)) < 3:
+        return text, []
+    used = []
+
+    def one(m: re.Match) -> str:
+        word = m.group()
+        new = _convert(word, ("cp1252", "cp1250")) if _EAST.intersection(word) else word
+        if new == word or not _right(new):
+            return word
+        used.append("cp1252>cp1250")
+        return new
+
+    return _TOKEN.sub(one, text), used[:1]
+
+
 _LOST = re.compile("�|(?<![\\w/?=&%])[^\\W\\d_]*[^\\W\\d_]\\?[^\\W\\d_]+(?![\\w/=&%])")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 
@@ -313,30 +373,34 @@ def restore(text: str | None) -> tuple[bool, str | None, bool, str]:
     """(affected, restored text, part of the original is lost, the encodings undone in order)."""
     if not text:
         return False, text, False, ""
-    machine, how, lost = _automaton(), [], False
-    now = text
-    if not text.isascii():
-        hits = [(end, n, kinds) for end, (n, kinds) in machine.iter(now)]
-        if hits:
-            now, how = _cyrillic_round(now, hits)
+    how, lost, now = [], False, text
+    if not text.isascii() and (hits := _hits(text)):
+        now, how = _cyrillic_round(text, hits)
         for _ in range(3):
-            hits = [(end, n, kinds) for end, (n, kinds) in machine.iter(now)]
-            if not hits:
-                break
+            hits = _hits(now) if how else hits
             new, used, gone = _utf8_round(now, hits)
             lost |= gone
             how += [f"utf-8>{x}" for x in used]
             if new == now:
                 break
             now = new
+        hits = _hits(now) if how else hits
         if any("l" in kinds for _, _, kinds in hits):
-            now, used = _latin_round(now, [(end, n, kinds) for end, (n, kinds) in machine.iter(now)])
+            now, used = _latin_round(now, hits)
+            how += used
+    if not text.isascii():
+        for step in (_sign_round, _east_round):
+            now, used = step(now)
             how += used
         lost |= bool(_CONTROL.search(now))
-    lost |= bool(_LOST.search(now))
+    lost |= ("?" in now or "\ufffd" in now) and bool(_LOST.search(now))
     return bool(how) or lost, now, lost, ",".join(dict.fromkeys(how))
 
 
+def _hits(text: str) -> list[tuple[int, int, dict]]:
+    return [(end, n, kinds) for end, (n, kinds) in _automaton().iter(text)]
+
+
 def restore_encoding(df: DataFrame, id_col: str, text_col: str, affected_only: bool = False) -> DataFrame:
     """``id_col``, affected, restored, lost, path for every row (or the affected ones). Narrow: no shuffle. Texts that
     cannot be affected (ASCII without a question mark between letters) are settled in the JVM if only affected rows are
