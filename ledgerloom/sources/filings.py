@@ -25,7 +25,7 @@ def read_filings(spark: SparkSession, root: str, name: str = "full-submission.tx
     """One row per submission under ``root``: path metadata and raw text; bytes that are no UTF-8 are dropped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
     inside = F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+/[^/]+)$", 1)
-    text = F.replace(F.decode(F.col("content"), "utf-8"), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return files.select(*[c.alias(k) for k, c in path_metadata(inside).items()], text.alias("raw_text"), inside.alias("path"))
 
 
