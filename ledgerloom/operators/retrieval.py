@@ -58,28 +58,40 @@ def top_k_batch(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame,
     src = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), *on).filter("v is not null")
     kinds = (queries.schema[q_id].dataType.simpleString(), src.schema["id"].dataType.simpleString())
 
+    free = [q for q in range(len(qid)) if all(w[q] is None for w in want)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s = np.full((len(qid), 0), 0.0)
         best_i: list[list] = [[] for _ in qid]
+
+        def keep(q: int, s: np.ndarray, rows: np.ndarray | None, ids: list) -> None:
+            top = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+            best_i[q] = sorted([*best_i[q], *((-s[j], ids[j if rows is None else rows[j]]) for j in top)])[:k]
+
         for batch in batches:
             if not batch.num_rows or not qid:
                 continue
             v = batch.column(1)
             m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             n = np.sqrt((m * m).sum(1, keepdims=True))
-            sims = matrix @ (m / np.where(n > 0, n, 1)).T
-            for c, values in enumerate(want):
-                have = np.array(batch.column(2 + c).to_pylist(), dtype=object)
-                for q, w in enumerate(values):
-                    if w is not None:
-                        sims[q][have != w] = -np.inf
+            m /= np.where(n > 0, n, 1)
             ids = batch.column(0).to_pylist()
+            if free:
+                sims = matrix[free] @ m.T
+                for i, q in enumerate(free):
+                    keep(q, sims[i], None, ids)
+            where: list[dict] = []  # of each column: value -> rows of the batch
+            for c in range(len(on)):
+                at: dict = {}
+                for r, x in enumerate(batch.column(2 + c).to_pylist()):
+                    at.setdefault(x, []).append(r)
+                where.append({x: np.array(r) for x, r in at.items() if x is not None})
+            none = np.array([], int)
             for q in range(len(qid)):
-                s = sims[q]
-                cut = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-                keep = np.flatnonzero((s >= cut) & (s > -np.inf))
-                best_i[q] = sorted([*best_i[q], *((-s[j], ids[j]) for j in keep)])[:k]
-        del best_s
+                parts = [where[c].get(w[q], none) for c, w in enumerate(want) if w[q] is not None]
+                if parts:
+                    rows = reduce(lambda x, y: np.intersect1d(x, y, assume_unique=True), parts)
+                    if len(rows):
+                        keep(q, m[rows] @ matrix[q], rows, ids)
         out = [(qid[q], i, -s) for q, found in enumerate(best_i) for s, i in found]
         yield pa.RecordBatch.from_pylist([{"q": a, "id": b, "score": float(c)} for a, b, c in out], schema=pa.schema([("q", _arrow(kinds[0])), ("id", _arrow(kinds[1])), ("score", pa.float64())]))
 

@@ -13,8 +13,7 @@ from ledgerloom.functions import rules, text as T
 
 def overlap(answer: Column, chunk: Column) -> Column:
     """Share of the answer's words that occur in the chunk."""
-    a = T.word_set(answer)
-    return F.size(F.array_intersect(a, T.word_set(chunk))) / F.greatest(F.size(a), F.lit(1))
+    return T.let(T.word_set(answer), lambda a: F.size(F.array_intersect(a, T.word_set(chunk))) / F.greatest(F.size(a), F.lit(1)))
 
 
 def alignment(answer: Column, chunks: Column, first: int = 5) -> Column:

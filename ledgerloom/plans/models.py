@@ -29,18 +29,23 @@ class HashedWords:
     def __init__(self, dim: int = 64):
         self.dim = dim
 
-    def vector(self, text: str | None) -> np.ndarray:
-        v = np.zeros(self.dim)
-        for w in re.findall(r"\w+", (text or "").lower()):
-            h = zlib.crc32(w.encode())
-            v[h % self.dim] += 1 if h >> 31 else -1
+    def vector(self, text: str | None, known: dict | None = None) -> np.ndarray:
+        known = {} if known is None else known
+        words = re.findall(r"\w+", (text or "").lower())
+        for w in words:
+            if w not in known:
+                h = zlib.crc32(w.encode())
+                known[w] = h % self.dim if h >> 31 else h % self.dim + self.dim
+        n = np.bincount([known[w] for w in words], minlength=2 * self.dim)
+        v = (n[: self.dim] - n[self.dim :]).astype(float)
         n = np.sqrt(v @ v)
         return v / n if n else v
 
     def embed(self, text: Column) -> Column:
         @F.pandas_udf("array<float>")
         def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda t: self.vector(t).astype("float32"))
+            known: dict = {}
+            return s.map(lambda t: self.vector(t, known).astype("float32"))
 
         return run(text)
 

@@ -9,7 +9,7 @@ from ledgerloom.functions import rules, text as T, vectors
 from ledgerloom.operators import context, detect, retrieval, verify
 from ledgerloom.plans import models, pipelines
 from ledgerloom.plans.queries_text import S, _count, _strip
-from ledgerloom.runtime import table
+from ledgerloom.runtime import spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -260,5 +260,5 @@ def answer_questions(spark: SparkSession, d: str) -> DataFrame:
     answer and its verification."""
     q = table(spark, d, "companies").select(F.xxhash64("ticker").alias("query_id"), F.format_string("What did %s say about revenue?", "company_name").alias("query"), "ticker", F.lit(None).cast("int").alias("year"))
     e = models.HashedWords()
-    c = table(spark, d, "sec_chunks").filter("text is not null").select(F.col("chunk_uid").cast("string").alias("chunk_id"), "text", "ticker", "year")
+    c = spread(table(spark, d, "sec_chunks").filter("text is not null").select(F.col("chunk_uid").cast("string").alias("chunk_id"), "text", "ticker", "year"))
     return pipelines.answer_questions(q, c.withColumn("v", e.embed(F.col("text"))), embedder=e)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import rules, text as T
 from ledgerloom.operators import chunking, sections
-from ledgerloom.runtime import table
+from ledgerloom.runtime import spread, table
 
 S = rules.SPACE
 QUERIES, SQL = {}, {}
@@ -52,25 +52,25 @@ GOOD = f"""(length({_strip('t')}) >= 50
 @query(f"select chunk_uid, {GOOD} as keep from (select chunk_uid, coalesce(text, '') as t from sec_chunks)")
 def quality_filter(spark: SparkSession, d: str) -> DataFrame:
     """FLT1, SC11, SC12, AG9: keep or drop each chunk."""
-    return table(spark, d, "sec_chunks").select("chunk_uid", T.is_good_chunk("text").alias("keep"))
+    return spread(table(spark, d, "sec_chunks").select("chunk_uid", "text")).select("chunk_uid", T.is_good_chunk("text").alias("keep"))
 
 
 @query(f"select section, count(*) as n, sum(cast({GOOD} as int)) as kept from (select section, coalesce(text, '') as t from sec_chunks) group by section")
 def quality_by_section(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "sec_chunks").groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.sum(T.is_good_chunk("text").cast("int")).alias("kept"))
+    return spread(table(spark, d, "sec_chunks").select("section", "text")).groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.sum(T.is_good_chunk("text").cast("int")).alias("kept"))
 
 
 @query(f"select doc_id, round({LETTERS}, 6) as letters, round({SYMBOLS}, 6) as symbols, strlen(t) as n_bytes, {FIN} as financial from (select doc_id, text as t from documents) where t is not null")
 def char_ratios(spark: SparkSession, d: str) -> DataFrame:
     """SC10, SC11, SC12."""
     t = F.col("text")
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.round(T.letter_ratio(t), 6).alias("letters"), F.round(T.symbol_ratio(t), 6).alias("symbols"), T.byte_length(t).cast("bigint").alias("n_bytes"), T.has_financial_sign(t).alias("financial"))
+    return spread(table(spark, d, "documents").filter("text is not null").select("doc_id", "text")).select("doc_id", F.round(T.letter_ratio(t), 6).alias("letters"), F.round(T.symbol_ratio(t), 6).alias("symbols"), T.byte_length(t).cast("bigint").alias("n_bytes"), T.has_financial_sign(t).alias("financial"))
 
 
 @query(f"select doc_id, len(s) as n_sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) as longest from (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[{S}]+', '\\1' || chr(57344), 'g'), chr(57344)), lambda x: {_strip('x')} <> '') as s from documents where text is not null)")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     """SC8."""
-    s = table(spark, d, "documents").filter("text is not null").select("doc_id", T.sentences("text").alias("s"))
+    s = spread(table(spark, d, "documents").filter("text is not null").select("doc_id", "text")).select("doc_id", T.sentences("text").alias("s"))
     return s.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).cast("bigint").alias("longest"))
 
 
@@ -83,13 +83,13 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select doc_id, md5(trim(regexp_replace(text, '[{S}]+', ' ', 'g'))) as h from documents where text is not null")
 def normalize_whitespace(spark: SparkSession, d: str) -> DataFrame:
     """SC6."""
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(T.normalize_ws("text")).alias("h"))
+    return spread(table(spark, d, "documents").filter("text is not null").select("doc_id", "text")).select("doc_id", F.md5(T.normalize_ws("text")).alias("h"))
 
 
 @query("select table_uid, md5(regexp_replace(html, '<[^>]+>', '', 'g')) as h from sec_tables where html is not null")
 def strip_html_tags(spark: SparkSession, d: str) -> DataFrame:
     """SC2."""
-    return table(spark, d, "sec_tables").filter("html is not null").select("table_uid", F.md5(T.strip_tags("html")).alias("h"))
+    return spread(table(spark, d, "sec_tables").filter("html is not null").select("table_uid", "html")).select("table_uid", F.md5(T.strip_tags("html")).alias("h"))
 
 
 @query()
@@ -109,7 +109,7 @@ _XB = rf"regexp_replace({_XB}, '<[^>]+\s+[^>]+>', '', 'g')"
 )
 def remove_xbrl(spark: SparkSession, d: str) -> DataFrame:
     """SC3."""
-    return table(spark, d, "sec_tables").filter("html is not null").select("table_uid", F.md5(T.remove_xbrl("html")).alias("h"))
+    return spread(table(spark, d, "sec_tables").filter("html is not null").select("table_uid", "html")).select("table_uid", F.md5(T.remove_xbrl("html")).alias("h"))
 
 
 @query(rf"""
@@ -121,7 +121,7 @@ k as (select doc_id, md5(string_agg(x, chr(10) order by i)) as h from n where no
 select d.doc_id, coalesce(k.h, md5('')) as h from documents d left join k using (doc_id) where text is not null""")
 def drop_line_runs(spark: SparkSession, d: str) -> DataFrame:
     """WN4, AG7: runs of encoded lines."""
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(T.remove_encoded_runs("text")).alias("h"))
+    return spread(table(spark, d, "documents").filter("text is not null").select("doc_id", "text")).select("doc_id", F.md5(T.remove_encoded_runs("text")).alias("h"))
 
 
 _HL = "text"
@@ -133,7 +133,7 @@ _HB = f"({_any(rules.HEADER_LABELS, _strip('x'), '(?i)')} or (regexp_matches({_s
 @query(f"select chunk_uid, md5(array_to_string(list_filter(string_split({_HL}, chr(10)), lambda x: not {_HB}), chr(10))) as h from sec_chunks where text is not null")
 def remove_headers(spark: SparkSession, d: str) -> DataFrame:
     """SC4."""
-    return table(spark, d, "sec_chunks").filter("text is not null").select("chunk_uid", F.md5(T.remove_header_labels("text")).alias("h"))
+    return spread(table(spark, d, "sec_chunks").filter("text is not null").select("chunk_uid", "text")).select("chunk_uid", F.md5(T.remove_header_labels("text")).alias("h"))
 
 
 _BP = "text"
@@ -144,7 +144,7 @@ for _p in rules.BOILERPLATE:
 @query(f"select section_uid, md5({_BP}) as h from sec_sections where text is not null")
 def remove_boilerplate(spark: SparkSession, d: str) -> DataFrame:
     """SC5."""
-    return table(spark, d, "sec_sections").filter("text is not null").select("section_uid", F.md5(T.remove_boilerplate("text")).alias("h"))
+    return spread(table(spark, d, "sec_sections").filter("text is not null").select("section_uid", "text")).select("section_uid", F.md5(T.remove_boilerplate("text")).alias("h"))
 
 
 def _marks(marks, x: str = "x") -> str:
@@ -159,13 +159,13 @@ q as (select *, case when r > 0 then len(ls) - r else len(ls) end as e from p)
 select doc_id, md5(case when s > 0 and s < e then array_to_string(ls[s + 1 : e], chr(10)) else text end) as h from q""")
 def main_content(spark: SparkSession, d: str) -> DataFrame:
     """WN12."""
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(T.main_content("text")).alias("h"))
+    return spread(table(spark, d, "documents").filter("text is not null").select("doc_id", "text")).select("doc_id", F.md5(T.main_content("text")).alias("h"))
 
 
 @query()
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     """SC7: all steps in order."""
-    return table(spark, d, "documents").select("doc_id", T.clean_text("text").alias("clean"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.clean_text("text").alias("clean"))
 
 
 @query(f"select chunk_id, nullif({_strip('''array_to_string(list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(x, '(?i)^[''' + S + ''']*Image:')), chr(10))''')}, '') as body from tsla_2023_unified_chunks")
@@ -183,7 +183,7 @@ def word_sets(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """WN2, WN3, FLT7, PRJ8: overlapping chunks under the byte limit."""
-    return chunking.chunk_documents(table(spark, d, "documents").filter("text is not null"), "doc_id", "text", metadata=("ticker", "filing_type", "accession_number", "year"))
+    return chunking.chunk_documents(spread(table(spark, d, "documents").filter("text is not null")), "doc_id", "text", metadata=("ticker", "filing_type", "accession_number", "year"))
 
 
 @query(rf"""

@@ -47,3 +47,14 @@ def _clean() -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Tables below this size may lie in one file, which one task would read and compute alone.
+SPREAD_BELOW = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table dealt out to all cores before work that is heavy per row; larger tables are many tasks anyway
+    and stay where they are read (no shuffle)."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BELOW else df
