@@ -193,6 +193,58 @@ def _match(halves: int):
     return run
 
 
+def _tables(halves: int):
+    """(k, rep, tail) -> (t, rep): the table keys a half-key takes part in, one for every later half-key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, rep = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)
+            tail = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, halves).astype(np.uint64)
+            first = k & np.uint64(15)
+            for j in range(1, halves):
+                use = first < np.uint64(j)
+                if use.any():
+                    t = _mix(k[use] * np.uint64(0x9E3779B97F4A7C15) + (tail[use, j] << np.uint64(4) | np.uint64(j)))
+                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(rep[use])], names=["t", "rep"])
+
+    return run
+
+
+def _between_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (t, lo, hi, b, rep) sorted by all: the pairs between blocks lo and hi of a table, or within the block if they
+    are one. A run is two blocks at most."""
+
+    def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        b, rep = (np.concatenate(c) for c in zip(*(r[1] for r in rows)))
+        lo, hi = rows[0][0][1:]
+        if lo == hi:
+            i, j = np.triu_indices(len(rep), 1)
+            x, y = rep[i], rep[j]
+        else:
+            left, right = rep[b == lo], rep[b == hi]
+            x, y = np.repeat(left, len(right)), np.tile(right, len(left))
+        real = x != y
+        if real.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[real]), pa.array(np.maximum(x, y)[real])], names=["a", "b"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t, lo, hi, b, rep = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        change = np.flatnonzero((t[1:] != t[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        for s, e in zip([0, *change.tolist()], [*change.tolist(), len(t)]):
+            key = (t[s], lo[s], hi[s])
+            if held and held[0][0] != key:
+                yield from out(held)
+                held = []
+            held.append((key, (b[s:e], rep[s:e])))
+    if held:
+        yield from out(held)
+
+
 def _verify(shingle: int, threshold: float):
     """(a, b, text_a, text_b) -> (a, b, similarity) of the pairs that reach the threshold, on the sets of shingles."""
 
@@ -220,6 +272,10 @@ def _verify(shingle: int, threshold: float):
     return run
 
 
+#: Rows of a table that are compared in one piece; a larger table is compared block against block, in many tasks.
+BLOCK = 512
+#: Half-keys are held for hot if this many of one in HOT_SAMPLE rows have them. It only decides the way, not the result.
+HOT_SAMPLE, HOT_COUNT = 64, 8
 #: Ids are broadcast to filter the second scan only up to this many (16 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -227,9 +283,9 @@ BROADCAST_IDS = 1_000_000
 class NearDuplicates:
     """The stages over one table with BIGINT ids; each is written once to the shared folder and used by every result."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, min_words: int = 0, halves: int = 12):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, min_words: int = 0, halves: int = 12, hot_sample: int = HOT_SAMPLE, hot_count: int = HOT_COUNT):
         self.src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-        self.shingle, self.threshold, self.halves = shingle, threshold, halves
+        self.shingle, self.threshold, self.halves, self.hot = shingle, threshold, halves, (hot_sample, hot_count)
         # a text with w words of at least one character has at least 2 w - 1 characters
         long = self.src.filter(F.length("text") >= 2 * max(min_words, shingle) - 1)
         self.signed = materialize(long.mapInArrow(_sign(shingle, min_words, halves), "id bigint, cls binary, hk binary"), "neardup_signed")
@@ -244,12 +300,32 @@ class NearDuplicates:
         return self.signed.select("id", "cls", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("salt")).join(several, ["cls", "salt"]).select("id", "rep").distinct()
 
     def candidates(self) -> DataFrame:
-        """Pairs (a < b) of class representatives that share a table key."""
+        """Pairs (a < b) of class representatives that share a table key.
+
+        A half-key that very many rows have (found by a sample, counted with map-side combining) does not go to one task:
+        its rows are dealt out by whole table keys, and a table that is still large is cut into blocks."""
         copies = self.classes().filter("n > 1").select("cls", "rep")
         reps = self.signed.join(copies, "cls", "left").filter("rep is null or rep = id").select(F.col("id").alias("rep"), "hk")
-        rows = reps.mapInArrow(_spread(self.halves), "k bigint, rep bigint, tail binary")
-        met = rows.repartition("k").sortWithinPartitions("k").mapInArrow(_match(self.halves), "a bigint, b bigint")
-        return met.distinct()
+        rows = lambda r: r.mapInArrow(_spread(self.halves), "k bigint, rep bigint, tail binary")
+        sample = rows(reps.filter(F.pmod(F.xxhash64("rep"), F.lit(self.hot[0])) == 0)).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        hot = materialize(sample.filter(F.col("n") >= self.hot[1]).select("k"), "neardup_hot")
+        n_hot = hot.count()
+        every = rows(reps)
+        if not n_hot:
+            return self._met(every).distinct()
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
+        return self._met(every.join(hot, "k", "left_anti")).unionByName(self._met_hot(every.join(hot, "k", "left_semi"))).distinct()
+
+    def _met(self, rows: DataFrame) -> DataFrame:
+        return rows.select("k", "rep", "tail").repartition("k").sortWithinPartitions("k").mapInArrow(_match(self.halves), "a bigint, b bigint")
+
+    def _met_hot(self, rows: DataFrame) -> DataFrame:
+        t = rows.select("k", "rep", "tail").mapInArrow(_tables(self.halves), "t bigint, rep bigint")
+        sizes = t.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+        d = t.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(16)).cast("int")).join(sizes, ["t", "salt"])
+        d = d.withColumn("b", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        d = d.select("t", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "rep")
+        return d.repartition("t", "lo", "hi").sortWithinPartitions("t", "lo", "hi", "b").mapInArrow(_between_blocks, "a bigint, b bigint")
 
     def pairs(self) -> DataFrame:
         """a, b, similarity: every verified pair of representatives with different texts."""

@@ -70,6 +70,15 @@ def test_near_duplicates_by_brute_force(spark, near_rows):
     assert all(groups[a] == groups[b] for a, b in got) and set(groups) == {u for p in got for u in p}
 
 
+@pytest.mark.parametrize("block", [2, 512])
+def test_hot_keys_take_another_way_to_the_same_pairs(spark, near_rows, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    df = spark.createDataFrame(near_rows, "uid bigint, text string, id bigint")
+    plain = neardup.NearDuplicates(df, "uid", "text", 3, 0.6, 40)
+    hot = neardup.NearDuplicates(df, "uid", "text", 3, 0.6, 40, hot_sample=1, hot_count=2)
+    assert set(map(tuple, hot.candidates().collect())) == set(map(tuple, plain.candidates().collect()))
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "uid bigint, text string")
     nd = neardup.NearDuplicates(df, "uid", "text")
