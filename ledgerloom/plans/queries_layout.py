@@ -39,12 +39,14 @@ ONE = "one as (select * exclude (rn_) from (select *, row_number() over (partiti
 
 
 @query(r"""
-select accession_number as key, nullif(split_part(path, '/', 1), '') as ticker, nullif(split_part(path, '/', 2), '') as filing_type, nullif(split_part(path, '/', 3), '') as accession_number,
-  cast(case when regexp_extract(path, '^[^/]*/[^/]*/[^/]*-(\d{2})-', 1) <> '' then (case when cast(regexp_extract(path, '^[^/]*/[^/]*/[^/]*-(\d{2})-', 1) as int) < 50 then 2000 else 1900 end) + cast(regexp_extract(path, '^[^/]*/[^/]*/[^/]*-(\d{2})-', 1) as int) end as int) as year,
-  nullif(split_part(path, '/', 3), '') as doc_id from filings where path is not null and len(string_split(path, '/')) = 4""")
+with p as (select accession_number as key, path, string_split(path, '/') as parts from filings),
+a as (select *, nullif(parts[3], '') as acc, regexp_extract(coalesce(parts[3], ''), '-(\d{2})-', 1) as yy from p)
+select key, nullif(parts[1], '') as ticker, nullif(parts[2], '') as filing_type, acc as accession_number,
+  cast(case when yy <> '' then (case when cast(yy as int) < 50 then 2000 else 1900 end) + cast(yy as int) end as int) as year,
+  coalesce(acc, nullif(parts[case when len(parts) > 1 then len(parts) - 1 else len(parts) end], '')) as doc_id from a""")
 def path_metadata(spark: SparkSession, d: str) -> DataFrame:
     """SRC1-SRC3 on the stored paths."""
-    f = table(spark, d, "filings").filter("path is not null and size(split(path, '/')) = 4")
+    f = table(spark, d, "filings")
     return f.select(F.col("accession_number").alias("key"), *[c.alias(k) for k, c in filings.path_metadata(F.col("path")).items()])
 
 

@@ -189,20 +189,17 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 @query(rf"""
 with a as (select section_uid, regexp_replace(text, '(?i)(item\s+(?:1a|1b|7a|7|8|9|15))', chr(57344) || '\1', 'g') as t from sec_sections where text is not null),
 b as (select section_uid, unnest(string_split(t, chr(57344))) as block, unnest(range(0, len(string_split(t, chr(57344))))) as ord from a),
-c as (select section_uid, ord, upper(regexp_extract(block, '(?i)^(item\s+(?:1a|1b|7a|7|8|9|15))', 1)) as item, trim(regexp_replace(block, '[{S}]+', ' ', 'g')) as text from b)
+c as (select section_uid, ord, upper(regexp_extract(block, '(?i)^(item\s+(?:1a|1b|7a|7|8|9|15))', 1)) as item, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(block, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&#160;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&mdash;', '—'), '&ndash;', '–'), '&amp;', '&'), '[{S}]+', ' ', 'g')) as text from b)
 select section_uid, dense_rank() over (partition by section_uid order by ord) as nr, item, md5(text) as h from c where item <> '' and text <> ''""")
 def item_blocks(spark: SparkSession, d: str) -> DataFrame:
     """WN10, SC24: blocks between item labels."""
     from pyspark.sql.window import Window
 
-    b = sections.item_blocks(table(spark, d, "sec_sections").filter("text is not null and not text rlike '[<&]'"), "section_uid", "text")
+    b = sections.item_blocks(table(spark, d, "sec_sections").filter("text is not null"), "section_uid", "text")
     w = Window.partitionBy("section_uid").orderBy("ord")
     return b.select("section_uid", F.dense_rank().over(w).cast("bigint").alias("nr"), "item", F.md5("text").alias("h"))
 
 
-SQL["item_blocks"] = SQL["item_blocks"].replace("where text is not null)", "where text is not null and not regexp_matches(text, '[<&]'))", 1)
-
-
 @query()
 def html_tables(spark: SparkSession, d: str) -> DataFrame:
     """SC25, JN9: tables of the HTML column with the nearest heading before them."""
@@ -244,15 +241,6 @@ def section_catalog(spark: SparkSession, d: str) -> DataFrame:
     return sections.section_catalog(spark).groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"), F.max("ord").alias("last"))
 
 
-def title_positions(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id (page block of ten pages), pos, text, is_title of the layout chunks: positions for the cluster queries."""
-    t = table(spark, d, "tsla_2023_unified_chunks").filter("page is not null and text is not null").dropDuplicates(["chunk_id"])
-    from pyspark.sql.window import Window
-
-    t = t.withColumn("doc_id", (F.col("page") / 10).cast("int")).withColumn("is_title", F.coalesce(F.col("type") == "Section header", F.lit(False)))
-    return t.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id")).cast("int")).select("doc_id", "pos", "chunk_id", "text", "is_title")
-
-
 _POS = """
 pos as (select cast(trunc(page / 10.0) as int) as doc_id, chunk_id, is_title, row_number() over (partition by cast(trunc(page / 10.0) as int) order by chunk_id) as pos
   from (select chunk_id, max(page) as page, bool_or(coalesce(type = 'Section header', false)) as is_title from tsla_2023_unified_chunks where page is not null and text is not null group by chunk_id)),

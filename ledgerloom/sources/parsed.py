@@ -51,3 +51,8 @@ def pdf_for(names: DataFrame, pdfs: DataFrame, key: str, ticker: str, year: str,
     loose = F.startswith("_b", F.col("_t")) & F.contains(F.substr("_b", F.length("_t") + 1), F.col("_y"))
     rank = F.when(tight, 1).when(loose, 3)
     return j.withColumn("_r", rank).filter("_r is not null").groupBy(key).agg(F.min_by("_p", F.struct("_r", "_p")).alias("pdf"))
+
+
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Chunks, tables, items or unified chunks as JSON lines, one file per task; ``read_json_array`` reads them back."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)

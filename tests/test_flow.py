@@ -35,6 +35,8 @@ def test_json_arrays_and_names(spark, tmp_path):
     df = parsed.read_json_array(spark, str(tmp_path / "*.json"), parsed.UNIFIED)
     named = parsed.with_name_metadata(df, F.regexp_replace("file", r"\.json$", "")).collect()
     assert [(r.chunk_id, r.ticker, r.year, r.name_ok) for r in named] == [("a", "TSLA", "2023", True), ("b", "TSLA", "2023", True)]
+    parsed.write_json(df.drop("file"), str(tmp_path / "out"))
+    assert spark.read.schema(parsed.UNIFIED).json(str(tmp_path / "out")).filter("chunk_id = 'a' and page = 1 and text is null").count() == 1
     assert parsed.read_json_array(spark, str(tmp_path / "none" / "x.json"), parsed.CLIPPING).count() == 0
 
 
@@ -167,6 +169,22 @@ def test_answers_end_to_end(spark):
     assert "verification" not in pipelines.answer_questions(qs, corpus, Config(verify=False)).columns
 
 
+def test_remaining_layout_and_source_pieces(spark):
+    df = spark.createDataFrame([("a", "Table", 3, "t", "T", None), (None, None, 0, "x", "T", "2023"), (" ", "Text", 1, "y", None, None)], "chunk_id string, type string, page int, text string, ticker string, year string")
+    ids = [r.i for r in df.select(layout.fallback_id(F.col("chunk_id"), F.col("type"), F.col("ticker"), F.col("year"), F.col("page"), F.lit(4), F.col("text")).alias("i")).collect()]
+    assert ids[0] == "a" and ids[1] == "text_T_2023_000_0004" and ids[2].startswith("chunk_") and ids[2].endswith("_0004")
+    e = spark.createDataFrame([("d", 0, "Picture", 5, "p", 1.0, 1.0, 2.0, 2.0), ("d", 1, "Table", 5, "t", 1.0, 1.0, 2.0, 2.0), ("d", 2, "Text", 5, "one", 0.0, 0.0, 0.0, 0.0), ("d", 3, "Text", 5, "two", 0.0, 0.0, 0.0, 0.0)], ELEMENTS)
+    t = layout.target_elements(e, page_offset=59).orderBy("block_id").collect()
+    assert [(r.pdf_page, r.type, r.block_id) for r in t] == [(64, "Figure", 0), (64, "Table", 1)]
+    clip = spark.createDataFrame([("d", 5), ("d", 6), ("d", 0)], "doc_id string, page_number int")
+    assert {r.page_number: r.context for r in layout.page_context(clip, e, ["doc_id", "page_number"]).collect()} == {5: "one two", 6: None, 0: None}
+    assert [r.doc_id for r in layout.reading_order(spark.createDataFrame([("b", 1, None), ("a", None, None)], "doc_id string, page int, coordinates struct<y_1: double>"), "doc_id").collect()] == ["a", "b"]
+    assert filings.download_requests(spark, ["A"], ["10-K"], [2020, 2021]).count() == 2
+    name = spark.range(1).select(layout.clipping_name(F.lit(7), F.lit("Table"), F.lit(3))).first()[0]
+    assert name == "page_007_table_003.png"
+    assert "Question: why" in spark.range(1).select(context.prompt(F.lit("why"), F.lit("ctx"))).first()[0]
+
+
 def test_retry_and_config(monkeypatch):
     calls, slept = [], []
 
