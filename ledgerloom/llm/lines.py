@@ -10,9 +10,13 @@ nodes; a line twice in one record counts once; rows that share an id count as so
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import let, strip
 from ledgerloom.llm.components import connected_components
 from ledgerloom.runtime import materialize
 
@@ -20,11 +24,11 @@ MIN_SUPPORT = 10
 
 
 def normal_line(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, "[ \\t\\r]+", " ")))
+    return F.lower(strip(F.regexp_replace(line, "[ \\t\\r]+", " ")))
 
 
 def normal_source(source: Column) -> Column:
-    return F.upper(F.regexp_replace(source, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    return F.upper(strip(source))
 
 
 def _hash(source: Column, line: Column) -> Column:
@@ -71,19 +75,43 @@ def line_blocks(df: DataFrame, id_col: str, source_col: str, text_col: str, min_
     return named.select("source", "line", "support", F.coalesce("component", "node").alias("block"))
 
 
+#: Frequent lines whose hashes (16 bytes each) are sent to every task; with more of them texts meet their lines in a join.
+BROADCAST_LINES = 500_000
+
+
 def without_repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, min_support: int = MIN_SUPPORT) -> DataFrame:
     """id, text, n_removed for every row of ``df``: occurrences of block lines are deleted, the other lines stay as they
     were and in order; a text that loses no line comes out unchanged.
 
-    Each record's distinct line hashes meet the kept lines in a join on the hash; what returns per record is the set of
-    its hashes to delete, which is no larger than the record."""
+    Texts do not move: the hashes of their lines are looked up in the set of frequent ones, as long as that set is small
+    (its size is checked). Beyond that the distinct hashes of each record meet the frequent lines in a join, and what
+    returns to a record is the set of its own hashes to delete."""
     nodes = materialize(line_nodes(df, id_col, source_col, text_col, min_support), "line_nodes")
     rows = df.select(F.col(id_col).alias("id"), normal_source(F.col(source_col)).alias("source"), F.col(text_col).cast("string").alias("text"))
-    raw = rows.filter("source is not null and text is not null").select("id", "source", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), normal_line))).alias("line")).filter("line <> ''")
-    hit = raw.select("id", _hash(F.col("source"), F.col("line")).alias("h")).join(nodes.select("h"), "h", "left_semi")
+    hashes = F.transform(F.split("text", "\n"), lambda x: let(normal_line(x), lambda n: F.when(n != "", _hash(F.col("source"), n))))
+    rows = rows.select("id", "text", F.when(F.col("source").isNotNull(), hashes).alias("hs"))
+    if nodes.count() <= BROADCAST_LINES:
+        return _looked_up(rows, [bytes(r.h) for r in nodes.select("h").distinct().toLocalIterator()])
+    hit = rows.select("id", F.explode(F.array_distinct("hs")).alias("h")).join(nodes.select("h"), "h", "left_semi")
     drop = hit.distinct().groupBy("id").agg(F.collect_set("h").alias("drop"))
-    pieces = F.split("text", "\n")
-    kept = F.filter(pieces, lambda x: ~F.array_contains("drop", _hash(F.col("source"), normal_line(x))))
+    pieces = F.arrays_zip(F.split("text", "\n").alias("x"), F.col("hs").alias("h"))
+    kept = F.transform(F.filter(pieces, lambda p: ~F.coalesce(F.array_contains("drop", p["h"]), F.lit(False))), lambda p: p["x"])
     cleaned = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.size(pieces) - F.size(kept))
+    removed = F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.size("hs") - F.size(kept))
     return rows.join(drop, "id", "left").select("id", cleaned.alias("text"), removed.alias("n_removed"))
+
+
+def _looked_up(rows: DataFrame, frequent: list[bytes]) -> DataFrame:
+    held = rows.sparkSession.sparkContext.broadcast(frozenset(frequent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad = held.value
+        for batch in batches:
+            texts, counts = [], []
+            for text, hs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                n = sum(h in bad for h in hs) if text is not None and hs else 0
+                texts.append("\n".join(x for x, h in zip(text.split("\n"), hs) if h not in bad) if n else text)
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["id", "text", "n_removed"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string, n_removed int")

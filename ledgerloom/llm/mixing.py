@@ -57,7 +57,7 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
     boundary exists on each level: the first bucket that does not fit. What shares all 48 bits at the end stays out."""
     state = plan.filter("rest > 0").select("source", F.col("rest").alias("left"), F.lit(0).cast("bigint").alias("prefix"))
     for level in range(LEVELS):
-        inside = rows.join(F.broadcast(state), "source")  # one row per target
+        inside = rows.join(_small(state), "source")  # one row per target
         if level:
             inside = inside.filter(F.shiftright("h", BITS * (LEVELS - level)) == F.col("prefix"))
         hist = inside.groupBy("source", "prefix", "left", _bucket(level).alias("b")).agg(F.sum("n_tokens").alias("n"))
@@ -70,6 +70,14 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return state.select("source", F.col("prefix").alias("cut"))
 
 
+#: Targets up to which the plan (some hundred bytes a row) is broadcast; with more of them it is joined by shuffle.
+BROADCAST_TARGETS = 100_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_TARGETS else df
+
+
 class Mixture:
     def __init__(self, df: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_col: str, total_tokens: int | None = None, vocabulary: str = "byte_bpe_50k", **where):
         self.rows = sized(df, id_col, text_col, source_col, vocabulary, **where)
@@ -80,7 +88,7 @@ class Mixture:
         """id, source, n_tokens, copies of every record drawn at least once: a filter over the rows, no sort, no shuffle (the
         plan has one row per target and is broadcast)."""
         per = self.plan.select("source", "repeats").join(self.cuts, "source", "left")
-        out = self.rows.join(F.broadcast(per), "source")
+        out = self.rows.join(_small(per), "source")
         copies = F.col("repeats") + F.when(F.col("h") < F.coalesce("cut", F.lit(0)), 1).otherwise(0)
         return out.select("id", "source", "n_tokens", copies.cast("int").alias("copies")).filter("copies > 0")
 

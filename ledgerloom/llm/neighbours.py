@@ -225,12 +225,13 @@ class NeighbourGraph:
         kind = queries.schema[id_col].dataType.simpleString()
         q = queries.select(F.col(id_col).alias("name"), F.col(vector_col).cast("array<float>").alias("x")).filter((F.size("x") == self.dim) & F.col("name").isNotNull() & ~F.exists("x", lambda e: e.isNull()))
         q = materialize(q.mapInArrow(_unit(self.dim), f"name {kind}, v binary").dropDuplicates(["name"]).withColumn("q", F.monotonically_increasing_id()), "knn_queries")
-        leaves = lambda t, c: t.mapInArrow(_leaves(self.dim, self.tables, self.bits, self.seed), "leaf bigint, fine int, node bigint, v binary").select("leaf", "fine", F.col("node").alias(c))
-        # entries: the queries' leaves, and of a large leaf the rows that share the finer bits too
+        leaves = lambda t, c: t.mapInArrow(_leaves(self.dim, self.tables, self.bits, self.seed), "leaf bigint, fine int, node bigint, v binary").select("leaf", F.col("node").alias(c))
+        # entries: the queries' leaves; a leaf over BLOCK rows is dealt into parts, and a query enters one of them
         here = leaves(self.vectors.select("node", "v"), "node")
-        size = here.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
-        mine = leaves(q.select(F.col("q").alias("node"), "v"), "q").withColumnRenamed("fine", "qfine").join(size, "leaf")
-        seeds = mine.join(here, "leaf").filter((F.col("size") <= BLOCK) | (F.col("fine") == F.col("qfine"))).select("q", "node").distinct()
+        parts = here.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+        part = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).alias("part")
+        mine = leaves(q.select(F.col("q").alias("node"), "v"), "q").join(parts, "leaf").select("leaf", part("q"), "q")
+        seeds = mine.join(here.join(parts, "leaf").select("leaf", part("node"), "node"), ["leaf", "part"]).select("q", "node").distinct()
         state = self._scored(seeds, q, beam, None)
         for r in range(rounds):
             fresh = state.filter("not seen").select("q", "node")

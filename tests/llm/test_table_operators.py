@@ -114,7 +114,9 @@ def test_components(spark):
 LINES = [(i, f"Legal notice\nBody {i}\r\nShare   THIS\tpage\n\nlegal  notice", " zz ") for i in range(12)] + [(20, "Share this page\nonly here", "ZZ"), (21, None, "zz"), (22, "", "zz"), (23, "Legal notice", None), (24, "Legal notice", "Other")]
 
 
-def test_repeated_lines(spark):
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_repeated_lines(spark, monkeypatch, limit):
+    monkeypatch.setattr(lines, "BROADCAST_LINES", limit)
     df = spark.createDataFrame(LINES, "uid bigint, text string, ticker string")
     nodes = {(r.source, r.line): r.support for r in lines.line_nodes(df, "uid", "ticker", "text").collect()}
     assert nodes == {("ZZ", "legal notice"): 12, ("ZZ", "share this page"): 13}
