@@ -156,3 +156,47 @@ def test_tables_and_headings():
 def test_items(spark):
     df = spark.createDataFrame([(1, "head Item 1A. Risks <b>x</b> ITEM 7 Results"), (2, None), (3, "none")], "k int, t string")
     assert [(r.item, r.text) for r in sections.item_blocks(df, "k", "t").orderBy("ord").collect()] == [("ITEM 1A", "Item 1A. Risks x"), ("ITEM 7", "ITEM 7 Results")]
+
+
+def test_toc_location(spark):
+    docs = {
+        "t": ("10-K", [("Table of Contents", 1), ("Part I", 1), ("Item 1A. Risk Factors", 1), ("Item 2. Properties", 1), ("Part I", 1), ("Item 1A. Risk Factors", 1), ("text", 0)]),
+        "u": ("10-Q", [("a", 0), ("Part I", 0), ("b", 0), ("c", 0), ("d", 0), ("part i", 1)]),
+        "v": ("10-K", [("Part I", 1), ("x", 0)]),
+    }
+    rows = [(d, form, i, t, bool(k)) for d, (form, es) in docs.items() for i, (t, k) in enumerate(es)]
+    e = spark.createDataFrame(rows, "doc_id string, form string, pos int, text string, is_title boolean")
+    got = {(r.doc_id, r.pos) for r in sections.toc_location(e).collect()}
+    assert got == {("t", 1), ("t", 2), ("u", 1), ("u", 2), ("u", 3)}
+
+
+def test_carried_sections_reset_at_a_title_without_section(spark):
+    rows = [("d", 0, "title", "Business", "BUSINESS"), ("d", 1, "table", "t1", None), ("d", 2, "title", "Odd", None), ("d", 3, "table", "t2", None), ("e", 0, "table", "t0", None)]
+    e = spark.createDataFrame(rows, "doc_id string, pos int, kind string, text string, section string")
+    got = {r.text: (r.section, r.section_title) for r in sections.carry_section(e).collect()}
+    assert got == {"t1": ("BUSINESS", "Business"), "t2": (None, "Odd"), "t0": (None, None)}
+
+
+def test_narrative_state_machine_equals_the_loop(spark):
+    rnd = random.Random(12)
+    kinds = [("title", "Item 1A. Risk Factors"), ("title", "Item 2. Properties"), ("title", "Market"), ("narrative", "n"), ("list", "l"), ("table", "t")]
+    docs = {f"d{k}": [rnd.choice(kinds) for _ in range(rnd.randint(1, 14))] for k in range(60)}
+    rows = [(d, "10-K", i, k, t, k == "title") for d, es in docs.items() for i, (k, t) in enumerate(es)]
+    e = spark.createDataFrame(rows, "doc_id string, form string, pos int, kind string, text string, is_title boolean")
+    got = {(r.doc_id, r.pos) for r in sections.narrative_without_toc(e, sections.is_risk_title(F.col("text"), F.col("form"))).collect()}
+    want = set()
+    for d, es in docs.items():
+        inside, found = False, []
+        for i, (k, t) in enumerate(es):
+            item = k == "title" and t.startswith("Item")
+            if inside:
+                if item:
+                    if found:
+                        break
+                    inside = False
+                elif k in ("narrative", "list"):
+                    found.append((d, i))
+            if k == "title" and "Risk" in t:
+                inside = True
+        want |= set(found)
+    assert got == want
