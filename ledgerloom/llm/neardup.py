@@ -349,8 +349,10 @@ class NearDuplicates:
         x = pairs.join(members.select(F.col("rep").alias("a"), F.col("id").alias("ma")), "a", "left").select(F.coalesce("ma", "a").alias("a"), "b")
         y = x.join(members.select(F.col("rep").alias("b"), F.col("id").alias("mb")), "b", "left").select("a", F.coalesce("mb", "b").alias("b"))
         between = y.select(F.least("a", "b").alias("uid_a"), F.greatest("a", "b").alias("uid_b"))
-        m, o = members.select("rep", F.col("id").alias("uid_a")), members.select("rep", F.col("id").alias("uid_b"))
-        within = m.join(o, "rep").filter("uid_a < uid_b").select("uid_a", "uid_b")
+        # the pairs of one large class are made in many tasks: each member meets the others by one of 16 salts
+        m = members.select("rep", F.col("id").alias("uid_a"), F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("salt"))
+        o = members.select("rep", F.col("id").alias("uid_b"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+        within = m.join(o, ["rep", "salt"]).filter("uid_a < uid_b").select("uid_a", "uid_b")
         return between.unionByName(within)
 
     def groups(self) -> DataFrame:
