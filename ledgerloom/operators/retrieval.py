@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions import rules
 from ledgerloom.functions.vectors import dot, norm
+from ledgerloom.runtime import materialize
 
 #: Queries that travel to every task at once: 4,096 vectors of 1,024 numbers are 16 MB.
 QUERY_BLOCK = 4096
@@ -116,7 +118,9 @@ def merge_partitions(per_part: DataFrame, id_col: str, k: int) -> DataFrame:
 
 class CellIndex:
     """Vectors by nearest of ``cells`` centroids. Centroids are fitted on a bounded sample (documented bound
-    ``sample`` rows); every vector is assigned to its cell, and a search reads the ``probes`` nearest cells only."""
+    ``sample`` rows); every vector is assigned to its cell. A search reads the ``probes`` nearest cells first, then every other
+    cell whose widest angle (``reach``) leaves room for a score at least as good as the k-th found so far, so the result is
+    that of brute force; how much is skipped depends on how well the vectors cluster."""
 
     def __init__(self, df: DataFrame, id_col: str, vector_col: str, cells: int | None = None, probes: int = rules.IVF_PROBES, sample: int = 50_000, seed: int = 11):
         n = df.count()
@@ -137,24 +141,97 @@ class CellIndex:
                     c[j] = m[near == j].mean(0)
             c /= np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-30)
         self.centroids = c
-        self.table = self._assign(df)
+        assigned = materialize(self._assign(df), "cells")
+        self.reach = np.full(len(c), -np.inf)  # of a cell without rows
+        for r in assigned.groupBy("cell").agg(F.min("cell_cosine").alias("least")).collect():
+            self.reach[r.cell] = math.acos(min(1.0, max(-1.0, r.least)))
+        self.table = assigned.drop("cell_cosine")
 
     def _assign(self, df: DataFrame) -> DataFrame:
+        """A vector of zeros has cosine 0 to everything: it counts as at a right angle to its centroid."""
         c, col = self.centroids, self.vector_col
 
-        @F.pandas_udf("int")
-        def cell(v):
+        @F.pandas_udf("cell int, cosine double")
+        def nearest(v):
             import pandas as pd
 
             if not len(v):
-                return pd.Series([], dtype="int32")
-            return pd.Series((np.stack([np.asarray(x, np.float64) for x in v]) @ c.T).argmax(1).astype("int32"))
+                return pd.DataFrame({"cell": np.array([], "int32"), "cosine": np.array([], "float64")})
+            m = np.stack([np.asarray(x, np.float64) for x in v])
+            s = m @ c.T
+            return pd.DataFrame({"cell": s.argmax(1).astype("int32"), "cosine": s.max(1) / np.maximum(np.sqrt((m * m).sum(1)), 1e-30)})
 
-        return df.filter(F.col(col).isNotNull()).withColumn("cell", cell(F.col(col)))
+        found = df.filter(F.col(col).isNotNull()).withColumn("nearest", nearest(F.col(col)))
+        return found.select(*df.columns, F.col("nearest.cell").alias("cell"), F.col("nearest.cosine").alias("cell_cosine"))
+
+    def _open(self, near: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Cells (columns) that can hold a score of ``least`` or more; near: cosines of questions (rows) and centroids."""
+        best = np.cos(np.maximum(np.arccos(np.clip(near, -1, 1)) - np.maximum(self.reach, 0), 0))
+        return (best >= least[:, None] - 1e-6) & (self.reach >= 0)
+
+    def _first(self, near: np.ndarray) -> np.ndarray:
+        mask = np.zeros(near.shape, bool)
+        np.put_along_axis(mask, np.argsort(-near, axis=1)[:, : self.probes], True, axis=1)
+        return mask
+
+    def _of(self, mask: np.ndarray) -> DataFrame:
+        return self.table.filter(F.col("cell").isin(*[int(x) for x in np.flatnonzero(mask.any(0))]))
 
     def search(self, query: list[float], k: int = rules.TOP_K, filters: dict | None = None) -> DataFrame:
-        near = np.argsort(-(self.centroids @ np.asarray(query, np.float64)))[: self.probes]
-        return top_k(self.table.filter(F.col("cell").isin(*[int(x) for x in near])), self.id_col, self.vector_col, query, k, filters)
+        k = k or rules.TOP_K
+        _, q = _query_matrix([(0, query)])
+        near = q @ self.centroids.T
+        first = self._first(near)
+        found = top_k(self._of(first), self.id_col, self.vector_col, query, k, filters).agg(F.count(F.lit(1)), F.min("score")).first()
+        least = np.array([found[1] if found[0] == k else -np.inf])
+        return top_k(self._of(first | self._open(near, least)), self.id_col, self.vector_col, query, k, filters)
+
+    def search_batch(self, queries: DataFrame, q_id: str, q_vector: str, k: int = rules.TOP_K, filters: dict | None = None) -> DataFrame:
+        """query_id, id, cell, score, rank of any number of questions with unique ids, in blocks of QUERY_BLOCK: the nearest
+        cells, then those the k-th score of a question does not exclude."""
+        asked = queries.select(F.col(q_id), F.col(q_vector).cast("array<double>")).filter(F.col(q_vector).isNotNull())
+        kinds = (queries.schema[q_id].dataType.simpleString(), self.table.schema[self.id_col].dataType.simpleString())
+        parts = []
+        for block in batched(asked.toLocalIterator(), QUERY_BLOCK):
+            qid, matrix = _query_matrix(list(block))
+            near = matrix @ self.centroids.T
+            first = self._first(near)
+            found = materialize(self._best(qid, matrix, first, kinds, k, filters), "cells-first")
+            kth = {r.query_id: r.score for r in found.filter(F.col("rank") == k).select("query_id", "score").collect()}
+            rest = self._open(near, np.array([kth.get(q, -np.inf) for q in qid])) & ~first
+            parts += [found, self._best(qid, matrix, rest, kinds, k, filters)] if rest.any() else [found]
+        if not parts:
+            return queries.sparkSession.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, cell int, score double, rank int")
+        return self._ranked(reduce(DataFrame.unionByName, parts).drop("rank"), k)
+
+    @staticmethod
+    def _ranked(df: DataFrame, k: int) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    def _best(self, qid: list, matrix: np.ndarray, mask: np.ndarray, kinds: tuple[str, str], k: int, filters: dict | None) -> DataFrame:
+        """The k best per question in the cells its row of ``mask`` names; a task keeps only its k best."""
+        src = self._of(mask).filter(matches(filters)).select(F.col(self.id_col), F.col(self.vector_col), "cell")
+        schema = pa.schema([("query_id", _arrow(kinds[0])), ("id", _arrow(kinds[1])), ("cell", pa.int32()), ("score", pa.float64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[list] = [[] for _ in qid]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                n = np.sqrt((m * m).sum(1, keepdims=True))
+                m /= np.where(n > 0, n, 1)
+                ids, cells = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
+                for q, s in enumerate(matrix @ m.T):
+                    at = np.flatnonzero(mask[q, cells])
+                    if len(at) > k:
+                        at = at[s[at] >= np.partition(s[at], -k)[-k]]
+                    best[q] = sorted([*best[q], *((-s[j], ids[j], cells[j]) for j in at)])[:k]
+            out = [{"query_id": qid[q], "id": i, "cell": int(c), "score": float(-s)} for q, found in enumerate(best) for s, i, c in found]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+        return self._ranked(src.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, cell int, score double"), k)
 
 
 def plan_search(n_rows: int) -> str:

@@ -95,10 +95,22 @@ def partitioned_topk_merge(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.merge_partitions(per, "vec_id", 20).select("vec_id", "label", F.round("score", 5).alias("score"))
 
 
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.CellIndex(_emb(spark, d), "vec_id", "embedding").search_batch(_questions(spark, d), "query_id", "qv")
+
+
 @query()
 def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
-    """TK3: cells and probes (approximate)."""
-    return retrieval.CellIndex(_emb(spark, d), "vec_id", "embedding").search(_vector(spark, d)).select("vec_id", "cell", F.round("score", 5).alias("score"))
+    """TK3: cells and probes, for the stated query set."""
+    return _cells(spark, d).select("query_id", F.col("id").alias("vec_id"), "cell", F.round("score", 5).alias("score"), "rank")
+
+
+@query()
+def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of ivf_topk against brute force on the stated query set."""
+    exact = retrieval.top_k_batch(_emb(spark, d), "vec_id", "embedding", _questions(spark, d), "query_id", "qv").select("query_id", "id")
+    hits = exact.join(_cells(spark, d).select("query_id", "id"), ["query_id", "id"], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
+    return hits.crossJoin(exact.agg(F.count(F.lit(1)).alias("wanted"))).select("wanted", "hits", (F.col("hits") / F.col("wanted")).alias("recall"))  # one row each
 
 
 @query("select case when count(*) > 10000 then 'cells' else 'exact' end as path, count(*) as n from embeddings")

@@ -118,6 +118,27 @@ def test_top_k_and_cells(spark):
         retrieval.top_k_batch(df, "id", "v", spark.range(5000).select("id", F.array(F.lit(1.0)).alias("v")), "id", "v")
 
 
+def test_few_probes_find_all_neighbours(spark):
+    rnd = random.Random(5)
+    centres = [[rnd.gauss(0, 3) for _ in range(8)] for _ in range(6)]
+    rows = [(i, [x + rnd.gauss(0, 1 if i % 2 else 0.05) for x in centres[i % 6]], i % 3) for i in range(400)] + [(900, [0.0] * 8, 1), (901, None, 1)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>, label int")
+    index = retrieval.CellIndex(df, "id", "v", cells=20, probes=1)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)) or 1)
+    asked = [*range(0, 400, 40), 900]
+    for filters in (None, {"label": 1}):
+        got = {}
+        for r in index.search_batch(df.filter(F.col("id").isin(asked)), "id", "v", 15, filters).orderBy("rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        for q in asked:
+            v = next(x for i, x, _ in rows if i == q)
+            want = [i for _, i in sorted((-round(cos(x, v), 9), i) for i, x, lab in rows if x and (not filters or lab == 1))[:15]]
+            assert got[q] == want
+            if q in (0, 900):
+                assert [r.id for r in index.search(v, 15, filters).collect()] == want
+    assert index.search_batch(df.filter("id < 0"), "id", "v").count() == 0
+
+
 def test_budget_equals_the_loop(spark):
     rnd = random.Random(2)
     rows = [(q, r, "x" * rnd.randint(0, 60)) for q in range(30) for r in range(rnd.randint(1, 8))]
