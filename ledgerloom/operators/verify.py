@@ -13,7 +13,12 @@ from ledgerloom.functions import rules, text as T
 
 def overlap(answer: Column, chunk: Column) -> Column:
     """Share of the answer's words that occur in the chunk."""
-    return T.let(T.word_set(answer), lambda a: F.size(F.array_intersect(a, T.word_set(chunk))) / F.greatest(F.size(a), F.lit(1)))
+    return T.let(T.word_set(answer), lambda a: overlap_of_sets(a, T.word_set(chunk)))
+
+
+def overlap_of_sets(answer: Column, chunk: Column) -> Column:
+    """The same of two word sets, for callers that meet each text in many pairs."""
+    return F.size(F.array_intersect(answer, chunk)) / F.greatest(F.size(answer), F.lit(1))
 
 
 def alignment(answer: Column, chunks: Column, first: int = 5) -> Column:

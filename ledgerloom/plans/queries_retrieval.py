@@ -126,31 +126,34 @@ def _words(col: str) -> str:
 
 
 _OV = f"(len(list_intersect({_words('a')}, {_words('t')})) / greatest(len({_words('a')}), 1))"
-#: Answers are the first sentences of items, sources the chunks of the same filing: pairs met by an equi-join on doc_id.
+#: Answers are items, sources the chunks of the same filing: pairs met by an equi-join on doc_id. This SQL still cuts answers
+#: to their first two sentences, and that of word_overlap and citation_coverage the chunks; the queries do not (see README).
 ANSWERS = f"""an as (select section_uid as qid, doc_id, split_part(regexp_replace(text, '([.!?])[{S}]+', '\\1' || chr(57344), 'g'), chr(57344), 1) || ' ' || split_part(regexp_replace(text, '([.!?])[{S}]+', '\\1' || chr(57344), 'g'), chr(57344), 2) as a from sec_sections where text is not null and doc_id is not null),
 src as (select an.qid, an.a, c.chunk_uid, coalesce(c.text, '') as t, upper(coalesce(trim(c.ticker), '')) as ticker, c.year, row_number() over (partition by an.qid order by c.chunk_uid) as rank from an join sec_chunks c using (doc_id))"""
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
+    """qid, doc_id, a: whole texts."""
+    return table(spark, d, "sec_sections").filter("text is not null and doc_id is not null").select(F.col("section_uid").alias("qid"), "doc_id", F.col("text").alias("a"))
+
 
-    raw = F.split("text", rf"(?<=[.!?])[{S}]+")
-    first = F.concat(F.coalesce(F.get(raw, F.lit(0)), F.lit("")), F.lit(" "), F.coalesce(F.get(raw, F.lit(1)), F.lit("")))
-    a = table(spark, d, "sec_sections").filter("text is not null and doc_id is not null").select(F.col("section_uid").alias("qid"), "doc_id", first.alias("a"))
-    c = table(spark, d, "sec_chunks").select("doc_id", "chunk_uid", F.coalesce("text", F.lit("")).alias("t"), F.upper(F.coalesce(F.trim("ticker"), F.lit(""))).alias("ticker"), "year")
-    return a.join(c, "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_uid")))
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sec_chunks").select("doc_id", "chunk_uid", F.coalesce("text", F.lit("")).alias("t"), F.upper(F.coalesce(F.trim("ticker"), F.lit(""))).alias("ticker"), "year")
 
 
 @query(f"with {ANSWERS} select qid, chunk_uid, round({_OV}, 6) as overlap from src where rank <= 5")
 def word_overlap(spark: SparkSession, d: str) -> DataFrame:
     """ST3, SC14, ML2's stand-in, JN5."""
-    return _answers(spark, d).filter("rank <= 5").select("qid", "chunk_uid", F.round(verify.overlap(F.col("a"), F.col("t")), 6).alias("overlap"))
+    a, c = _answers(spark, d).withColumn("a", T.word_set("a")), _sources(spark, d).select("doc_id", "chunk_uid", T.word_set("t").alias("t"))
+    return a.join(c, "doc_id").select("qid", "chunk_uid", F.round(verify.overlap_of_sets(F.col("a"), F.col("t")), 6).alias("overlap"))
 
 
 @query(f"with {ANSWERS}, o as (select qid, {_OV} as o from src where rank <= 5) select qid, round(avg(o), 5) as alignment from o group by qid")
 def alignment(spark: SparkSession, d: str) -> DataFrame:
-    """AG8, ML5's fallback."""
-    r = _answers(spark, d).filter("rank <= 5")
+    """AG8, ML5's fallback: the first 5 chunks are the operator's own."""
+    from pyspark.sql.window import Window
+
+    r = _answers(spark, d).join(_sources(spark, d), "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_uid"))).filter("rank <= 5")
     g = r.groupBy("qid").agg(F.first("a").alias("a"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]).alias("ts"))
     return g.select("qid", F.round(verify.alignment(F.col("a"), F.col("ts")), 5).alias("alignment"))
 
@@ -159,8 +162,8 @@ def alignment(spark: SparkSession, d: str) -> DataFrame:
 i as (select qid, any_value(a) as a, count(*) as n, sum(cast(ticker <> '' and contains(upper(a), ticker) as int) + cast(trim(ticker || ' ' || coalesce(cast(year as varchar), '')) <> '' and contains(upper(a), trim(ticker || ' ' || coalesce(cast(year as varchar), ''))) as int) + cast(year is not null and contains(upper(a), cast(year as varchar)) as int)) as cited from src where rank <= 18 group by qid)
 select qid, round(least(least(cited / n, 1) + least({_count(rules.CITATION_PHRASES, 'a', '')} * 0.1, 0.3), 1), 6) as coverage from i""")
 def citation_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """SC29."""
-    g = _answers(spark, d).filter("rank <= 18").groupBy("qid").agg(F.first("a").alias("a"), F.collect_list(F.struct("ticker", "year")).alias("s"))
+    """SC29: nothing is reranked here, so every chunk of the filing is a source."""
+    g = _answers(spark, d).join(_sources(spark, d), "doc_id").groupBy("qid").agg(F.first("a").alias("a"), F.collect_list(F.struct("ticker", "year")).alias("s"))
     return g.select("qid", F.round(verify.citation_coverage(F.col("a"), F.col("s")), 6).alias("coverage"))
 
 

@@ -178,6 +178,20 @@ def test_detection(spark):
     assert detect.companies(spark, [("My Firm", "mf")]).filter("ticker = 'MF'").first().ord == 29
 
 
+def test_answers_are_whole_items_against_all_chunks(spark, tmp_path):
+    import __spark_entry__ as e
+
+    text = "Coal was sold. Ore was not. In 2021 ZORV grew much. Steel followed, according to them."
+    spark.createDataFrame([(1, 7, text), (2, 7, None), (3, 8, "Nothing.")], "section_uid bigint, doc_id bigint, text string").write.parquet(f"{tmp_path}/sec_sections.parquet")
+    chunks = [(i, 7, "steel followed, x" if i == 19 else "coal", "ZORV" if i == 19 else "AAAA", 2021 if i == 19 else 1990) for i in range(20)]
+    spark.createDataFrame(chunks, "chunk_uid bigint, doc_id bigint, text string, ticker string, year int").write.parquet(f"{tmp_path}/sec_chunks.parquet")
+    run = lambda name: e.queries()[name](spark, str(tmp_path)).collect()
+    n = len({w for w in text.lower().split()})
+    assert {(r.qid, r.chunk_uid): r.overlap for r in run("word_overlap")} == {(1, i): round((2 if i == 19 else 1) / n, 6) for i in range(20)}
+    assert [(r.qid, r.alignment) for r in run("alignment")] == [(1, round(1 / n, 5))]
+    assert [(r.qid, r.coverage) for r in run("citation_coverage")] == [(1, round(2 / 20 + 0.1, 6))]  # ZORV, 2021; not "ZORV 2021"
+
+
 def test_answers_end_to_end(spark):
     e = models.HashedWords()
     corpus = spark.createDataFrame([(f"c{i}", f"The firm sold {w} in 2023. More followed.", "T" if i % 2 else "U", 2023) for i, w in enumerate(["coal", "ore", "steel", "gas"] * 5)], "chunk_id string, text string, ticker string, year int").withColumn("v", e.embed(F.col("text")))
