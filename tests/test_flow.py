@@ -192,6 +192,14 @@ def test_answers_are_whole_items_against_all_chunks(spark, tmp_path):
     assert [(r.qid, r.coverage) for r in run("citation_coverage")] == [(1, round(2 / 20 + 0.1, 6))]  # ZORV, 2021; not "ZORV 2021"
 
 
+def test_token_counts_of_long_documents(spark, tmp_path):
+    import __spark_entry__ as e
+
+    rows = [(1, "We sold 5 t. " * 1000), (2, "word " * 3000), (3, "a b"), (4, ""), (5, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_tokens for r in e.queries()["token_counts"](spark, str(tmp_path)).collect()} == {1: 5000, 2: 3000, 3: 2, 4: 0}
+
+
 def test_answers_end_to_end(spark):
     e = models.HashedWords()
     corpus = spark.createDataFrame([(f"c{i}", f"The firm sold {w} in 2023. More followed.", "T" if i % 2 else "U", 2023) for i, w in enumerate(["coal", "ore", "steel", "gas"] * 5)], "chunk_id string, text string, ticker string, year int").withColumn("v", e.embed(F.col("text")))
