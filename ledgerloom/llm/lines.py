@@ -86,7 +86,8 @@ def without_repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col
     Texts do not move: the hashes of their lines are looked up in the set of frequent ones, as long as that set is small
     (its size is checked). Beyond that the distinct hashes of each record meet the frequent lines in a join, and what
     returns to a record is the set of its own hashes to delete."""
-    nodes = materialize(line_nodes(df, id_col, source_col, text_col, min_support), "line_nodes")
+    blocks = line_blocks(df, id_col, source_col, text_col, min_support).select(_hash(F.col("source"), F.col("line")).alias("h"))
+    nodes = materialize(blocks, "block_lines")
     rows = df.select(F.col(id_col).alias("id"), normal_source(F.col(source_col)).alias("source"), F.col(text_col).cast("string").alias("text"))
     hashes = F.transform(F.split("text", "\n"), lambda x: let(normal_line(x), lambda n: F.when(n != "", _hash(F.col("source"), n))))
     rows = rows.select("id", "text", F.when(F.col("source").isNotNull(), hashes).alias("hs"))

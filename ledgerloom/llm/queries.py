@@ -46,7 +46,7 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return lines.line_nodes(_chunks(spark, d, "ticker"), "chunk_uid", "ticker", "text").select(F.col("source").alias("ticker"), "line")
+    return lines.line_blocks(_chunks(spark, d, "ticker"), "chunk_uid", "ticker", "text").select(F.col("source").alias("ticker"), "line")
 
 
 def p6_blocks(spark: SparkSession, d: str) -> DataFrame:

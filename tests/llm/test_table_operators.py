@@ -191,3 +191,21 @@ def test_few_equal_and_no_vectors(spark):
     assert neighbours.NeighbourGraph(df.limit(0), "id", "v").neighbours().count() == 0
     same = spark.range(1300).select(F.col("id").cast("string").alias("id"), F.array(F.lit(1.0), F.lit(1.0)).alias("v"))
     assert neighbours.NeighbourGraph(same, "id", "v", rounds=2).neighbours().groupBy("id").count().filter("count = 5").count() == 1300
+
+
+def test_repeated_lines_come_from_the_blocks_of_the_graph(spark, tmp_path, monkeypatch):
+    from ledgerloom.llm import lines, queries
+
+    text = "Head\nSecond\nown {}\nTail"
+    df = spark.createDataFrame([(i, "a ", text.format(i)) for i in range(12)], "chunk_uid bigint, ticker string, text string")
+    df.write.parquet(f"{tmp_path}/sec_chunks.parquet")
+    calls, real = [], lines.line_blocks
+
+    def blocks(*args):
+        calls.append(args)
+        return real(*args)
+
+    monkeypatch.setattr(lines, "line_blocks", blocks)
+    assert sorted(tuple(r) for r in queries.p6_found(spark, str(tmp_path)).collect()) == [("A", "head"), ("A", "second"), ("A", "tail")]
+    assert {(r.text, r.n_removed) for r in queries.p6_cleaned(spark, str(tmp_path)).collect()} == {(f"own {i}", 3) for i in range(12)}
+    assert len(calls) == 2
