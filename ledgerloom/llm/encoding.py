@@ -320,7 +320,9 @@ _SIGN = re.compile(
     r"(?<=\d)[ûñ](?=\d)|(?<!\S)[ùûòñï](?=\s)|(?<![\wÄÇú])[ÄÇú](?=\d)|⌐"
     r"|(?<![\u2500-\u259f])[▒▓╜╫](?![\u2500-\u259f])"
 )
-_QUOTED = re.compile(r"(?<!\w)([ôì])(\w(?:[^ôöìî\n]{0,80}\w)?)([öî])(?!\w)")
+#: A quotation of any length within a paragraph, with its own stop or comma before the closing mark. No run passes another
+#: mark, so the search is linear.
+_QUOTED = re.compile(r"(?<!\w)([ôì])(\w(?:(?:[^ôöìî\n]|\n(?![ \t\r]*\n))*[\w.,;:!?)%])?)([öî])(?!\w)")
 
 
 def _sign_round(text: str) -> tuple[str, list[str]]:

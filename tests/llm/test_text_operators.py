@@ -180,3 +180,20 @@ def test_token_table(spark):
     n = tokens.encode(df, "d", "text", count_only=True).agg(F.sum("n_tokens")).first()[0]
     assert n == sum(len(r.ids) for r in rows)
     assert tokens.encode(df.limit(0), "d", "text").count() == 0
+
+
+def test_long_quotations_are_restored():
+    import time
+
+    from ledgerloom.llm import encoding
+
+    long = "We expect the demand for coal and ore to stay as strong in the coming year as it was in the year before that one"
+    for inner in (long, "We agree.", "We agree,", "We agree\nto sell coal", "x"):
+        for a, b in ("ôö", "ìî"):
+            affected, text, *_ = encoding.restore(f"They said {a}{inner}{b} in the report.")
+            assert affected and text == f"They said “{inner}” in the report."
+    apart = "They said ôWe agree\n\nto sell coalö in the report."
+    assert encoding._sign_round(apart)[0] == apart
+    start = time.time()
+    encoding._sign_round("ôa " * 200_000 + "ôa" + " b" * 200_000)
+    assert time.time() - start < 5
