@@ -93,17 +93,29 @@ def _pack(doc: _Doc, levels: list[int], s: int, e: int, words: int, size: int) -
     return out
 
 
+def _cut(text: str, at: int, end: int, max_bytes: int) -> Iterator[tuple[int, int, str]]:
+    """text[at:end] between characters, at most ``max_bytes`` each."""
+    while at < end:
+        to, used = at, 0
+        while to < end and used + (k := len(text[to].encode("utf-8", "surrogatepass"))) <= max_bytes:
+            used, to = used + k, to + 1
+        yield at, to, text[at:to]
+        at = to
+
+
 def split_text(text: str | None, max_words: int = MAX_WORDS, max_bytes: int = MAX_BYTES, overlap: int = OVERLAP) -> list[tuple]:
     """Pieces as (start_token, end_token, start_char, end_char, text); tokens are words, ends exclusive.
 
     Neighbours share ``overlap`` words, or as many of them as fit beside the new words. A word longer than the byte limit
-    is cut between characters; its pieces share nothing and name the same token."""
+    is cut between characters; its pieces share nothing and name the same token. So is a text of blanks only beyond the byte
+    limit, whose pieces name no token (0, 0); a shorter one has no pieces."""
     if not 0 <= overlap < max_words or max_bytes < 8:
         raise ValueError("overlap must be below max_words, max_bytes at least 8")
     doc = _Doc(text or "")
     n = len(doc.spans)
     if not n:
-        return []
+        whole = text or ""
+        return [(0, 0, *cut) for cut in _cut(whole, 0, len(whole), max_bytes)] if len(whole.encode("utf-8", "surrogatepass")) > max_bytes else []
     if n <= max_words and len(text.encode("utf-8", "surrogatepass")) <= max_bytes:
         return [(0, n, 0, len(text), text)]
     room = max_bytes - max_bytes // 4 if overlap else max_bytes
@@ -112,13 +124,7 @@ def split_text(text: str | None, max_words: int = MAX_WORDS, max_bytes: int = MA
     for s, e in _pack(doc, levels, 0, n, max_words - overlap, room):
         (c, _), (_, d) = doc.spans[s], doc.spans[e - 1]
         if doc.size(s, e) > max_bytes:  # one word
-            at = c
-            while at < d:
-                to, used = at, 0
-                while to < d and used + (k := len(text[to].encode("utf-8", "surrogatepass"))) <= max_bytes:
-                    used, to = used + k, to + 1
-                out.append((s, e, at, to, text[at:to]))
-                at = to
+            out += [(s, e, *cut) for cut in _cut(text, c, d, max_bytes)]
             continue
         o = s
         while out and o > 0 and s - o < overlap and doc.size(o - 1, e) <= max_bytes:

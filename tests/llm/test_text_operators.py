@@ -197,3 +197,12 @@ def test_long_quotations_are_restored():
     start = time.time()
     encoding._sign_round("ôa " * 200_000 + "ôa" + " b" * 200_000)
     assert time.time() - start < 5
+
+
+def test_blanks_beyond_the_byte_limit_are_cut(spark):
+    from ledgerloom.llm import splitting
+
+    df = spark.createDataFrame([(1, " \n\t" * 12_000), (2, "  "), (3, "a b")], "id bigint, text string")
+    got = splitting.split_oversized(df, "id", "text").orderBy("piece_no").collect()
+    assert [(r.id, r.piece_no, r.start_token, r.end_token, r.n_bytes) for r in got] == [(1, 0, 0, 0, 16_384), (1, 1, 0, 0, 16_384), (1, 2, 0, 0, 36_000 - 2 * 16_384)]
+    assert "".join(r.text for r in got) == " \n\t" * 12_000
