@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.runtime import materialize
+from ledgerloom.runtime import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool, salts: int) -> DataFrame:
@@ -35,11 +35,12 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 40,
     cur = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc_edges")
     mark = None
     for _ in range(max_rounds):
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
+        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark or not now[0]:
             break
         mark = tuple(now)
-        cur = materialize(_star(_star(cur, True, salts), False, salts), "cc_round")
+        last, cur = cur, materialize(_star(_star(cur, True, salts), False, salts), "cc_round")
+        discard(last)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(cur.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

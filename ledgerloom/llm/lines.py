@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import let, strip
+from ledgerloom.functions.text import strip
 from ledgerloom.llm.components import connected_components
 from ledgerloom.runtime import materialize
 
@@ -27,6 +27,12 @@ def normal_line(line: Column) -> Column:
     return F.lower(strip(F.regexp_replace(line, "[ \\t\\r]+", " ")))
 
 
+def normal_lines(text: Column) -> Column:
+    """The normal form of every line of a text, empty ones included. Blanks and case are settled on the whole text, in
+    generated code; only the ends are left to be trimmed line by line."""
+    return F.transform(F.split(F.lower(F.regexp_replace(text, "[ \\t\\r]+", " ")), "\n"), strip)
+
+
 def normal_source(source: Column) -> Column:
     return F.upper(strip(source))
 
@@ -40,39 +46,56 @@ def _lines(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFr
     """id, source, lines: the normal, nonempty lines of each record in order."""
     base = df.select(F.col(id_col).alias("id"), normal_source(F.col(source_col)).alias("source"), F.col(text_col).cast("string").alias("text"))
     base = base.filter("source is not null and text is not null")
-    return base.select("id", "source", F.filter(F.transform(F.split("text", "\n"), normal_line), lambda x: x != "").alias("lines"))
+    return base.select("id", "source", F.filter(normal_lines(F.col("text")), lambda x: x != "").alias("lines"))
+
+
+class LineGraph:
+    """The graph of one table. Texts are read and normalized once: what is written, and counted by nodes and edges, is the
+    list of 16-byte line hashes of each record (about a fifth of the texts). The words of a line are read again from one
+    record for each frequent line."""
+
+    def __init__(self, df: DataFrame, id_col: str, source_col: str, text_col: str, min_support: int = MIN_SUPPORT):
+        self.df, self.cols, self.min_support = df, (id_col, source_col, text_col), min_support
+        lines = _lines(df, id_col, source_col, text_col)
+        self.hashed = materialize(lines.select("id", F.transform("lines", lambda x: _hash(F.col("source"), x)).alias("hs")).filter(F.size("hs") > 0), "line_hashes")
+        # partial aggregation on the map side: a source with a third of all rows meets no single task
+        keyed = self.hashed.select("id", F.explode(F.array_distinct("hs")).alias("h"))
+        self.frequent = materialize(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("support"), F.min("id").alias("id")).filter(F.col("support") >= min_support), "frequent_lines")
+
+    def nodes(self) -> DataFrame:
+        """h, source, line, support of the lines with at least ``min_support`` records."""
+        id_col = self.cols[0]
+        ids = self.frequent.select(F.col("id").alias(id_col)).distinct()
+        holders = _lines(self.df.join(ids, id_col, "left_semi"), *self.cols)  # before a text is split
+        words = holders.select("source", F.explode("lines").alias("line")).distinct().withColumn("h", _hash(F.col("source"), F.col("line")))
+        return words.join(self.frequent.select("h", "support"), "h").select("h", "source", "line", "support")
+
+    def edges(self) -> DataFrame:
+        """h_from, h_to, support: pairs of frequent lines that follow one another in at least ``min_support`` records. Steps
+        to or from a line that is no node are gone before anything is counted."""
+        n = F.size("hs")
+        step = lambda i: F.struct(F.element_at("hs", i).alias("h_from"), F.element_at("hs", i + 1).alias("h_to"))
+        steps = self.hashed.filter(n > 1).select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), step))).alias("e")).select("e.*")
+        kept = self.frequent.select("h")
+        for end in ("h_from", "h_to"):
+            steps = steps.join(kept.withColumnRenamed("h", end), end, "left_semi")
+        return steps.groupBy("h_from", "h_to").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= self.min_support)
+
+    def blocks(self) -> DataFrame:
+        """source, line, support, block: each node with the component it belongs to, named by its alphabetically first line."""
+        edges = self.edges().filter("h_from <> h_to").select(F.hex("h_from").alias("a"), F.hex("h_to").alias("b"))
+        parts = connected_components(edges, "a", "b")
+        named = materialize(self.nodes().withColumn("node", F.hex("h")).join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")), "line_parts")
+        first = named.groupBy("part").agg(F.min("line").alias("block"))
+        return named.join(first, "part").select("source", "line", "support", "block")
 
 
 def line_nodes(df: DataFrame, id_col: str, source_col: str, text_col: str, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """h, source, line, support: the nodes of the graph with at least ``min_support`` records.
-
-    Supports are counted on 16-byte hashes with partial aggregation on the map side; a source that holds a third of all
-    rows therefore meets no single task. Each frequent hash remembers one record that holds it; the words are read again
-    from those records only."""
-    lines = _lines(df, id_col, source_col, text_col)
-    keyed = lines.select("id", "source", F.explode(F.array_distinct("lines")).alias("line")).select("id", _hash(F.col("source"), F.col("line")).alias("h"))
-    frequent = materialize(keyed.groupBy("h").agg(F.count(F.lit(1)).alias("support"), F.min("id").alias("id")).filter(F.col("support") >= min_support), "frequent_lines")
-    holders = lines.join(frequent.select("id").distinct(), "id", "left_semi")
-    words = holders.select("source", F.explode("lines").alias("line")).distinct().withColumn("h", _hash(F.col("source"), F.col("line")))
-    return words.join(frequent.select("h", "support"), "h").select("h", "source", "line", "support")
-
-
-def line_edges(df: DataFrame, nodes: DataFrame, id_col: str, source_col: str, text_col: str, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """h_from, h_to, support: pairs of kept lines that follow one another in at least ``min_support`` records."""
-    seq = _lines(df, id_col, source_col, text_col).select("id", "source", F.transform("lines", lambda x: _hash(F.col("source"), x)).alias("hs"))
-    steps = seq.filter(F.size("hs") > 1).select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("hs") - 1), lambda i: F.struct(F.element_at("hs", i).alias("h_from"), F.element_at("hs", i + 1).alias("h_to"))))).alias("e"))
-    counted = steps.select("e.*").groupBy("h_from", "h_to").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_support)
-    kept = nodes.select("h")
-    return counted.join(kept.withColumnRenamed("h", "h_from"), "h_from", "left_semi").join(kept.withColumnRenamed("h", "h_to"), "h_to", "left_semi")
+    return LineGraph(df, id_col, source_col, text_col, min_support).nodes()
 
 
 def line_blocks(df: DataFrame, id_col: str, source_col: str, text_col: str, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """source, line, support, block: each kept line with the component of the graph it belongs to (its smallest hash)."""
-    nodes = materialize(line_nodes(df, id_col, source_col, text_col, min_support), "line_nodes")
-    edges = line_edges(df, nodes, id_col, source_col, text_col, min_support).filter("h_from <> h_to").select(F.hex("h_from").alias("a"), F.hex("h_to").alias("b"))
-    parts = connected_components(edges, "a", "b")
-    named = nodes.withColumn("node", F.hex("h")).join(parts, "node", "left")
-    return named.select("source", "line", "support", F.coalesce("component", "node").alias("block"))
+    return LineGraph(df, id_col, source_col, text_col, min_support).blocks()
 
 
 #: Frequent lines whose hashes (16 bytes each) are sent to every task; with more of them texts meet their lines in a join.
@@ -89,7 +112,7 @@ def without_repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col
     blocks = line_blocks(df, id_col, source_col, text_col, min_support).select(_hash(F.col("source"), F.col("line")).alias("h"))
     nodes = materialize(blocks, "block_lines")
     rows = df.select(F.col(id_col).alias("id"), normal_source(F.col(source_col)).alias("source"), F.col(text_col).cast("string").alias("text"))
-    hashes = F.transform(F.split("text", "\n"), lambda x: let(normal_line(x), lambda n: F.when(n != "", _hash(F.col("source"), n))))
+    hashes = F.transform(normal_lines(F.col("text")), lambda n: F.when(n != "", _hash(F.col("source"), n)))
     rows = rows.select("id", "text", F.when(F.col("source").isNotNull(), hashes).alias("hs"))
     if nodes.count() <= BROADCAST_LINES:
         return _looked_up(rows, [bytes(r.h) for r in nodes.select("h").distinct().toLocalIterator()])

@@ -184,6 +184,16 @@ r as (select a, b, row_number() over (partition by a order by c desc, b) as k fr
 select distinct least(a, b) as chunk_a, greatest(a, b) as chunk_b from r where k <= 5""",
     "p5_found": _P5,
     "p6_found": _P6_LINES + "select t as ticker, line from found",
+    "p6_blocks": _P6_LINES.replace("\nwith ", "\nwith recursive ", 1)
+    + r"""
+, lists as (select chunk_uid, t, list_filter(list_transform(string_split(text, chr(10)), lambda x: lower(trim(regexp_replace(x, '[ \t\r]+', ' ', 'g')))), lambda x: x <> '') as ls from rows where t is not null),
+steps as (select distinct chunk_uid, t, ls[i] as a, ls[i + 1] as b from (select *, unnest(range(1, len(ls))) as i from lists)),
+edges as (select t, a, b from steps where a <> b group by t, a, b having count(*) >= 10),
+links as (select t, a, b from edges union select t, b, a from edges),
+reach as (select t, line as a, line as b from found union select r.t, r.a, e.b from reach r join links e on e.t = r.t and e.a = r.b)
+select f.t as ticker, f.line, n.support, p.block from found f
+join (select t, line, count(*) as support from lines group by t, line) n on n.t = f.t and n.line = f.line
+join (select t, a, min(b) as block from reach group by t, a) p on p.t = f.t and p.a = f.line""",
     "p6_cleaned": _P6_LINES
     + r"""
 , kept as (
