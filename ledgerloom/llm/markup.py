@@ -1,9 +1,12 @@
 """Markup residue: HTML, Markdown, wiki and LaTeX turned into clean text that keeps headings, lists, cells, code and formulas.
 
 A text is first cut into blocks (heading, list item, table row, code, formula, paragraph), whatever markup it is written
-in. The blocks are then judged in two passes. Pass one looks at each alone: tables, code and formulas are kept; the share of
-characters inside links and the share of stop words, with the length, make a block good, bad or undecided (short). Pass two
-gives undecided blocks the label of the nearest decided neighbours: bad only between bad ones.
+in. The block parser counts every construct where it turns it into text; a text in which it found none has no markup. No
+construct is bounded in length: openers and closers are paired within their paragraph, line or tag by scans that are linear
+in the text. The blocks are then judged in two passes. Pass one looks at each alone: lists, tables, code and formulas are
+kept; the share of characters inside links and the share of stop words, with the length, make a block good, bad or undecided
+(short, or long with hardly a stop word). Pass two gives undecided blocks the label of the nearest decided neighbours: bad
+only between bad ones. The only block of a text always stays.
 
 Signs in their plain sense (``R&D``, ``p < 0.02``, ``4 * 4``, ``[8]``, ``{net}``, ``$4 and $36``, ``a_b``) are no markup.
 
@@ -17,45 +20,50 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = r"</?[A-Za-z][A-Za-z0-9:_-]{0,40}(?:\s[^<>]{0,2000})?/?>"
-_NAME = r"(?:[a-zA-Z]{2,8}[0-9]{0,2}|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6})"
-
-#: Constructs by kind; each alternative is markup by itself.
-MARKS = {
-    "html": rf"<!--|-->|<!DOCTYPE|<!\[CDATA\[|<\?xml|{_TAG}|&{_NAME};",
-    "markdown": (
-        r"(?m:^[ \t]{0,3}#{1,6}[ \t]+\S)|(?m:^[ \t]{0,3}(?:```|~~~))|```|!?\[[^\[\]\n]{0,300}\]\((?:[a-z]{2,10}:|#|/|\.|[\w.-]+\.[a-z]{2,4}\b)[^()\s]{0,500}(?:\s\"[^\"]*\")?\)"
-        r"|!?\[[^\[\]\n]{1,300}\]\[[^\[\]\n]{0,80}\]|(?m:^\[[^\]\n]{1,80}\]:[ \t]+\S+)|\*\*(?=\S)(?:[^*\n]|\n(?!\n)){1,300}?(?<=\S)\*\*|(?<![\w_])__(?=[^\s_])(?:[^\n]|\n(?!\n)){1,300}?(?<=[^\s_])__(?![\w_])"
-        r"|~~(?=\S)(?:[^~\n]|\n(?!\n)){1,300}?(?<=\S)~~|(?<![`\w])`[^`\n]{1,200}`(?![`\w])|(?m:^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$)"
-        r"|(?<![\w*])\*(?=[^\s*\d])[^*\n]{1,120}?(?<=[^\s*])\*(?![\w*])|(?m:^[ \t]{0,3}>[ \t]+[A-Za-z])|(?m:^[ \t]{0,3}[*+][ \t]+(?=\S))|(?m:^[^\n|]{1,200}\n(?:={3,}|-{3,})[ \t]*$)"
-    ),
-    "wiki": (
-        r"\[\[[^\[\]\n]{1,300}\]\]|\{\{[^{}\n]{1,500}\}\}|(?m:^[ \t]*={2,6}[ \t]*[^=\s][^=\n]{0,200}?[ \t]*={2,6}[ \t]*$)|\{\|(?:[ \t\u00a0]|&nbsp;)*(?:class|style|border|\n|$)|(?m:^\{\||^\|\}|^\|-)|'''?(?=\S)(?:[^'\n]|\n(?!\n)){1,200}?(?<=\S)'''?"
-        r"|(?<!\w)\[(?:https?|ftp)://[^\s\]]+(?:\s[^\]\n]*)?\]|__(?:TOC|NOTOC|FORCETOC|NOEDITSECTION)__"
-    ),
-    "latex": (
-        r"\\(?:begin|end)\{[A-Za-z*]{1,30}\}|\\(?:(?:sub){0,2}section|chapter|paragraph|text[a-z]{2}|textnormal|emph|frac|dfrac|tfrac|sqrt|underline|mathrm|mathbf|mathit|item|label|ref|cite|footnote|caption|href|url|title|author|multicolumn|hline|cline|toprule|midrule|bottomrule|"
-        r"sum|prod|int|cdot|times|alpha|beta|gamma|delta|Delta|epsilon|lambda|mu|sigma|theta|pi|infty|leq|geq|neq|approx|pm|left|right|quad|hspace|vspace|noindent|par|documentclass|usepackage|overline|hat|bar|vec|partial|nabla|ldots|dots)\b\*?"
-        r"|\\\[|\\\]|\\\((?=[^()\n]*\\\))|\$\$[^$\n]{1,500}\$\$|(?<![\\$\w])\$(?=[^\s$\d])[^$\n]{0,200}?[\\^_={}][^$\n]{0,200}?(?<=\S)\$(?![\d$])|(?<=[A-Za-z0-9 ])\\[&%$#_](?=[\s\w])"
-    ),
-}
-_MARK = {k: re.compile(v, re.I if k == "html" else 0) for k, v in MARKS.items()}
+#: LaTeX commands that are markup by their name alone (fixed values).
+_COMMANDS = (
+    "begin end section subsection subsubsection chapter paragraph textbf textit texttt textsc textsf textrm textup textsl textmd textnormal emph frac dfrac tfrac sqrt underline mathrm mathbf mathit item label ref cite "
+    "footnote caption href url title author multicolumn hline cline toprule midrule bottomrule sum prod int cdot times alpha beta gamma delta Delta epsilon lambda mu sigma theta pi infty leq geq neq approx pm left right quad "
+    "hspace vspace noindent par documentclass usepackage overline hat bar vec partial nabla ldots dots"
+).split()
+_COMMAND = re.compile(r"\\(?:" + "|".join(sorted(_COMMANDS, key=len, reverse=True)) + r")(?![A-Za-z])\*?")
+_ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+class Found(dict):
+    """How often each kind of markup was turned into text."""
+
+    def add(self, kind: str, n: int = 1) -> None:
+        if n:
+            self[kind] = self.get(kind, 0) + n
+
+    def decode(self, s: str) -> str:
+        """Character references that HTML knows; others are plain text."""
+        if "&" not in s:
+            return s
+
+        def one(m: re.Match) -> str:
+            name = m.group()[1:]
+            if name[0] != "#" and name not in html5:
+                return m.group()
+            self.add("html")
+            return html.unescape(m.group())
+
+        return _ENTITY.sub(one, s)
 
 
 def marks(text: str | None) -> dict[str, int]:
-    """How often each kind of markup occurs."""
-    if not text:
-        return {}
-    out = {}
-    for kind, p in _MARK.items():
-        if n := sum(1 for _ in p.finditer(text)):
-            out[kind] = n
-    return out
+    """How often each kind of markup occurs: what the block parser finds."""
+    found = Found()
+    if text:
+        to_blocks(text, found)
+    return found
 
 
 _STOP = frozenset(
@@ -63,7 +71,7 @@ _STOP = frozenset(
     "der die das und ist mit von den im für le la les des et en un une du que el los las y de por con o e do da em".split()
 )
 _WORDS = re.compile(r"[^\W\d_]+")
-LINK_BAD, LINK_SOME, STOP_GOOD, SHORT = 0.5, 0.2, 0.2, 70
+LINK_BAD, LINK_SOME, STOP_GOOD, STOP_SOME, SHORT = 0.5, 0.2, 0.2, 0.05, 70
 KEPT = frozenset(("row", "code", "formula"))
 
 
@@ -80,17 +88,20 @@ def classify(blocks: list[Block]) -> list[bool]:
     for b in blocks:
         size = max(len(b.text), 1)
         density = b.linked / size
-        if b.kind in KEPT or not b.linked and len(b.text) >= SHORT:
+        if b.kind in KEPT or b.kind.startswith("item") or len(blocks) == 1:
             first.append(True)
             continue
+        if size < SHORT and not b.linked:
+            first.append(None)
+            continue
         words = _WORDS.findall(b.text.lower())
         stops = sum(w in _STOP for w in words) / max(len(words), 1)
         if density > LINK_BAD:
             first.append(False if size >= 25 or stops < STOP_GOOD else None)
-        elif size < SHORT or LINK_SOME < density:
+        elif size < SHORT or density > LINK_SOME:
             first.append(None)
         else:
-            first.append(True if stops >= STOP_GOOD or not b.linked else None)
+            first.append(True if stops >= (STOP_GOOD if b.linked else STOP_SOME) else None)
     out: list[bool] = []
     after: list[bool | None] = [None] * len(first)
     nxt = None
@@ -108,8 +119,11 @@ def classify(blocks: list[Block]) -> list[bool]:
     return out
 
 
+#: Elements whose tags are residue even where their brackets were written as references (fixed values).
+_ELEMENTS = "a b br div em font h1 h2 h3 h4 h5 h6 hr i img li ol p span strong sub sup table tbody td th thead tr u ul".split()
+_WRITTEN_OUT = re.compile(r"&lt;(/?(?:" + "|".join(_ELEMENTS) + r")(?:\s[^<>&]*)?/?)&gt;", re.I)
 _SPACE = re.compile(r"[ \t\r\f\v\u00a0\u2000-\u200b\u202f\u205f\u3000\ufeff]+")
-_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^<>]*>", re.I | re.S)
+_GONE = re.compile(r"<!--.*?(?:-->|\Z)|-->|<(script|style|noscript|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][A-Za-z][^<>]*>", re.I | re.S)
 _TOKEN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:\s[^<>]*)?)/?>")
 _BREAKS = frozenset("p div section article header footer main aside nav ul ol dl table thead tbody tfoot form fieldset figure figcaption address blockquote hr body html head title center".split())
 _MARK_UP = {"sup": "^", "sub": "_"}
@@ -119,9 +133,12 @@ def _tidy(s: str) -> str:
     return _SPACE.sub(" ", s).strip()
 
 
-def _html_blocks(source: str) -> list[Block]:
+def _html_blocks(source: str, found: Found) -> list[Block]:
     """Blocks of an HTML text: a scanner over tags, so malformed and unclosed markup needs no tree."""
-    source = _GONE.sub(" ", source)
+    if "&lt;" in source and "<pre" not in source.lower():
+        source = _WRITTEN_OUT.sub(r"<\1>", source)
+    source, n = _GONE.subn(" ", source)
+    found.add("html", n)
     blocks: list[Block] = []
     buf: list[str] = []
     cells: list[str] | None = None
@@ -161,8 +178,9 @@ def _html_blocks(source: str) -> list[Block]:
 
     pos = 0
     for m in _TOKEN.finditer(source):
-        piece = html.unescape(source[pos : m.start()])
+        piece = found.decode(source[pos : m.start()])
         pos = m.end()
+        found.add("html")
         if piece:
             buf.append(piece if code else piece.replace("\r\n", "\n").replace("\r", "\n"))
             if in_link:
@@ -230,7 +248,7 @@ def _html_blocks(source: str) -> list[Block]:
             in_link = 0 if close else 1
         elif name == "img" and (alt := re.search(r"\balt\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", attrs, re.I)):
             buf.append(alt.group(1) or alt.group(2) or "")
-    rest = html.unescape(re.sub(r"<[/!]?[A-Za-z][^<>]*\Z", "", source[pos:]))
+    rest = found.decode(re.sub(r"<[/!]?[A-Za-z][^<>]*\Z", "", source[pos:]))
     if rest:
         buf.append(rest)
     end_row()
@@ -238,19 +256,69 @@ def _html_blocks(source: str) -> list[Block]:
     return blocks
 
 
+_URL = r"(?:[a-z]{2,10}:|#|/|\.|[\w.-]+\.[a-z]{2,4}\b)[^()\s]*(?:\s\"[^\"\n]*\")?"
+#: (kind, pattern, text): runs exclude their own sign, so each part of a text is looked at once.
 _INLINE = [
-    (re.compile(r"!\[([^\[\]\n]*)\]\([^()\n]*\)"), r"\1"),
-    (re.compile(r"\[([^\[\]\n]*)\]\((?:[a-z]{2,10}:|#|/|\.|[\w.-]+\.[a-z]{2,4}\b)[^()\s]*(?:\s\"[^\"]*\")?\)"), "\x02\\1\x03"),
-    (re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]"), "\x02\\1\x03"),
-    (re.compile(r"(?<!\w)\[(?:https?|ftp)://[^\s\]]+(?:\s([^\]\n]*))?\]"), "\x02\\1\x03"),
-    (re.compile(r"\{\{[^{}\n]*\}\}"), ""),
-    (re.compile(r"\*\*(?=\S)((?:[^*\n]|\n(?!\n))+?)(?<=\S)\*\*"), r"\1"),
-    (re.compile(r"(?<![\w_])__(?=[^\s_])((?:[^\n]|\n(?!\n))+?)(?<=[^\s_])__(?![\w_])"), r"\1"),
-    (re.compile(r"(?<![\w*])\*(?=[^\s*\d])([^*\n]{1,120}?)(?<=[^\s*])\*(?![\w*])"), r"\1"),
-    (re.compile(r"~~(?=\S)((?:[^~\n]|\n(?!\n))+?)(?<=\S)~~"), r"\1"),
-    (re.compile(r"'''?(?=\S)((?:[^'\n]|\n(?!\n))+?)(?<=\S)'''?"), r"\1"),
-    (re.compile(r"(?<![`\w])`([^`\n]+)`(?![`\w])"), r"\1"),
+    ("markdown", re.compile(r"!\[([^\[\]\n]*)\]\([^()\n]*\)"), r"\1"),
+    ("markdown", re.compile(rf"\[([^\[\]\n]*)\]\({_URL}\)"), "\x02\\1\x03"),
+    ("wiki", re.compile(r"\[\[(?:[^\[\]\n]*\|)?([^\[\]|\n]*)\]\]"), "\x02\\1\x03"),
+    ("markdown", re.compile(r"!?\[([^\[\]\n]+)\]\[[^\[\]\n]*\]"), r"\1"),
+    ("markdown", re.compile(r"(?m)^\[([^\]\n]+)\]:[ \t]+(?=\S)"), r"\1: "),
+    ("wiki", re.compile(r"(?<!\w)\[(?:https?|ftp)://[^\s\]]+(?:\s([^\]\n]*))?\]"), "\x02\\1\x03"),
+    ("markdown", re.compile(r"\*\*(?=\S)((?:[^*\n]|\n(?!\n))+)(?<=\S)\*\*"), r"\1"),
+    ("markdown", re.compile(r"(?<![\w*])\*(?=[^\s*\d])([^*\n]+)(?<=[^\s*])\*(?![\w*])"), r"\1"),
+    ("markdown", re.compile(r"~~(?=\S)((?:[^~\n]|\n(?!\n))+)(?<=\S)~~"), r"\1"),
+    ("wiki", re.compile(r"'''?(?=\S)((?:[^'\n]|\n(?!\n))+)(?<=\S)'''?"), r"\1"),
+    ("markdown", re.compile(r"```+"), " "),
+    ("markdown", re.compile(r"(?<![`\w])`([^`\n]+)`(?![`\w])"), r"\1"),
+    ("wiki", re.compile(r"__(?:TOC|NOTOC|FORCETOC|NOEDITSECTION)__"), " "),
+    ("wiki", re.compile(r"\{\|(?:[ \t\u00a0])*(?:(?:class|style|border)[^\n]*|$)"), " "),
 ]
+_UNDERLINED = re.compile(r"(?<![\w_])__(?=[^\s_])|(?<=[^\s_])__(?![\w_])|\n\n")
+_BRACES = re.compile(r"\{\{|\}\}")
+
+
+def _underlined(s: str, found: Found) -> str:
+    """``__x__`` within a paragraph: the first opener meets the next closer."""
+    if "__" not in s:
+        return s
+    cut: list[int] = []
+    opened = None
+    for m in _UNDERLINED.finditer(s):
+        if m.group() == "\n\n":
+            opened = None
+        elif opened is not None and m.start() > opened + 2 and s[m.start() - 1] not in " \t\n_" and not (s[m.end() : m.end() + 1].isalnum() or s[m.end() : m.end() + 1] == "_"):
+            cut += [opened, m.start()]
+            opened = None
+            found.add("markdown")
+        elif opened is None and s[m.end() : m.end() + 1].strip() and not (m.start() and (s[m.start() - 1].isalnum() or s[m.start() - 1] == "_")):
+            opened = m.start()
+    if not cut:
+        return s
+    return "".join(s[a:b] for a, b in zip([0, *(c + 2 for c in cut)], [*cut, len(s)]))
+
+
+def _templates(s: str, found: Found) -> str:
+    """``{{...}}`` of any length, over several lines and nested, is removed; what is not closed stays."""
+    if "{{" not in s:
+        return s
+    stack: list[int] = []
+    gone: list[tuple[int, int]] = []
+    for m in _BRACES.finditer(s):
+        if m.group() == "{{":
+            stack.append(m.start())
+        elif stack:
+            start = stack.pop()
+            if m.start() > start + 2:
+                while gone and gone[-1][0] > start:
+                    gone.pop()
+                gone.append((start, m.end()))
+    found.add("wiki", len(gone))
+    if not gone:
+        return s
+    return "".join(s[a:b] for a, b in zip([0, *(e for _, e in gone)], [*(b for b, _ in gone), len(s)]))
+
+
 _FRAC = re.compile(r"\\[dt]?frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}")
 _SQRT = re.compile(r"\\sqrt\s*\{([^{}]*)\}")
 _WRAP = re.compile(r"\\(?:text[a-z]{2}|textnormal|text|emph|underline|math[a-z]{2,3}|overline|hat|bar|vec|footnote|caption|title|author|ref|cite|url)\*?\s*\{([^{}]*)\}")
@@ -265,7 +333,7 @@ _SYMBOLS = re.compile(r"\\(" + "|".join(sorted(_SYMBOL, key=len, reverse=True))
 
 def _formula(s: str) -> str:
     """A readable line for LaTeX mathematics."""
-    for _ in range(6):
+    while True:  # each step takes a command away
         new = _SQRT.sub(r"√(\1)", _FRAC.sub(lambda m: f"({m.group(1)})/({m.group(2)})", _WRAP.sub(r"\1", s)))
         if new == s:
             break
@@ -277,9 +345,10 @@ def _formula(s: str) -> str:
 
 
 _TABULAR = re.compile(r"\\begin\{(tabular|array|longtable)\*?\}(?:\[[^\]]*\])?(?:\{[^{}\n]*\})?(.*?)(?:\\end\{\1\*?\}|\Z)", re.S)
-_DISPLAY = re.compile(r"\\\[(.*?)\\\]|\$\$(.+?)\$\$|\\begin\{(equation|align|gather|displaymath|math)\*?\}(.*?)\\end\{\3\*?\}", re.S)
-_MATH = re.compile(r"(?<![\\$\w])\$(?=[^\s$\d])([^$\n]*?[\\^_={}][^$\n]*?)(?<=\S)\$(?![\d$])|\\\(([^()\n]*)\\\)")
+_DISPLAY = re.compile(r"\\\[((?:(?!\\[\[\]]).)*)\\\]|\$\$((?:[^$\n]|\n(?!\s*\n))+)\$\$|\\begin\{(equation|align|gather|displaymath|math)\*?\}((?:(?!\\begin\{).)*?)\\end\{\3\*?\}", re.S)
+_MATH = re.compile(r"(?<![\\$\w])\$(?=[^\s$\d])(?=[^$\n]*[\\^_={}])([^$\n]*)(?<=\S)\$(?![\d$])|\\\(([^()\n]*)\\\)")
 _SECTION = re.compile(r"\\((?:sub){0,2})(?:section|chapter|paragraph)\*?\s*\{([^{}]*)\}[ \t]*")
+_ESCAPED = re.compile(r"(?<=[A-Za-z0-9 ])\\([&%$#_])(?=[\s\w])")
 _FENCE = re.compile(r"(?m)^[ \t]{0,3}(```|~~~)[^\n`]*\n(.*?)(?:^[ \t]{0,3}\1[ \t]*$|\Z)", re.S)
 _WIKI_TABLE = re.compile(r"(?m)^[ \t]*\{\|.*?(?:^[ \t]*\|\}[ \t]*|\Z)", re.S)
 _RULE = re.compile(r"[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*")
@@ -314,23 +383,34 @@ def _wiki_rows(source: str) -> str:
     return "\n".join(" | ".join(r) for r in rows if any(r))
 
 
-def to_blocks(text: str) -> list[Block]:
-    """Blocks of a text in any mixture of the four kinds of markup."""
+def to_blocks(text: str, found: Found) -> list[Block]:
+    """Blocks of a text in any mixture of the four kinds of markup; ``found`` counts what was turned into text."""
     held: list[Block] = []
 
-    def hold(kind: str, body: str) -> str:
+    def hold(what: str, kind: str, body: str) -> str:
+        found.add(what)
         held.append(Block(kind, body))
         return f"\n\x00{len(held) - 1}\x01\n"
 
+    def math(m: re.Match) -> str:
+        found.add("latex")
+        return _formula(m.group(1) or m.group(2) or "")
+
+    def section(m: re.Match) -> str:
+        found.add("latex")
+        return f"\n{'#' * (1 + m.group(1).count('sub'))} {m.group(2)}\n"
+
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\x00", "").replace("\x01", "")
-    text = _FENCE.sub(lambda m: hold("code", m.group(2).strip("\n").rstrip()), text)
-    text = _WIKI_TABLE.sub(lambda m: hold("row", "\n".join(_inline(r)[0] for r in html.unescape(_wiki_rows(m.group())).split("\n"))), text)
-    text = _TABULAR.sub(lambda m: hold("row", _latex_rows(m.group(2))), text)
-    text = _DISPLAY.sub(lambda m: hold("formula", _formula(m.group(1) or m.group(2) or m.group(4) or "")), text)
-    text = _SECTION.sub(lambda m: f"\n{'#' * (1 + m.group(1).count('sub'))} {m.group(2)}\n", text)
-    text = _MATH.sub(lambda m: _formula(m.group(1) or m.group(2) or ""), text)
+    text = _FENCE.sub(lambda m: hold("markdown", "code", m.group(2).strip("\n").rstrip()), text)
+    text = _WIKI_TABLE.sub(lambda m: hold("wiki", "row", "\n".join(_inline(r, found)[0] for r in found.decode(_TOKEN.sub(" ", _WRITTEN_OUT.sub(r"<\1>", _wiki_rows(m.group())))).split("\n"))), text)
+    if "\\" in text or "$" in text:
+        text = _TABULAR.sub(lambda m: hold("latex", "row", _latex_rows(m.group(2))), text)
+        text = _DISPLAY.sub(lambda m: hold("latex", "formula", _formula(m.group(1) or m.group(2) or m.group(4) or "")), text)
+        text = _SECTION.sub(section, text)
+        text = _MATH.sub(math, text)
+    text = _templates(text, found)
     out: list[Block] = []
-    for block in _html_blocks(text):
+    for block in _html_blocks(text, found):
         if block.kind == "code":
             out.append(block)
             continue
@@ -341,7 +421,7 @@ def to_blocks(text: str) -> list[Block]:
         def close(kind: str = "text") -> None:
             nonlocal linked
             if para:
-                body, links = _inline("\n".join(para))
+                body, links = _inline("\n".join(para), found)
                 if body:
                     out.append(Block(kind if not block.kind.startswith("item") else block.kind, body, min(len(body), links + linked), block.level))
                 para.clear()
@@ -351,36 +431,50 @@ def to_blocks(text: str) -> list[Block]:
             if m := _CODES.fullmatch(line.strip()):
                 close()
                 out.append(held[int(m.group(1))])
-            elif m := re.fullmatch(r"[ \t]{0,3}(#{1,6})[ \t]+(.+?)[ \t#]*", line):
+            elif m := re.fullmatch(r"[ \t]{0,3}(#{1,6})[ \t]+(?=\S)(.+)", line):
+                found.add("markdown")
                 close()
-                out.append(Block("heading", _inline(m.group(2))[0], 0, len(m.group(1))))
-            elif m := re.fullmatch(r"[ \t]*(={2,6})[ \t]*([^=\n]+?)[ \t]*={2,6}[ \t]*", line):
+                out.append(Block("heading", _inline(m.group(2).rstrip(" \t#"), found)[0], 0, len(m.group(1))))
+            elif m := re.fullmatch(r"[ \t]*(={2,6})([^=\n]*[^=\s][^=\n]*)={2,6}[ \t]*", line):
+                found.add("wiki")
                 close()
-                out.append(Block("heading", _inline(m.group(2))[0], 0, len(m.group(1))))
+                out.append(Block("heading", _inline(m.group(2).strip(), found)[0], 0, len(m.group(1))))
             elif re.fullmatch(r"(?:={3,}|-{3,})[ \t]*", line):
-                if len(para) == 1 and line.startswith(("=", "-")):
-                    body = _inline(para.pop())[0]
+                if para and "|" not in para[-1]:
+                    found.add("markdown")
+                if len(para) == 1:
+                    body = _inline(para.pop(), found)[0]
                     out.append(Block("heading", body, 0, 1 if line[0] == "=" else 2))
                 else:
                     close()
             elif _RULE.fullmatch(line):
-                continue
+                found.add("markdown")
+            elif re.match(r"\|[}-]", line):  # what is left of a wiki table
+                found.add("wiki")
+                close()
             elif line.strip().startswith("|") and line.count("|") > 1 or n + 1 < len(lines) and "|" in line and _RULE.fullmatch(lines[n + 1]):
                 close()
-                cells = [_inline(c.strip())[0] for c in line.strip().strip("|").split("|")]
+                cells = [_inline(c.strip(), found)[0] for c in line.strip().strip("|").split("|")]
                 if any(cells):
                     out.append(Block("row", " | ".join(cells)))
-            elif m := re.match(r"[ \t]{0,8}(?:[*+-]|\*{2,4}|#{2,4}(?=\S))[ \t]+(?=\S)", line):
+            elif m := re.match(r"([ \t]*)([*+-]|\*{2,4}|#{2,4}(?=\S))[ \t]+(?=\S)", line):
+                if m.group(2) in ("*", "+") and len(m.group(1)) < 4:
+                    found.add("markdown")
                 close()
-                body, links = _inline(line[m.end() :])
+                body, links = _inline(line[m.end() :], found)
                 if body:
                     out.append(Block("item", body, links, 1))
-            elif m := re.match(r"[ \t]{0,3}>[ \t]+", line):
-                para.append(line[m.end() :])
+            elif m := re.match(r"[ \t]{0,3}>[ \t]+([A-Za-z]?)", line):
+                if m.group(1):
+                    found.add("markdown")
+                para.append(line[m.start(1) :])
             else:
-                para.append(re.sub(r"^[ \t]*\\item(?![A-Za-z])[ \t]*", "- ", line))
+                if m := re.match(r"[ \t]*\\item(?![A-Za-z])[ \t]*", line):
+                    found.add("latex")
+                    line = "- " + line[m.end() :]
+                para.append(line)
         if block.kind in ("row", "heading"):
-            body, links = _inline(" ".join(para))
+            body, links = _inline(" ".join(para), found)
             if body:
                 out.append(Block(block.kind, body, links, block.level))
             para.clear()
@@ -388,16 +482,22 @@ def to_blocks(text: str) -> list[Block]:
     return [Block(b.kind, _CODES.sub(lambda m: held[int(m.group(1))].text.replace("\n", "; "), b.text), b.linked, b.level) for b in out]
 
 
-def _inline(s: str) -> tuple[str, int]:
+def _inline(s: str, found: Found) -> tuple[str, int]:
     """Inline signs removed, and the number of characters that were a link's."""
-    for p, to in _INLINE:
-        s = p.sub(to, s)
-    s = _HREF.sub("\x02\\1\x03", s)
+    s = _underlined(s, found)
+    for kind, p, to in _INLINE:
+        s, n = p.subn(to, s)
+        found.add(kind, n)
     if "\\" in s:
-        for _ in range(3):
-            s = _FRAC.sub(r"(\1)/(\2)", _WRAP.sub(r"\1", s))
-        s = _SYMBOLS.sub(lambda m: _SYMBOL[m.group(1)], _DROPPED.sub("", s))
-        s = re.sub(r"(?<=[A-Za-z0-9 ])\\([&%$#_])(?=[\s\w])", r"\1", s)
+        found.add("latex", len(_COMMAND.findall(s)))
+        s = _HREF.sub("\x02\\1\x03", s)
+        while (new := _FRAC.sub(r"(\1)/(\2)", _WRAP.sub(r"\1", s))) != s:  # each step takes a command away
+            s = new
+        s = _COMMAND.sub(" ", _SYMBOLS.sub(lambda m: _SYMBOL[m.group(1)], _DROPPED.sub("", s)))
+        s, n = _ESCAPED.subn(r"\1", s)
+        found.add("latex", n)
+        s, n = re.subn(r"\\[\[\]]", " ", s)
+        found.add("latex", n)
     linked = sum(len(x) for x in re.findall("\x02([^\x02\x03]*)\x03", s))
     s = s.replace("\x02", "").replace("\x03", "")
     return "\n".join(t for t in map(_tidy, s.split("\n")) if t), linked
@@ -405,10 +505,10 @@ def _inline(s: str) -> tuple[str, int]:
 
 def clean(text: str | None) -> tuple[str | None, dict[str, int], int]:
     """(clean text, occurrences of markup by kind, blocks dropped)."""
-    found = marks(text)
+    found = Found()
+    blocks = to_blocks(text, found) if text else []
     if not found:
         return text, {}, 0
-    blocks = to_blocks(text)
     keep = classify(blocks)
     out, before = [], ""
     for b, k in zip(blocks, keep):

@@ -206,3 +206,41 @@ def test_blanks_beyond_the_byte_limit_are_cut(spark):
     got = splitting.split_oversized(df, "id", "text").orderBy("piece_no").collect()
     assert [(r.id, r.piece_no, r.start_token, r.end_token, r.n_bytes) for r in got] == [(1, 0, 0, 0, 16_384), (1, 1, 0, 0, 16_384), (1, 2, 0, 0, 36_000 - 2 * 16_384)]
     assert "".join(r.text for r in got) == " \n\t" * 12_000
+
+
+LONG = [
+    ("html", "a <img src='data:image/png;base64," + "A" * 3000 + "' alt='chart'> b", "a chart b"),
+    ("wiki", "a {{infobox\n" + "".join(f"| k{i} = a long value of this field\n" for i in range(25)) + "| {{nested|x}}\n}} b", "a b"),
+    ("markdown", "a **" + "bold words " * 200 + "end** b", "a " + "bold words " * 200 + "end b"),
+    ("markdown", "a __" + "under lined " * 200 + "end__ b", "a " + "under lined " * 200 + "end b"),
+    ("markdown", "a `" + "x" * 900 + "` b", "a " + "x" * 900 + " b"),
+    ("markdown", "a [" + "t" * 900 + "](https://a.example/" + "p" * 900 + ") b", "a " + "t" * 900 + " b"),
+    ("latex", "a $$" + "x_1 + " * 300 + "y$$ b", None),
+    ("html", "a &lt;b&gt;cell&lt;/b&gt; b", "a cell b"),
+]
+
+
+@pytest.mark.parametrize(("kind", "text", "want"), LONG)
+def test_constructs_of_any_length_are_found_and_gone(kind, text, want):
+    clean, found, _ = markup.clean(text)
+    assert kind in found and not markup.marks(clean)
+    assert want is None or " ".join(clean.split()) == want
+
+
+@pytest.mark.parametrize("text", ["<" * 60_000, "a <b " * 30_000, "__a " * 30_000, "{{" * 30_000, "**a " * 30_000, "\\[ a " * 20_000, "[a](" * 20_000, "'' a" * 20_000, "`a" * 30_000, "$a_ " * 20_000, "== a " * 20_000, "\\frac{a}" * 10_000, "&amp" * 30_000, "<!-- " * 20_000, "\\begin{math} " * 10_000])
+def test_unclosed_markup_costs_no_more_than_its_length(text):
+    import time
+
+    start = time.time()
+    markup.clean(text)
+    assert time.time() - start < 20
+
+
+def test_blocks_with_hardly_a_stop_word_inherit():
+    links = "<p><a href='/a'>Another page of this site that is to be read, number one</a></p>"
+    numbers = "<p>" + "Turbine 4,512 resin 990 gasket 71,002 valve 3,300 smelter 5,120 fleet 88 timber" + "</p>"
+    prose = "<p>The report of the year is that we were able to pay all of the debt and more of it.</p>"
+    assert markup.clean(prose + numbers + links)[0].count("\n\n") == 1
+    assert markup.clean(links + numbers + links + prose)[0].startswith("The report")
+    assert markup.clean(links)[0].startswith("Another page")  # the only block stays
+    assert markup.clean(prose + "<ul><li><a href='/x'>A long title of some filing here</a></li></ul>")[0].endswith("- A long title of some filing here")
