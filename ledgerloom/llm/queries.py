@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.llm import copies, encoding, lines, markup, mixing, neardup, neighbours, splitting, tokens
 from ledgerloom.runtime import table
@@ -23,6 +24,21 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_chunks(spark, d), "chunk_uid", "text")
 
 
+def p1_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What holds for the pieces of every oversized text: words covered without a hole, limits, overlap."""
+    pieces = splitting.split_oversized(_chunks(spark, d), "chunk_uid", "text")
+    w = Window.partitionBy("chunk_uid").orderBy("piece_no")
+    p = pieces.withColumn("shared", F.lag("end_token").over(w) - F.col("start_token")).withColumn("bytes_before", F.lag("n_bytes").over(w))
+    # fewer words are shared only where long words leave no room
+    exact = (F.col("shared") == 80) | (F.greatest("n_bytes", "bytes_before") > 8192) | (F.col("piece_no") == 0)
+    return p.groupBy("chunk_uid").agg(
+        F.max("end_token").cast("bigint").alias("n_words"),
+        F.bool_and((F.col("piece_no") == 0) | (F.col("shared") >= 0)).alias("no_hole"),
+        F.bool_and((F.col("n_bytes") <= 16384) & (F.col("end_token") - F.col("start_token") <= 400)).alias("within"),
+        F.bool_and(exact).alias("overlap"),
+    )
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = copies.copy_pairs(_chunks(spark, d, "accession_number"), "chunk_uid", "text", copies.digits_of("accession_number"))
     return pairs.select(F.col("keep_id").alias("keep_uid"), F.col("copy_id").alias("copy_uid"))
@@ -132,7 +148,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_pieces, p2_found, p2_counts, p3_found, p3_clean, p3_clean_html, p4_found, p4_neighbours, p4_search, p4_recall, p5_found, p5_groups,
+        p1_found, p1_pieces, p1_checked, p2_found, p2_counts, p3_found, p3_clean, p3_clean_html, p4_found, p4_neighbours, p4_search, p4_recall, p5_found, p5_groups,
         p6_found, p6_blocks, p6_cleaned, p7_ids, p8_mixture, p8_shares, p9_found, p9_restored,
     )
 }
@@ -175,6 +191,7 @@ with rows as (
 
 ORACLE: dict[str, str] = {
     "p1_found": f"select chunk_uid from sec_chunks where {_P1}",
+    "p1_checked": f"select chunk_uid, cast(length(regexp_extract_all(text, '[^ \\t\\r\\n]+')) as bigint) as n_words, true as no_hole, true as within, true as overlap from sec_chunks where {_P1}",
     "p2_found": _P2_KEYED + "select keep_uid, copy_uid from (select chunk_uid as copy_uid, min(chunk_uid) over (partition by acc, body) as keep_uid from rows) where copy_uid <> keep_uid",
     "p2_counts": _P2_KEYED + "select min(chunk_uid) as keep_uid, count(*) as n_copies from rows group by acc, body",
     "p4_found": """

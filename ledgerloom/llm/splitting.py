@@ -1,8 +1,9 @@
 """Splitting oversized texts at natural boundaries (structure-tree packing).
 
-A text is parsed into a tree: sections opened by headings, paragraphs, list items or lines, sentences, words. Sibling
-subtrees are merged bottom-up while they fit; only nodes over the limit are opened. Each piece but the first repeats the
-last words of the piece before it.
+A text is parsed into a tree: headings open nodes of their depth (numbers of # or =, heading elements, parts over items over
+notes), lists nest by indent; below lie paragraphs, lines, sentences, clauses and words. Sibling subtrees are merged
+bottom-up while they fit; only nodes over the limit are opened, and what an opened node leaves over is never merged with
+anything outside of it. Each piece but the first repeats the last words of the piece before it.
 
 Defined results: a null, empty or blank text, and a text within the limits, yields no piece (one whole piece with
 ``keep_whole=True``); repeated rows are split independently; an empty table gives an empty result with the same columns;
@@ -22,13 +23,23 @@ from pyspark.sql import types as T
 MAX_WORDS, MAX_BYTES, OVERLAP = 400, 16_384, 80
 
 _WORD = re.compile(r"[^ \t\r\n]+")
-_HEADING = re.compile(r"(?:#{1,6} |(?:item|part|note|section|article|chapter)\s+[0-9ivxlc]+[a-z]?\b|={2,6} ?\S)", re.I)
-_BULLET = re.compile(r"(?:[-*+•–·]|\(?[0-9]{1,3}[.)]|\(?[a-zA-Z][.)]|\|)\s")
+_HEADING = re.compile(r"(#{1,6})[ \t]|(={2,6})[ \t]*[^=\s]|<h([1-6])\b|(?:(part|chapter)|(item|article)|(note|section))\s+[0-9ivxlc]+[a-z]?\b", re.I)
+_BULLET = re.compile(r"(?:[-*+•–·]|\(?[0-9]{1,3}[.)]|\(?[a-zA-Z][.)]|\||<(?:li|tr|dt|dd)\b[^<>]*>?)(?=\s|[^<]*$|<)", re.I)
+_BLOCK_TAG = re.compile(r"<(?:p|div|table|ul|ol|dl|blockquote|pre)\b", re.I)
 _SENTENCE_END = re.compile(r"[.!?。！？…][\"'”’»)\]]*$")
 _CLAUSE_END = re.compile(r"[,;:][\"'”’»)\]]*$")
 
-#: Levels of the tree, outermost first: what a gap between two words separates.
-SECTION, PARAGRAPH, ITEM, LINE, SENTENCE, CLAUSE, WORD = range(7)
+#: Levels of the tree, outermost first: headings of depth 1 to 6 are 1 to 6; items of deeper lists lie between ITEM and LINE.
+PARAGRAPH, ITEM, DEEPEST, LINE, SENTENCE, CLAUSE, WORD = 10, 11, 30, 31, 32, 33, 34
+#: A heading's line is a short one; longer lines that begin like one are prose.
+HEADING_CHARS = 200
+
+
+def _depth(m: re.Match) -> int:
+    marks, equals, element, part, item, _ = m.groups()
+    if marks or equals:
+        return len(marks or equals)
+    return int(element) if element else 1 if part else 2 if item else 3
 
 
 class _Doc:
@@ -52,44 +63,71 @@ class _Doc:
     def size(self, s: int, e: int) -> int:
         return self.byte_at[e - 1][1] - self.byte_at[s][0] if e > s else 0
 
-    def gap(self, i: int) -> int:
-        (_, before), (start, end) = self.spans[i - 1], self.spans[i]
-        sep = self.text[before:start]
-        breaks = sep.replace("\r\n", "\n").replace("\r", "\n").count("\n")
-        if breaks:
-            line = self.text[start : start + 80]
-            if _HEADING.match(line):
-                return SECTION
-            if breaks > 1:
-                return PARAGRAPH
-            return ITEM if _BULLET.match(line) else LINE
-        word = self.text[self.spans[i - 1][0] : before]
-        if _SENTENCE_END.search(word):
-            return SENTENCE
-        return CLAUSE if _CLAUSE_END.search(word) else WORD
-
-
-def _pack(doc: _Doc, levels: list[int], s: int, e: int, words: int, size: int) -> list[tuple[int, int]]:
-    """Ranges of words that cover [s, e), each within ``words`` and ``size`` unless it is one word.
-
-    An explicit stack replaces recursion over levels; children are the parts between gaps of the outermost level that
-    occurs inside the node. Packed children are merged left to right with their siblings while they fit."""
+    def levels(self) -> list[int]:
+        """What the gap before each word separates. The gap behind a heading's line binds like one between words, so a
+        heading stays with what it heads."""
+        out = [0] * len(self.spans)
+        below_heading = self._heading(0) is not None if self.spans else False
+        for i in range(1, len(self.spans)):
+            (_, before), (start, _) = self.spans[i - 1], self.spans[i]
+            sep = self.text[before:start]
+            if "\n" in sep or "\r" in sep:
+                heading = self._heading(i)
+                if heading is not None:
+                    out[i] = heading
+                elif below_heading:
+                    out[i] = WORD
+                else:
+                    out[i] = self._break(sep, start)
+                below_heading = heading is not None
+            else:
+                word = self.text[self.spans[i - 1][0] : before]
+                out[i] = SENTENCE if _SENTENCE_END.search(word) else CLAUSE if _CLAUSE_END.search(word) else WORD
+        return out
+
+    def _heading(self, i: int) -> int | None:
+        start = self.spans[i][0]
+        m = _HEADING.match(self.text, start)
+        if not m:
+            return None
+        ends = [e for e in (self.text.find("\n", start), self.text.find("\r", start)) if e >= 0]
+        return _depth(m) if min(ends, default=len(self.text)) - start <= HEADING_CHARS else None
+
+    def _break(self, sep: str, start: int) -> int:
+        if sep.replace("\r\n", "\n").replace("\r", "\n").count("\n") > 1 or _BLOCK_TAG.match(self.text, start):
+            return PARAGRAPH
+        if _BULLET.match(self.text, start):
+            indent = len(re.split(r"[\r\n]", sep)[-1].expandtabs(4))
+            return min(ITEM + indent // 2, DEEPEST)
+        return LINE
+
+
+def _pack(doc: _Doc, levels: list[int], s: int, e: int, words: int, size: int, first: tuple[int, int]) -> list[tuple[int, int]]:
+    """Ranges of words that cover [s, e), each within ``words`` and ``size`` unless it is one word; a range from the first
+    word on, which repeats nothing, within ``first``.
+
+    Children of a node are the parts between gaps of the outermost level inside it. Children that fit are merged left to
+    right while they fit; a child that does not is opened, and its ranges stay as they are."""
 
     def fits(a: int, b: int) -> bool:
-        return b - a <= words and doc.size(a, b) <= size
+        most, room = first if a == 0 else (words, size)
+        return b - a <= most and doc.size(a, b) <= room
 
     if fits(s, e) or e - s == 1:
         return [(s, e)]
     top = min(levels[s + 1 : e])
     cuts = [s, *(i for i in range(s + 1, e) if levels[i] == top), e]
     out: list[tuple[int, int]] = []
+    whole = False  # the last range is made of whole children
     for a, b in zip(cuts, cuts[1:]):
-        parts = _pack(doc, levels, a, b, words, size) if not fits(a, b) else [(a, b)]
-        for part in parts:
-            if out and len(parts) == 1 and fits(out[-1][0], part[1]):
-                out[-1] = (out[-1][0], part[1])
-            else:
-                out.append(part)
+        if not fits(a, b) and b - a > 1:
+            out += _pack(doc, levels, a, b, words, size, first)
+            whole = False
+        elif whole and fits(out[-1][0], b):
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+            whole = True
     return out
 
 
@@ -119,9 +157,8 @@ def split_text(text: str | None, max_words: int = MAX_WORDS, max_bytes: int = MA
     if n <= max_words and len(text.encode("utf-8", "surrogatepass")) <= max_bytes:
         return [(0, n, 0, len(text), text)]
     room = max_bytes - max_bytes // 4 if overlap else max_bytes
-    levels = [SECTION, *(doc.gap(i) for i in range(1, n))]
     out = []
-    for s, e in _pack(doc, levels, 0, n, max_words - overlap, room):
+    for s, e in _pack(doc, doc.levels(), 0, n, max_words - overlap, room, (max_words, max_bytes)):
         (c, _), (_, d) = doc.spans[s], doc.spans[e - 1]
         if doc.size(s, e) > max_bytes:  # one word
             out += [(s, e, *cut) for cut in _cut(text, c, d, max_bytes)]

@@ -1,6 +1,7 @@
 """Splitting, markup, encoding and tokens: pure functions first, then their tables."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -244,3 +245,26 @@ def test_blocks_with_hardly_a_stop_word_inherit():
     assert markup.clean(links + numbers + links + prose)[0].startswith("The report")
     assert markup.clean(links)[0].startswith("Another page")  # the only block stays
     assert markup.clean(prose + "<ul><li><a href='/x'>A long title of some filing here</a></li></ul>")[0].endswith("- A long title of some filing here")
+
+
+def _words(tag, n):
+    return " ".join(f"{tag}{i}" for i in range(n))
+
+
+def test_pieces_respect_the_depth_of_headings():
+    text = "# A\n" + "".join(f"## A{k}\n{_words(f'a{k}_', 150)}\n" for k in range(3)) + "# B\n" + _words("b", 150)
+    starts = [t.split()[80 if k else 0 :][:2] for k, (*_, t) in enumerate(splitting.split_text(text))]
+    assert starts == [["#", "A"], ["##", "A2"], ["#", "B"]]
+
+
+def test_the_first_piece_uses_the_whole_limit_and_headings_stay_with_their_text():
+    text = "\n\n".join(_words(f"p{k}_", 100) for k in range(6)) + "\n## Head\n\n" + _words("x", 500)
+    pieces = splitting.split_text(text)
+    assert pieces[0][:2] == (0, 400) and all(b[0] == a[1] - 80 for a, b in zip(pieces, pieces[1:]))
+    assert pieces[1][4].endswith("p5_99") and pieces[2][4].split()[80:84] == ["##", "Head", "x0", "x1"]
+
+
+def test_lists_are_cut_between_their_outer_items():
+    text = "Intro.\n" + "".join(f"- item {k}\n" + "".join(f"    - sub {k}.{j} {_words('w', 40)}\n" for j in range(3)) for k in range(4))
+    for *_, piece in splitting.split_text(text)[1:]:
+        assert re.sub(r"\s+", " ", piece).split(" ")[80:82] == ["-", "item"]
