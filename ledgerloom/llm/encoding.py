@@ -9,8 +9,14 @@ automaton. Two families:
   a plain letter (Latin alphabets) and the garbled frequent letter pairs (Cyrillic); a match makes its word a suspect,
   and the word is replaced only if it looks wrong as it stands and right after the repair.
 
-Only matched spans are replaced; correct text between them stays. A text with replacement characters (U+FFFD), with
-question marks between letters, or with a garbled sequence of which a part is gone is affected but lost there.
+* Signs (quotation marks, dashes, currency) read as letters or blocks, and Western letters read as Central European ones:
+  the automaton holds them with the plain characters beside which they can only be wrong; marks must come in pairs, letters
+  in the company of Western words.
+
+All sequences are computed from the code pages and found in one run of the automaton over the characters beyond ASCII and
+their neighbours. Only matched spans are replaced; correct text between them stays. Whether something is lost is a separate
+step: a text with replacement characters (U+FFFD), with question marks between letters, or with a garbled sequence of which
+a part is gone is affected but lost there.
 
 Defined results: null, empty and plain ASCII texts (but for question marks between letters) are unaffected and come out
 as they are; repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
@@ -36,6 +42,13 @@ ONE_BYTE = (
 )
 CYRILLIC = (("cp1251", "cp1252"), ("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("koi8-r", "cp1252"), ("koi8-r", "latin-1"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1252"), ("cp1251", "mac_roman"), ("cp1251", "cp437"), ("cp1251", "cp850"))
 
+#: (true, read as) of lone signs, and the signs by the company in which they are known.
+SIGN_PAIRS = (("cp1252", "cp437"), ("cp1252", "mac_roman"))
+_DASHES, _MONEY, _NO_LETTERS = "–—•", "€£", "±²½×©"
+_DIGITS, _BLANK, _BEFORE, _AFTER = "0123456789", " \n\t\r", " \n\t\r([{-/\"':;,.", " \n\t\r)]}-/\"':;,.!?"
+#: Letters that are words by themselves in the languages at hand (fixed values).
+_OWN_WORDS = frozenset("àáèéêíóôú")
+
 _LATIN1 = "".join(chr(c) for c in range(0xA0, 0x100))
 _EXT_A = "ĄąĆćČčĎďĐđĘęĚěĞğİıŁłŃńŇňŐőŒœŔŕŘřŚśŞşŠšŤťŮůŰűŹźŻżŽžŸĀāĒēĪīŪūŅņĻļĶķĢģ"
 _RUSSIAN = "".join(chr(c) for c in range(0x410, 0x450)) + "Ёё"
@@ -87,6 +100,19 @@ def _boxes(s: str) -> bool:
     return all("─" <= c <= "▟" for c in s)
 
 
+def _turned(pair: tuple[str, str], chars: str) -> dict[str, str]:
+    """What each character of the true encoding looks like in the one it was read as."""
+    back, to = _back(pair[0]), _table(pair[1])
+    return {c: to[back[c]] for c in chars if c in back and to[back[c]] != c}
+
+
+#: Letters that only Central European words have, and those that Western ones turn into and that are not of these.
+_ONLY_EAST = re.compile("[łąęśżźćěšžůťďňŁĄĘŚŻŹĆĚŠŽŮŤĎŇ]")
+_WESTERN = "".join(c for c in _LATIN1 if c.isalpha() and c not in "ªµº")
+_EAST = frozenset(g for g in _turned(("cp1252", "cp1250"), _WESTERN).values() if g.isalpha() and not _ONLY_EAST.match(g))
+_WEST = re.compile(r"\w*[éèçíóáâêãöüßàñ]\w*")
+
+
 @lru_cache(maxsize=1)
 def _automaton():  # built once in each worker process
     """Pattern -> (kind, what, weak): kind "u" with the encodings UTF-8 was read as, "l" with Latin and "c" with Cyrillic pairs."""
@@ -122,6 +148,30 @@ def _automaton():  # built once in each worker process
         for p in _PAIRS:
             for q in (p, p.upper()):
                 add("".join(to[back[c]] for c in q), "c", (true, read))
+    for pair in SIGN_PAIRS:
+        for c, g in _turned(pair, _DASHES).items():
+            if c == "–":
+                for x in _DIGITS:
+                    for y in _DIGITS:
+                        add(x + g + y, "s", (pair, g, c, 1))
+            if g not in _OWN_WORDS:
+                for x in _BLANK:
+                    for y in _BLANK:
+                        add(x + g + y, "s", (pair, g, c, 1))
+        for c, g in _turned(pair, _MONEY).items():
+            for x in _BEFORE:
+                for y in _DIGITS:
+                    add(x + g + y, "s", (pair, g, c, 1))
+        for c, g in _turned(pair, _NO_LETTERS).items():
+            if not g.isalpha() and ("─" <= g <= "▟" or "⌀" <= g <= "⏿"):
+                add(g, "s", (pair, g, c, 0))
+        marks = _turned(pair, "“”")
+        for x in _BEFORE:
+            add(x + marks["“"], "q", (pair, "“"))
+        for x in _AFTER:
+            add(marks["”"] + x, "q", (pair, "”"))
+    for g in _EAST:
+        add(g, "e", ("cp1252", "cp1250"))
     machine = ahocorasick.Automaton()
     for seq, kinds in found.items():
         machine.add_word(seq, (len(seq), kinds))
@@ -307,64 +357,67 @@ def _cyrillic_round(text: str, hits: list[tuple[int, int, dict]]) -> tuple[str,
     return text, []
 
 
-def _signs(true: str, read: str, chars: str) -> dict[str, str]:
-    """What signs of one encoding look like in another, backwards."""
-    to, back = _table(read), _back(true)
-    return {to[back[c]]: c for c in chars}
-
-
-_OEM, _MAC = _signs("cp1252", "cp437", "“”–—•€£±²½×©®§"), _signs("cp1252", "mac_roman", "“”–—•€")
-#: Signs that became letters or blocks: a letter as quotation marks, between numbers, before a number or as a word by itself,
-#: and blocks that stand alone.
-_SIGN = re.compile(
-    r"(?<=\d)[ûñ](?=\d)|(?<!\S)[ùûòñï](?=\s)|(?<![\wÄÇú])[ÄÇú](?=\d)|⌐"
-    r"|(?<![\u2500-\u259f])[▒▓╜╫](?![\u2500-\u259f])"
-)
-#: A quotation of any length within a paragraph, with its own stop or comma before the closing mark. No run passes another
-#: mark, so the search is linear.
-_QUOTED = re.compile(r"(?<!\w)([ôì])(\w(?:(?:[^ôöìî\n]|\n(?![ \t\r]*\n))*[\w.,;:!?)%])?)([öî])(?!\w)")
-
-
-def _sign_round(text: str) -> tuple[str, list[str]]:
-    """Repairs lone signs; a letter that only one of the two encodings explains names the encoding."""
-    used: list[str] = []
+def _boxed(c: str) -> bool:
+    return bool(c) and "─" <= c <= "▟"
 
-    def one(m: re.Match) -> str:
-        g = m.group()
-        name, table = ("mac_roman", _MAC) if g in _MAC and g not in _OEM else ("cp437", _OEM)
-        if g not in table:
-            return g
-        used.append(f"cp1252>{name}")
-        return table[g]
 
-    def pair(m: re.Match) -> str:
-        if m.group(1) + m.group(3) not in ("ôö", "ìî"):
-            return m.group()
-        used.append("cp1252>cp437" if m.group(1) == "ô" else "cp1252>mac_roman")
-        return f"“{m.group(2)}”"
-
-    return _SIGN.sub(one, _QUOTED.sub(pair, text)), list(dict.fromkeys(used))
+def _sign_round(text: str, hits: list[tuple[int, int, dict]]) -> tuple[str, list[str]]:
+    """Repairs lone signs and pairs of quotation marks. A mark counts only with its partner in the same paragraph, no other
+    mark's letter between them; a sign that two pairs of encodings explain is taken as the first of them."""
+    edits: dict[int, tuple[str, str]] = {}
+    marks: list[tuple[int, tuple, str]] = []
+    for end, n, kinds in hits:
+        for (pair, g, c, shift), _ in kinds.get("s", {}).items():
+            at = end + 1 - n + shift
+            if not shift and (_boxed(text[at - 1 : at]) or _boxed(text[at + 1 : at + 2])):
+                continue
+            if at not in edits or SIGN_PAIRS.index(pair) < SIGN_PAIRS.index(edits[at][1]):
+                edits[at] = (c, pair)
+        for pair, c in kinds.get("q", {}):
+            marks.append((end if c == "“" else end - 1, pair, c))
+    opened: dict[tuple, int] = {}
+    for at, pair, c in sorted(marks):
+        if c == "“":
+            if text[at + 1 : at + 2].isalnum() or text[at + 1 : at + 2] == "_":
+                opened[pair] = at
+        elif (start := opened.get(pair)) is not None and (text[at - 1].isalnum() or text[at - 1] in "_.,;:!?)%"):
+            inside = text[start + 1 : at]
+            if inside and not _QUOTE_LETTERS.search(inside) and not _PARAGRAPH.search(inside):
+                edits[start], edits[at] = ("“", pair), ("”", pair)
+            del opened[pair]
+    if not edits:
+        return text, []
+    out = list(text)
+    for at, (c, _) in edits.items():
+        out[at] = c
+    return "".join(out), list(dict.fromkeys(f"{p[0]}>{p[1]}" for _, (_, p) in sorted(edits.items())))
 
 
-#: Letters of Central European words that Western ones turn into, and letters that only the former have.
-_EAST, _ONLY_EAST, _WEST = frozenset("ńŕűčőţřŘŃŔČ"), re.compile("[łąęśżźćěšžůťďňŁĄĘŚŻŹĆĚŠŽŮ]"), re.compile(r"\w*[éèçíóáâêãöüßàñ]\w*")
+_QUOTE_LETTERS = re.compile("[" + "".join(sorted({g for p in SIGN_PAIRS for g in _turned(p, "“”").values()})) + "]")
+_PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 
 
-def _east_round(text: str) -> tuple[str, list[str]]:
+def _east_round(text: str, hits: list[tuple[int, int, dict]]) -> tuple[str, list[str]]:
     """Western text read in the Central European encoding: its stray letters in the company of Western words only."""
-    if not _EAST.intersection(text) or _ONLY_EAST.search(text) or sum(1 for w in _WEST.findall(text) if not _EAST.intersection(w)) < 3:
+    at = [end for end, _, kinds in hits if "e" in kinds]
+    if not at or _ONLY_EAST.search(text) or sum(1 for w in _WEST.findall(text) if not _EAST.intersection(w)) < 3:
         return text, []
-    used = []
-
-    def one(m: re.Match) -> str:
-        word = m.group()
-        new = _convert(word, ("cp1252", "cp1250")) if _EAST.intersection(word) else word
-        if new == word or not _right(new):
-            return word
-        used.append("cp1252>cp1250")
-        return new
-
-    return _TOKEN.sub(one, text), used[:1]
+    edits, done = [], -1
+    for i in at:
+        if i < done:
+            continue
+        s = i
+        while s and not text[s - 1].isspace():
+            s -= 1
+        done = i + 1
+        while done < len(text) and not text[done].isspace():
+            done += 1
+        new = _convert(text[s:done], ("cp1252", "cp1250"))
+        if new != text[s:done] and _right(new):
+            edits.append((s, done, new))
+    for s, e, new in reversed(edits):
+        text = text[:s] + new + text[e:]
+    return text, ["cp1252>cp1250"] if edits else []
 
 
 _LOST = re.compile("�|(?<![\\w/?=&%])[^\\W\\d_]*[^\\W\\d_]\\?[^\\W\\d_]+(?![\\w/=&%])")
@@ -376,31 +429,54 @@ def restore(text: str | None) -> tuple[bool, str | None, bool, str]:
     if not text:
         return False, text, False, ""
     how, lost, now = [], False, text
-    if not text.isascii() and (hits := _hits(text)):
-        now, how = _cyrillic_round(text, hits)
-        for _ in range(3):
+    hits = [] if text.isascii() else _hits(text)
+    if hits:
+        if any("c" in kinds for _, _, kinds in hits):
+            now, how = _cyrillic_round(text, hits)
             hits = _hits(now) if how else hits
+        while any("u" in kinds for _, _, kinds in hits):  # every round shortens the text
             new, used, gone = _utf8_round(now, hits)
             lost |= gone
             how += [f"utf-8>{x}" for x in used]
             if new == now:
                 break
-            now = new
-        hits = _hits(now) if how else hits
-        if any("l" in kinds for _, _, kinds in hits):
-            now, used = _latin_round(now, hits)
-            how += used
+            now, hits = new, _hits(new)
+        for kinds_of, step in (("l", _latin_round), ("sq", _sign_round), ("e", _east_round)):
+            if any(k in kinds for _, _, kinds in hits for k in kinds_of):
+                new, used = step(now, hits)
+                how += used
+                if new != now:
+                    now, hits = new, _hits(new)
     if not text.isascii():
-        for step in (_sign_round, _east_round):
-            now, used = step(now)
-            how += used
         lost |= bool(_CONTROL.search(now))
     lost |= ("?" in now or "\ufffd" in now) and bool(_LOST.search(now))
     return bool(how) or lost, now, lost, ",".join(dict.fromkeys(how))
 
 
+#: Characters beyond ASCII with what lies between close ones: each sequence has one, and two plain neighbours at most.
+_ODD = re.compile(r"[^\x00-\x7f]+(?:[\x00-\x7f]{1,4}[^\x00-\x7f]+)*")
+_SEEN: dict[str, list] = {}
+
+
 def _hits(text: str) -> list[tuple[int, int, dict]]:
-    return [(end, n, kinds) for end, (n, kinds) in _automaton().iter(text)]
+    """(index of the last character, length, kinds) of every sequence. Short stretches, such as an apostrophe in a word, are
+    remembered; a text begins as if after a line end and ends as if before a bracket."""
+    out, find = [], _automaton().iter
+    for m in _ODD.finditer(text):
+        s, e = m.start() - 2, m.end() + 2
+        part = text[max(s, 0) : e]
+        if s < 0:
+            part, s = "\n" * -s + part, s
+        if e > len(text):
+            part += ")" * (e - len(text))
+        if (got := _SEEN.get(part)) is None:
+            got = [(end, n, kinds) for end, (n, kinds) in find(part)]
+            if len(part) <= 48:
+                if len(_SEEN) > 100_000:
+                    _SEEN.clear()
+                _SEEN[part] = got
+        out += [(s + end, n, kinds) for end, n, kinds in got]
+    return out
 
 
 def restore_encoding(df: DataFrame, id_col: str, text_col: str, affected_only: bool = False) -> DataFrame:

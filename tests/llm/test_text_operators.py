@@ -194,9 +194,9 @@ def test_long_quotations_are_restored():
             affected, text, *_ = encoding.restore(f"They said {a}{inner}{b} in the report.")
             assert affected and text == f"They said “{inner}” in the report."
     apart = "They said ôWe agree\n\nto sell coalö in the report."
-    assert encoding._sign_round(apart)[0] == apart
+    assert encoding.restore(apart)[1] == apart
     start = time.time()
-    encoding._sign_round("ôa " * 200_000 + "ôa" + " b" * 200_000)
+    encoding.restore("ôa " * 200_000 + "ôa" + " b" * 200_000)
     assert time.time() - start < 5
 
 
@@ -268,3 +268,38 @@ def test_lists_are_cut_between_their_outer_items():
     text = "Intro.\n" + "".join(f"- item {k}\n" + "".join(f"    - sub {k}.{j} {_words('w', 40)}\n" for j in range(3)) for k in range(4))
     for *_, piece in splitting.split_text(text)[1:]:
         assert re.sub(r"\s+", " ", piece).split(" ")[80:82] == ["-", "item"]
+
+
+SIGNED = [
+    ("pages 4–5 and 6 – 7 • last", "pages 4{0}5 and 6 {0} 7 {1} last", "–•"),
+    ("cost €5 (€6) today", "cost {0}5 ({0}6) today", "€"),
+    ("The “strong” firm, “new”.", "The {0}strong{1} firm, {0}new{1}.", "“”"),
+]
+
+
+@pytest.mark.parametrize(("want", "shape", "signs"), SIGNED)
+@pytest.mark.parametrize("name", ["cp437", "mac_roman"])
+def test_lone_signs_come_back_from_the_code_pages(want, shape, signs, name):
+    turned = encoding._turned(("cp1252", name), signs)
+    affected, text, _, how = encoding.restore(shape.format(*(turned[c] for c in signs)))
+    assert affected and text == want and how == f"cp1252>{name}"
+
+
+def test_blocks_that_were_signs_and_stray_central_letters():
+    assert encoding.restore("5 ▒ 3 m▓, ⌐ 2020")[1] == "5 ± 3 m², © 2020"
+    assert encoding.restore("░▒▓ shades ▒▒")[1] == "░▒▓ shades ▒▒"
+    west = "La société espagnole a été créée par l’Espańa, mécènes et délégués."
+    assert encoding.restore(west)[1] == west.replace("ń", "ñ")
+    assert encoding.restore("Gdańsk i Poznań, więcej dań")[0] is False
+
+
+@pytest.mark.parametrize("pair", [*((u, n) for u in ("utf-8",) for n in encoding.READ_AS[:7]), *encoding.ONE_BYTE[:3], *encoding.CYRILLIC[:6]])
+def test_round_trip_of_every_pair_restores_most_words(pair):
+    true, read = pair
+    langs = ("ru",) if true in ("cp1251", "koi8-r", "cp866") else ("fr", "de", "es")
+    for lang in langs:
+        text = TEXTS[lang].replace("—", "-").replace("’", "'") if true != "utf-8" else TEXTS[lang]
+        garbled = "".join(encoding._table(read)[b] for b in text.encode(true))
+        affected, got, *_ = encoding.restore(garbled)
+        words = list(zip(text.split(), got.split()))
+        assert affected and sum(a == b for a, b in words) >= 0.9 * len(text.split()), (lang, pair, got)
