@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.skew import HOT_ROWS, join_groups
 from ledgerloom.runtime import materialize
 
 _CUT = "[\\t\\n\\u000B\\f\\r\\u0085\\u2028\\u2029;|]"
@@ -53,12 +54,11 @@ def copy_groups(df: DataFrame, id_col: str, text_col: str, scope: Column | None
     return (groups, keyed) if with_members else groups.select("keep_id", "n_copies", F.hex("h").alias("key"))
 
 
-def copy_pairs(df: DataFrame, id_col: str, text_col: str, scope: Column | None = None, salts: int = 16) -> DataFrame:
+def copy_pairs(df: DataFrame, id_col: str, text_col: str, scope: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per copy other than the kept one: keep_id, copy_id.
 
-    Only keys with several rows go into the join, each once per salt, while the rows carry one salt each: rows of a hot
-    key are spread over ``salts`` tasks and nothing is collected per key."""
+    Only keys with several rows go into the join. The counts, which are at hand, tell the hot keys: rows of those meet their
+    key where they are (see ``join_groups``); nothing is collected per key."""
     groups, keyed = copy_groups(df, id_col, text_col, scope, with_members=True)
-    several = groups.filter("n_copies > 1").select("h", "h2", "keep_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    rows = keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    return rows.join(several, ["h", "h2", "salt"]).filter("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
+    several = materialize(groups.filter("n_copies > 1"), "copy_groups")
+    return join_groups(keyed, several, ["h", "h2"], "n_copies", hot_rows).filter("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
