@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components
+from ledgerloom.llm.skew import HOT_ROWS, join_groups, parts
 from ledgerloom.runtime import materialize
 
 _WORD = re.compile(r"[^\W_]+")
@@ -283,9 +284,10 @@ BROADCAST_IDS = 1_000_000
 class NearDuplicates:
     """The stages over one table with BIGINT ids; each is written once to the shared folder and used by every result."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, min_words: int = 0, halves: int = 12, hot_sample: int = HOT_SAMPLE, hot_count: int = HOT_COUNT):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, min_words: int = 0, halves: int = 12, hot_sample: int = HOT_SAMPLE, hot_count: int = HOT_COUNT, hot_rows: int = HOT_ROWS, part_rows: int = 4096):
         self.src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
         self.shingle, self.threshold, self.halves, self.hot = shingle, threshold, halves, (hot_sample, hot_count)
+        self.hot_rows, self.part_rows = hot_rows, part_rows
         # a text with w words of at least one character has at least 2 w - 1 characters
         long = self.src.filter(F.length("text") >= 2 * max(min_words, shingle) - 1)
         self.signed = materialize(long.mapInArrow(_sign(shingle, min_words, halves), "id bigint, cls binary, hk binary"), "neardup_signed")
@@ -295,9 +297,11 @@ class NearDuplicates:
         return self.signed.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
     def members(self) -> DataFrame:
-        """id, rep of the rows whose class has several rows. The class side is salted: copies of one text are spread."""
-        several = self.classes().filter("n > 1").select("cls", "rep", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-        return self.signed.select("id", "cls", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("salt")).join(several, ["cls", "salt"]).select("id", "rep").distinct()
+        """id, rep, n (rows of the class) of the rows whose class has several. Rows of a hot class stay where they are."""
+        if not hasattr(self, "_members"):
+            several = materialize(self.classes().filter("n > 1"), "neardup_classes")
+            self._members = materialize(join_groups(self.signed.select("id", "cls"), several, ["cls"], "n", self.hot_rows).select("id", "rep", "n").distinct(), "neardup_members")
+        return self._members
 
     def candidates(self) -> DataFrame:
         """Pairs (a < b) of class representatives that share a table key.
@@ -344,14 +348,21 @@ class NearDuplicates:
     def row_pairs(self) -> DataFrame:
         """uid_a < uid_b for every pair of rows, copies included: representatives' pairs expanded by their members, and
         the pairs within a class."""
-        members = materialize(self.members(), "neardup_members")
-        pairs = self.pairs().select("a", "b")
-        x = pairs.join(members.select(F.col("rep").alias("a"), F.col("id").alias("ma")), "a", "left").select(F.coalesce("ma", "a").alias("a"), "b")
-        y = x.join(members.select(F.col("rep").alias("b"), F.col("id").alias("mb")), "b", "left").select("a", F.coalesce("mb", "b").alias("b"))
-        between = y.select(F.least("a", "b").alias("uid_a"), F.greatest("a", "b").alias("uid_b"))
-        # the pairs of one large class are made in many tasks: each member meets the others by one of 16 salts
-        m = members.select("rep", F.col("id").alias("uid_a"), F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("salt"))
-        o = members.select("rep", F.col("id").alias("uid_b"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+        members = self.members()
+        k = parts(F.col("n"), self.part_rows)
+        dealt = members.select("rep", "id", F.pmod(F.xxhash64("id"), k).cast("int").alias("salt"))
+        sizes = members.filter("id = rep").select("rep", k.alias("parts"))
+        out = self.pairs().select("a", "b")
+        for end in ("a", "b"):
+            # a large class is dealt into parts by its count, and a pair meets each part; a class of one row has one part
+            n = sizes.select(F.col("rep").alias(end), F.col("parts"))
+            out = out.join(n, end, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+            m = dealt.select(F.col("rep").alias(end), "salt", F.col("id").alias("member"))
+            out = out.join(m, [end, "salt"], "left").withColumn(end, F.coalesce("member", end)).drop("member", "salt")
+        between = out.select(F.least("a", "b").alias("uid_a"), F.greatest("a", "b").alias("uid_b"))
+        # the pairs of one large class are made in many tasks: each member meets the others part by part
+        m = dealt.select("rep", F.col("id").alias("uid_a"), "salt")
+        o = members.select("rep", F.col("id").alias("uid_b"), F.explode(F.sequence(F.lit(0), k - 1)).alias("salt"))
         within = m.join(o, ["rep", "salt"]).filter("uid_a < uid_b").select("uid_a", "uid_b")
         return between.unionByName(within)
 
@@ -361,7 +372,7 @@ class NearDuplicates:
         pairs = self.pairs()
         comp = connected_components(pairs, "a", "b")
         degree = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-        members = materialize(self.members(), "neardup_members")
+        members = self.members().select("id", "rep")
         alone = comp.join(members.select(F.col("rep").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("id"), F.col("node").alias("rep"))
         n = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n_copies"))
         rows = members.unionByName(alone)
