@@ -110,6 +110,18 @@ class Encoder:
 _ENCODERS: dict[int, Encoder] = {}
 
 
+def _encoder(ranks: bytes) -> Encoder:
+    """One encoder per vocabulary and Python worker: it outlives the task, with the pieces it remembers."""
+    import xxhash
+
+    key = xxhash.xxh3_128_intdigest(ranks)
+    if key not in _ENCODERS:
+        if len(_ENCODERS) > 3:
+            _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(ranks)
+    return _ENCODERS[key]
+
+
 def _vocabulary(spark: SparkSession, path: str):
     """The file's bytes as a broadcast: its size is that of one vocabulary, checked here."""
     with open(path, "rb") as f:
@@ -128,7 +140,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str = "byte_bp
     kind = src.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(held.value)
+        enc = _encoder(held.value)
         for batch in batches:
             texts = batch.column(1)
             for lo in range(0, batch.num_rows, 500):
