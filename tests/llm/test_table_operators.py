@@ -36,7 +36,9 @@ def test_copies_by_brute_force(spark):
 
 def test_a_hot_key_is_spread(spark):
     df = spark.range(3000).select(F.col("id").alias("uid"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
-    assert copies.copy_pairs(df, "uid", "text").count() == 999
+    for hot_rows in (100, 10_000):  # hot keys are broadcast, or joined like all others
+        got = copies.copy_pairs(df, "uid", "text", hot_rows=hot_rows)
+        assert got.agg(F.count("*"), F.countDistinct("copy_id"), F.max("keep_id")).first() == (999, 999, 0)
 
 
 def _sets(text, k=3):
@@ -70,6 +72,21 @@ def test_near_duplicates_by_brute_force(spark, near_rows):
     assert all(groups[a] == groups[b] for a, b in got) and set(groups) == {u for p in got for u in p}
 
 
+def test_large_classes_are_dealt_into_parts(spark, near_rows):
+    df = spark.createDataFrame(near_rows, "uid bigint, text string, id bigint")
+    make = lambda **k: set(map(tuple, neardup.NearDuplicates(df, "uid", "text", 3, 0.6, 40, **k).row_pairs().collect()))
+    assert make(hot_rows=2, part_rows=1) == make()
+
+
+def test_a_source_that_may_not_be_used_limits_nobody(spark):
+    docs = spark.createDataFrame([(i, "ore and coal " * 5, "a" if i % 2 else "b") for i in range(40)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 0), ("b", 0.5, 2), ("b2", 0.0, None)], "source string, target_share double, max_repeats int")
+    m = mixing.Mixture(docs, targets, "doc_id", "text", "source")
+    shares = {r.source: (r.tokens_drawn, r.actual_share) for r in m.shares().collect()}
+    assert shares["a"] == (0, 0.0) and shares["b2"] == (0, 0.0) and shares["b"][1] == 1.0
+    assert {tuple(r)[1:] for r in m.checked().collect()} == {(True, True, True)}
+
+
 @pytest.mark.parametrize("block", [2, 512])
 def test_hot_keys_take_another_way_to_the_same_pairs(spark, near_rows, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
