@@ -1,15 +1,22 @@
 """The k most similar vectors of every vector: NN-descent over Spark joins, and greedy search in the graph it builds.
 
-A first graph comes from random hyperplanes: vectors of one leaf are compared with each other. Every round then joins each
-vector with its neighbours and with those that name it, and compares neighbours of neighbours; only pairs with at least one
-neighbour that is new since the last round count, and only results better than a vector's worst neighbour travel on.
-Rounds end when few lists change. Queries descend greedily through the graph from the leaves they would fall into.
-
-Similarity is the cosine. Vectors are 4-byte floats of unit length; no product of all with all is formed.
+Vectors of the same direction (equal unit vectors) are one node of the graph, whatever their number. Nodes are numbered along
+random hyperplanes, so that numbers close to each other are likely close in direction, and runs of numbers are blocks. A
+first graph comes from several trees of such hyperplanes: nodes of one leaf are compared with each other. Every round then
+joins each node with its neighbours and with those that name it, by blocks: what is sent are ids, and each vector travels
+once to a block that needs it, not once to each of its nodes. There neighbours of neighbours are compared; only pairs with at
+least one neighbour that is new since the last round count, only results better than a node's worst neighbour leave the
+block, and each task keeps the best of a node before anything is shuffled. Rounds end when few lists change. Queries descend
+greedily through the graph from the leaves they would fall into.
+
+Similarity is the cosine. Vectors are 4-byte floats of unit length; no product of all with all is formed. A leaf over ``block``
+nodes is cut by finer hyperplanes; the nodes on both sides of the cut meet in the other trees and in the rounds. The
+neighbourhood of a block that over ``hub`` nodes name is dealt into parts, anew in every round; every node takes part.
 
 Defined results: null, empty and all-zero vectors, vectors with a null or non-finite number and vectors of another length
-than most take no part; an id stored several times counts once (one of its vectors); ties are settled by the smaller id;
-with fewer than k other vectors all of them are named; an empty table gives an empty result; other columns are ignored.
+than most take no part; an id stored several times counts once (the smallest of its vectors by bytes); ties are settled by
+the smaller id; with fewer than k other vectors all of them are named; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ledgerloom.runtime import materialize
-
-#: Rows compared at once; a larger leaf or neighbourhood is compared block by block.
-BLOCK = 512
+from ledgerloom.llm.skew import join_groups
+from ledgerloom.runtime import discard, materialize
 
 
 def _unit(dim: int):
@@ -73,8 +79,20 @@ def _leaves(dim: int, tables: int, bits: int, seed: int):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
-    """Consecutive rows that agree in the first ``keys`` columns, in blocks of at most BLOCK rows."""
+def _codes(dim: int, bits: int, seed: int):
+    """(v, ...) -> (..., code): the side of ``bits`` hyperplanes as a number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes, weights = _planes(dim, 1, bits, seed), (1 << np.arange(bits, dtype=np.int64))[::-1]
+        for batch in batches:
+            code = ((_rows(batch.column(0), dim) @ planes.T > 0) * weights).sum(1) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code)], names=[*batch.schema.names, "code"])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int, block: int) -> Iterator[list]:
+    """Consecutive rows that agree in the first ``keys`` columns, in blocks of at most ``block`` rows."""
     held: list[pa.RecordBatch] = []
     mark = None
     for batch in batches:
@@ -92,20 +110,47 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
                 held = []
             mark = key
             while s < e:
-                room = BLOCK - sum(h.num_rows for h in held)
+                room = block - sum(h.num_rows for h in held)
                 held.append(batch.slice(s, min(room, e - s)))
                 s += min(room, e - s)
-                if sum(h.num_rows for h in held) == BLOCK:
+                if sum(h.num_rows for h in held) == block:
                     yield held
                     held = []
     if held:
         yield held
 
 
-def _emit(found: list[tuple], size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    if found and sum(len(f[0]) for f in found) >= size:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["node", "nbr", "sim"])
-        found.clear()
+def _order(node: np.ndarray, nbr: np.ndarray, sim: np.ndarray, old: np.ndarray, width: int) -> np.ndarray:
+    """Rows by node and falling similarity: the ``width`` best different neighbours of each node."""
+    one = np.lexsort((-old, nbr, node))
+    first = np.ones(len(one), bool)
+    first[1:] = (node[one][1:] != node[one][:-1]) | (nbr[one][1:] != nbr[one][:-1])
+    one = one[first]
+    one = one[np.lexsort((nbr[one], -sim[one], node[one]))]
+    n = node[one]
+    starts = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]])) if len(n) else np.zeros(0, int)
+    rank = np.arange(len(n)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(n)]])))
+    return one[rank < width]
+
+
+class _Emit:
+    """Collects (node, nbr, sim); what leaves are the best of each node among what was collected."""
+
+    def __init__(self, width: int, size: int = 400_000):
+        self.width, self.size, self.held, self.rows = width, size, [], 0
+
+    def add(self, node: np.ndarray, nbr: np.ndarray, sim: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((node, nbr, sim))
+        self.rows += len(node)
+        if self.rows >= self.size:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            node, nbr, sim = (np.concatenate(c) for c in zip(*self.held))
+            keep = _order(node, nbr, sim, np.zeros(len(node), np.int8), self.width)
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(nbr[keep]), pa.array(sim[keep].astype(np.float32))], names=["node", "nbr", "sim"])
+        self.held, self.rows = [], 0
 
 
 def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,107 +162,164 @@ def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(n), k), cols.ravel()
 
 
-def _within_leaves(dim: int, k: int):
+def _within_leaves(dim: int, k: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple] = []
-        for block in _runs(batches, 1):
-            node = np.concatenate([b.column(2).to_numpy() for b in block])
+        out = _Emit(k)
+        for rows in _runs(batches, 1, block):
+            node = np.concatenate([b.column(2).to_numpy() for b in rows])
             if len(node) < 2:
                 continue
-            m = np.concatenate([_rows(b.column(3), dim) for b in block])
+            m = np.concatenate([_rows(b.column(3), dim) for b in rows])
             sims = m @ m.T
             np.fill_diagonal(sims, -2)
             x, y = _best(sims, k)
             real = sims[x, y] > -2
-            found.append((node[x[real]], node[y[real]], sims[x[real], y[real]]))
-            yield from _emit(found)
-        yield from _emit(found, 1)
+            yield from out.add(node[x[real]], node[y[real]], sims[x[real], y[real]])
+        yield from out.flush()
 
     return run
 
 
-def _local_join(dim: int, k: int):
-    """(pivot, salt, member, new, worst, v) -> better neighbours among the members of a pivot."""
+def _local_join(dim: int, k: int, most: int):
+    """(home, salt, member, new, worst, v) -> better neighbours among the members of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple] = []
-        for block in _runs(batches, 2):
-            member = np.concatenate([b.column(2).to_numpy() for b in block])
-            new = np.concatenate([b.column(3).to_numpy(zero_copy_only=False) for b in block]).astype(bool)
+        out = _Emit(k)
+        for rows in _runs(batches, 2, most):
+            member = np.concatenate([b.column(2).to_numpy() for b in rows])
+            new = np.concatenate([b.column(3).to_numpy(zero_copy_only=False) for b in rows]).astype(bool)
             if len(member) < 2 or not new.any():
                 continue
-            worst = np.concatenate([b.column(4).to_numpy() for b in block])
-            m = np.concatenate([_rows(b.column(5), dim) for b in block])
-            sims = m @ m.T
-            sims[(member[:, None] == member) | ~(new[:, None] | new)] = -2
-            x, y = _best(sims, k)
-            s = sims[x, y]
-            real = s > worst[x]
-            if real.any():
-                found.append((member[x[real]], member[y[real]], s[real]))
-            yield from _emit(found)
-        yield from _emit(found, 1)
+            worst = np.concatenate([b.column(4).to_numpy() for b in rows])
+            m = np.concatenate([_rows(b.column(5), dim) for b in rows])
+            for lo in range(0, len(m), 1024):
+                sims = m[lo : lo + 1024] @ m.T
+                hit = sims > worst[lo : lo + 1024, None]
+                hit &= new[lo : lo + 1024, None] | new
+                x, y = np.nonzero(hit)
+                apart = member[lo + x] != member[y]
+                x, y = x[apart], y[apart]
+                if len(x):
+                    yield from out.add(member[lo + x], member[y], sims[x, y])
+        yield from out.flush()
+
+    return run
+
+
+def _merge(width: int):
+    """(node, nbr, sim, old) sorted by node -> (node, nbrs, sims, new): the ``width`` best per node."""
+
+    def lists(node, nbr, sim, old) -> pa.RecordBatch:
+        keep = _order(node, nbr, sim, old, width)
+        n = node[keep]
+        starts = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
+        at = pa.array(np.concatenate([starts, [len(n)]]).astype(np.int32))
+        cols = (pa.array(nbr[keep]), pa.array(sim[keep]), pa.array(old[keep] == 0))
+        return pa.RecordBatch.from_arrays([pa.array(n[starts]), *(pa.ListArray.from_arrays(at, c) for c in cols)], names=["node", "nbrs", "sims", "new"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            node = cols[0]
+            cut = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
+            if cut:
+                yield lists(*(np.concatenate(c) for c in zip(*held, tuple(c[:cut] for c in cols))))
+                held = []
+            elif held and held[-1][0][-1] != node[0]:
+                yield lists(*(np.concatenate(c) for c in zip(*held)))
+                held = []
+            held.append(tuple(c[cut:] for c in cols))
+        if held:
+            yield lists(*(np.concatenate(c) for c in zip(*held)))
 
     return run
 
 
+#: Nodes of a block are 2^HOME consecutive numbers.
+HOME = 6
+
+
 class NeighbourGraph:
-    """``k`` answers per vector out of lists of ``width`` neighbours; ``tables`` hyperplane trees start the graph."""
+    """``k`` answers per vector out of lists of ``width`` neighbours; ``tables`` hyperplane trees with leaves of about ``leaf`` nodes
+    start the graph."""
 
-    def __init__(self, df: DataFrame, id_col: str, vector_col: str, k: int = 5, width: int = 10, tables: int = 4, leaf: int = 96, rounds: int = 6, stop: float = 0.002, seed: int = 7):
-        self.k, self.width, self.tables, self.seed = k, max(width, k), tables, seed
+    def __init__(
+        self, df: DataFrame, id_col: str, vector_col: str, k: int = 5, width: int = 10, tables: int = 4, leaf: int = 96, rounds: int = 6, stop: float = 0.002, seed: int = 7, block: int = 512, hub: int = 2048
+    ):
+        self.k, self.width, self.tables, self.seed, self.block, self.hub = k, max(width, k), tables, seed, block, hub
         src = df.select(F.col(id_col).alias("name"), F.col(vector_col).cast("array<float>").alias("x")).filter("name is not null and size(x) > 0")
         self.dim = src.agg(F.mode(F.size("x"))).first()[0] or 1
         usable = src.filter((F.size("x") == self.dim) & ~F.exists("x", lambda e: e.isNull()))
         kind = src.schema["name"].dataType.simpleString()
-        unit = usable.mapInArrow(_unit(self.dim), f"name {kind}, v binary").dropDuplicates(["name"])
-        self.vectors = materialize(unit.select(F.monotonically_increasing_id().alias("node"), "name", "v"), "knn_vectors")
+        unit = usable.mapInArrow(_unit(self.dim), f"name {kind}, v binary").groupBy("name").agg(F.min("v").alias("v"))
+        self.members = materialize(unit.select("name", "v", F.unhex(F.md5("v")).alias("key")), "knn_members")
+        self.vectors = self._numbered(kind)
         self.n = self.vectors.count()
         self.bits = max(0, math.ceil(math.log2(max(self.n, 1) / leaf)))
         self.graph = self._first()
-        for _ in range(rounds):
-            changed = self._descend()
+        for r in range(rounds):
+            changed = self._descend(r)
             if changed <= stop * self.n * self.width:
                 break
 
+    def _numbered(self, kind: str) -> DataFrame:
+        """node, v, n, firsts (its k + 1 smallest ids), key: one row per different unit vector, numbered along hyperplanes. Of a
+        direction that very many share each task keeps k + 1 ids before the shuffle."""
+        ranked = self.members.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("name"))).filter(F.col("r") <= self.k + 1)
+        firsts = ranked.groupBy("key").agg(F.min("v").alias("v"), F.array_sort(F.collect_list("name")).alias("firsts"))
+        several = self.members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        one = firsts.join(several, "key", "left").select("v", "key", "firsts", F.coalesce("n", F.lit(1)).alias("n"))
+        coded = one.mapInArrow(_codes(self.dim, 40, self.seed + 1), f"v binary, key binary, firsts array<{kind}>, n bigint, code bigint")
+        return materialize(coded.repartitionByRange("code", "key").sortWithinPartitions("code", "key").select(F.monotonically_increasing_id().alias("node"), "v", "key", "firsts", "n"), "knn_vectors")
+
     def _top(self, edges: DataFrame, label: str) -> DataFrame:
-        """node, nbrs, sims, new: the best ``width`` of (node, nbr, sim, old) rows per node, in one shuffle. A list is at most
-        what the leaves or the improvements of one round bring, never a hub's whole neighbourhood."""
-        one = edges.repartition("node").groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
-        lists = one.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("d"), "nbr", "old"))), 1, self.width).alias("l"))
-        out = lists.select("node", F.col("l.nbr").alias("nbrs"), F.transform("l.d", lambda d: -d).alias("sims"), F.transform("l.old", lambda o: o == 0).alias("new"))
-        return materialize(out, label)
+        """node, nbrs, sims, new: the best ``width`` of (node, nbr, sim, old) rows per node, in one shuffle. Tasks have kept the
+        best of each node already, so a hub brings at most ``width`` rows from each of them."""
+        rows = edges.select("node", "nbr", "sim", F.col("old").cast("int")).repartition("node").sortWithinPartitions("node")
+        return materialize(rows.mapInArrow(_merge(self.width), "node bigint, nbrs array<bigint>, sims array<float>, new array<boolean>"), label)
 
     def _first(self) -> DataFrame:
         rows = self.vectors.select("node", "v").mapInArrow(_leaves(self.dim, self.tables, self.bits, self.seed), "leaf bigint, fine int, node bigint, v binary")
         # a leaf that holds a large part of the vectors is cut by its finer bits and spread over tasks by range
         ranged = rows.repartitionByRange("leaf", "fine", "node").sortWithinPartitions("leaf", "fine", "node")
-        edges = ranged.mapInArrow(_within_leaves(self.dim, self.width), "node bigint, nbr bigint, sim float")
+        edges = ranged.mapInArrow(_within_leaves(self.dim, self.width, self.block), "node bigint, nbr bigint, sim float")
         return self._top(edges.withColumn("old", F.lit(0)), "knn_graph0")
 
-    def _descend(self) -> int:
+    def _descend(self, r: int) -> int:
         g = self.graph
         fwd = g.select("node", F.explode(F.arrays_zip("nbrs", "new")).alias("e")).select(F.col("node").alias("pivot"), F.col("e.nbrs").alias("member"), F.col("e.new").alias("new"))
-        rev = fwd.select(F.col("member").alias("pivot"), F.col("pivot").alias("member"), "new")
-        hubs = rev.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("pivot", F.ceil(F.col("n") / (BLOCK // 2)).alias("parts"))
-        # neighbours that name a hub are dealt out to several tasks; all other rows have salt 0
-        dealt = rev.join(hubs, "pivot", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("member"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-        edges = fwd.withColumn("salt", F.lit(0)).unionByName(dealt).groupBy("pivot", "salt", "member").agg(F.max("new").alias("new"))
+        both = fwd.unionByName(fwd.select(F.col("member").alias("pivot"), F.col("pivot").alias("member"), "new"))
+        needs = both.select(F.shiftright("pivot", HOME).alias("home"), "member", "new").repartition("member").groupBy("home", "member").agg(F.max("new").alias("new"))
+        homes = needs.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("fresh")).filter("fresh").select("home", F.ceil(F.col("n") / self.hub).alias("parts"))
+        # a block that very many nodes name is dealt out to several tasks, anew in every round
+        dealt = needs.join(homes, "home").withColumn("salt", F.pmod(F.xxhash64("member", F.lit(r)), F.col("parts")).cast("int")).drop("parts")
         worst = g.select(F.col("node"), F.when(F.size("sims") >= self.width, F.element_at("sims", -1)).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
         known = self.vectors.select("node", "v").join(worst, "node").withColumnRenamed("node", "member")
-        rows = edges.join(known, "member").select("pivot", "salt", "member", "new", "worst", "v").repartition("pivot", "salt").sortWithinPartitions("pivot", "salt")
-        better = rows.mapInArrow(_local_join(self.dim, self.width), "node bigint, nbr bigint, sim float")
+        rows = dealt.join(known, "member").select("home", "salt", "member", "new", "worst", "v").repartition("home", "salt").sortWithinPartitions("home", "salt")
+        better = rows.mapInArrow(_local_join(self.dim, self.width, 2 * self.hub), "node bigint, nbr bigint, sim float")
         old = g.select("node", F.explode(F.arrays_zip("nbrs", "sims")).alias("e")).select("node", F.col("e.nbrs").alias("nbr"), F.col("e.sims").alias("sim"), F.lit(1).alias("old"))
         self.graph = self._top(old.unionByName(better.withColumn("old", F.lit(0))), "knn_graph")
+        discard(g)
         return self.graph.agg(F.sum(F.size(F.filter("new", lambda x: x)))).first()[0] or 0
 
     def neighbours(self) -> DataFrame:
-        """id, neighbour, rank (1 = most similar), cosine: at most k rows per id."""
-        top = self.graph.select("node", F.posexplode(F.slice(F.arrays_zip("nbrs", "sims"), 1, self.k)).alias("rank", "e"))
-        names = self.vectors.select("node", "name")
-        out = top.select("node", F.col("e.nbrs").alias("nbr"), (F.col("rank") + 1).alias("rank"), F.col("e.sims").cast("double").alias("cosine"))
-        out = out.join(names.withColumnRenamed("name", "id"), "node").join(names.select(F.col("node").alias("nbr"), F.col("name").alias("neighbour")), "nbr")
-        return out.select("id", "neighbour", "rank", "cosine")
+        """id, neighbour, rank (1 = most similar), cosine: at most k rows per id. A node's answers are its own other ids, then
+        those of its neighbours; k + 1 of each suffice."""
+        k = self.k
+        # with the k-th neighbour go those of equal similarity: the smaller id decides between them
+        near = F.filter(F.arrays_zip("nbrs", "sims"), lambda e: e["sims"] >= F.element_at("sims", F.least(F.size("sims"), F.lit(k))))
+        top = self.graph.select("node", F.explode(near).alias("e")).select("node", F.col("e.nbrs").alias("nbr"), F.col("e.sims").cast("double").alias("cosine"))
+        named = top.join(self.vectors.select(F.col("node").alias("nbr"), "firsts"), "nbr").select("node", F.explode("firsts").alias("name"), "cosine")
+        own = self.vectors.filter("n > 1").select("node", F.explode("firsts").alias("name"), F.lit(1.0).alias("cosine"))
+        entry = F.struct((-F.col("cosine")).alias("d"), "name")
+        lists = named.unionByName(own).groupBy("node").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k + 1).alias("l"))
+        lists = materialize(lists.join(self.vectors.select("node", "key", "n"), "node").select("key", "n", "l"), "knn_lists")
+        rows = join_groups(self.members.select(F.col("name").alias("id"), "key"), lists, ["key"])
+        rest = F.slice(F.filter("l", lambda e: e["name"] != F.col("id")), 1, k)
+        return rows.select("id", F.posexplode(rest).alias("p", "e")).select("id", F.col("e.name").alias("neighbour"), (F.col("p") + 1).alias("rank"), (-F.col("e.d")).alias("cosine"))
 
     def search(self, queries: DataFrame, id_col: str, vector_col: str, beam: int = 16, rounds: int = 4) -> DataFrame:
         """id, neighbour, rank, cosine for vectors from outside (or inside: a vector never names its own id). The search
@@ -226,24 +328,26 @@ class NeighbourGraph:
         q = queries.select(F.col(id_col).alias("name"), F.col(vector_col).cast("array<float>").alias("x")).filter((F.size("x") == self.dim) & F.col("name").isNotNull() & ~F.exists("x", lambda e: e.isNull()))
         q = materialize(q.mapInArrow(_unit(self.dim), f"name {kind}, v binary").dropDuplicates(["name"]).withColumn("q", F.monotonically_increasing_id()), "knn_queries")
         leaves = lambda t, c: t.mapInArrow(_leaves(self.dim, self.tables, self.bits, self.seed), "leaf bigint, fine int, node bigint, v binary").select("leaf", F.col("node").alias(c))
-        # entries: the queries' leaves; a leaf over BLOCK rows is dealt into parts, and a query enters one of them
+        # entries: the queries' leaves; a leaf over ``block`` nodes is dealt into parts, and a query enters one of them
         here = leaves(self.vectors.select("node", "v"), "node")
-        parts = here.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+        parts = here.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / self.block).alias("parts"))
         part = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).alias("part")
         mine = leaves(q.select(F.col("q").alias("node"), "v"), "q").join(parts, "leaf").select("leaf", part("q"), "q")
         seeds = mine.join(here.join(parts, "leaf").select("leaf", part("node"), "node"), ["leaf", "part"]).select("q", "node").distinct()
         state = self._scored(seeds, q, beam, None)
-        for r in range(rounds):
+        for _ in range(rounds):
             fresh = state.filter("not seen").select("q", "node")
             near = fresh.join(self.graph.select("node", "nbrs"), "node").select("q", F.explode("nbrs").alias("node")).distinct()
             near = near.join(state.select("q", "node"), ["q", "node"], "left_anti")
-            state = self._scored(near, q, beam, state)
-        top = state.withColumn("rank", F.row_number().over(_by_query())).filter(F.col("rank") <= self.k)
-        out = top.join(q.select("q", F.col("name").alias("id")), "q").join(self.vectors.select("node", F.col("name").alias("neighbour")), "node")
-        return out.select("id", "neighbour", "rank", F.col("sim").cast("double").alias("cosine"))
+            last, state = state, self._scored(near, q, beam, state)
+            discard(last)
+        named = state.join(self.vectors.select("node", "firsts"), "node").select("q", F.explode("firsts").alias("neighbour"), F.col("sim").cast("double").alias("cosine"))
+        named = named.join(q.select("q", F.col("name").alias("id")), "q").filter("id <> neighbour")
+        w = Window.partitionBy("q").orderBy(F.desc("cosine"), "neighbour")
+        return named.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= self.k).select("id", "neighbour", "rank", "cosine")
 
     def _scored(self, pairs: DataFrame, q: DataFrame, beam: int, state: DataFrame | None) -> DataFrame:
-        rows = pairs.join(self.vectors, "node").join(q.select("q", F.col("v").alias("w"), F.col("name").alias("own")), "q").filter("name <> own").select("q", "node", "v", "w")
+        rows = pairs.join(self.vectors.select("node", "v"), "node").join(q.select("q", F.col("v").alias("w")), "q").select("q", "node", "v", "w")
         dim = self.dim
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +362,6 @@ class NeighbourGraph:
 
 
 def _by_query():
-    from pyspark.sql.window import Window
-
     return Window.partitionBy("q").orderBy(F.desc("sim"), "node")
 
 
@@ -289,7 +391,5 @@ def brute_force(queries: DataFrame, q_id: str, q_vec: str, df: DataFrame, id_col
                 x, y = _best(sims, k + 1)
                 yield pa.RecordBatch.from_arrays([pa.array([qs[i]["name"] for i in x]), pa.array([rs[j]["name"] for j in y]), pa.array(sims[x, y].astype(np.float64))], names=["id", "neighbour", "cosine"])
 
-    from pyspark.sql.window import Window
-
     scored = paired.select("qs", "rs").mapInArrow(run, f"id {qkind}, neighbour {kind}, cosine double").filter("id <> neighbour")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))).filter(F.col("rank") <= k).select("id", "neighbour", "rank", "cosine")
