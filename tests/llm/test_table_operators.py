@@ -226,3 +226,19 @@ def test_repeated_lines_come_from_the_blocks_of_the_graph(spark, tmp_path, monke
     assert sorted(tuple(r) for r in queries.p6_found(spark, str(tmp_path)).collect()) == [("A", "head"), ("A", "second"), ("A", "tail")]
     assert {(r.text, r.n_removed) for r in queries.p6_cleaned(spark, str(tmp_path)).collect()} == {(f"own {i}", 3) for i in range(12)}
     assert len(calls) == 2
+
+
+def test_equal_vectors_are_settled_by_the_smaller_id(spark):
+    same = spark.range(2000).select(F.format_string("e%04d", "id").alias("id"), F.array(F.lit(1.0), F.lit(1.0), F.lit(0.5)).alias("v"))
+    few = spark.createDataFrame([("a", [1.0, 1.0, 0.5]), ("z", [0.0, 1.0, 0.0]), ("z", [0.0, 1.0, 0.0]), ("y", [0.0, 2.0, 0.0])], "id string, v array<double>")
+    got = defaultdict(list)
+    for r in neighbours.NeighbourGraph(same.unionByName(few).repartition(20), "id", "v", k=3).neighbours().orderBy("id", "rank").collect():
+        got[r.id].append(r.neighbour)
+    assert len(got) == 2003 and got["a"] == ["e0000", "e0001", "e0002"] and got["e0001"] == ["a", "e0000", "e0002"] and got["e1999"] == ["a", "e0000", "e0001"]
+    assert got["z"] == ["y", "a", "e0000"] and got["y"] == ["z", "a", "e0000"]
+
+
+def test_small_blocks_and_hubs_lose_little(spark, cloud):
+    df = spark.createDataFrame([(f"c{i:04d}", [float(v) for v in x]) for i, x in enumerate(cloud)], "id string, vec array<float>")
+    made = [{(r.id, r.neighbour) for r in neighbours.NeighbourGraph(df, "id", "vec", leaf=40, **k).neighbours().collect()} for k in ({}, {"block": 16, "hub": 64})]
+    assert len(made[0]) == len(made[1]) == 5 * 1080 and len(made[0] & made[1]) >= 0.95 * len(made[0])
