@@ -10,9 +10,11 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ledgerloom.functions import rules, text as T
 
@@ -74,6 +76,19 @@ def metadata_bytes(row: dict) -> int:
     return len(json.dumps({k: str(row[k]) if k == "year" and row[k] is not None else row[k] for k in names if k in row}, default=str).encode())
 
 
+@F.pandas_udf(IntegerType())
+def metadata_size(rows: pd.DataFrame) -> pd.Series:
+    """``metadata_bytes`` of a struct of metadata columns."""
+    plain = rows.astype(object).where(rows.notna(), None)
+    whole = lambda k, v: int(v) if k in ("year", "start_token", "end_token") and v is not None else v
+    return pd.Series([metadata_bytes({k: whole(k, v) for k, v in row.items()}) for row in plain.to_dict("records")], dtype="int32")
+
+
+def long_enough(df: DataFrame, text_col: str) -> DataFrame:
+    """Rows whose stripped text has the characters a document must have to be chunked."""
+    return df.filter(F.length(T.strip(text_col)) >= rules.MIN_CHUNK_LENGTH)
+
+
 def chunk_documents(
     df: DataFrame,
     doc_col: str,
@@ -88,7 +103,7 @@ def chunk_documents(
     """doc_id, chunk_id, start_token, end_token, text and the named metadata columns. Documents of fewer than 50 stripped
     characters yield nothing; ids are given before the quality filter, so they may have gaps."""
     src = df.select(F.col(doc_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(m) for m in metadata])
-    src = src.filter(F.length(T.strip("text")) >= rules.MIN_CHUNK_LENGTH).withColumn("s", T.sentences("text"))
+    src = long_enough(src, "text").withColumn("s", T.sentences("text"))
     src = src.select("doc_id", "s", F.transform("s", lambda x: counter(x)).alias("n"), F.to_json(F.struct(F.lit(0).alias("_"), *metadata)).alias("meta"))
     budget = int(size * overlap)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.functions import rules
+from ledgerloom.functions import rules, text as T
 
 CLIPPED = ("Table", "Figure")
 
@@ -107,6 +107,16 @@ def reading_order(df: DataFrame, *tie: str) -> DataFrame:
     return df.orderBy(F.coalesce("page", F.lit(0)), F.coalesce("coordinates.y_1", F.lit(0.0)), *tie)
 
 
+def reading_places(df: DataFrame, *tie: str) -> DataFrame:
+    """``place`` of each row in reading order, from 1: numbered per page after a count of the pages before it, so no task sorts
+    everything. Pages are few beside rows."""
+    t = df.withColumn("_p", F.coalesce("page", F.lit(0)))
+    sizes = t.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
+    w = Window.partitionBy("_p").orderBy(F.coalesce("coordinates.y_1", F.lit(0.0)), *tie)
+    return t.withColumn("_k", F.row_number().over(w)).join(before, "_p").withColumn("place", F.col("_before") + F.col("_k")).drop("_p", "_k", "_before")
+
+
 def to_source(df: DataFrame, text: Column) -> DataFrame:
     """The flat source record of a retrieved chunk, with its defaults."""
     blank = lambda c, d: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(d))
@@ -128,6 +138,13 @@ def fallback_id(chunk_id_: Column, kind: Column, ticker: Column, year: Column, p
     )
 
 
+def is_served(path: Column) -> Column:
+    """The file lies inside the image folder and is of a known image type: no absolute path, no step upwards."""
+    given = F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))
+    inside = ~(F.contains(F.concat(F.lit("/"), given, F.lit("/")), F.lit("/../")) | F.startswith(given, F.lit("/")))
+    return inside & T.mime_type(F.regexp_extract(given, r"(\.[^./]*)$", 1)).isNotNull()
+
+
 def text_for_embedding(text: Column, kind: Column, path: Column) -> Column:
     return F.when(kind.isin(*CLIPPED) & path.isNotNull(), F.concat(text, F.lit("\n\nImage: "), path)).otherwise(text)
 

@@ -8,13 +8,13 @@ from functools import reduce
 from itertools import batched
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import rules
-from ledgerloom.functions.vectors import dot, norm
 from ledgerloom.runtime import materialize
 
 #: Queries that travel to every task at once: 4,096 vectors of 1,024 numbers are 16 MB.
@@ -28,9 +28,21 @@ def matches(filters: dict | None) -> Column:
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
-    q = F.array(*[F.lit(float(x)) for x in query])
-    n = math.sqrt(sum(float(x) ** 2 for x in query)) or 1.0
-    return F.when(norm(vector) > 0, dot(vector, q) / (norm(vector) * n)).otherwise(F.lit(0.0))
+    """By NumPy on Arrow batches; a null or all-zero vector, or one of another length, scores 0."""
+    q = np.asarray(query, np.float64)
+    q = q / (math.sqrt(float(q @ q)) or 1.0)
+
+    @F.pandas_udf("double")
+    def run(v: pd.Series) -> pd.Series:
+        out = np.zeros(len(v))
+        at = [i for i, x in enumerate(v) if x is not None and len(x) == len(q)]
+        if at:
+            m = np.stack([np.asarray(v.iloc[i], np.float64) for i in at])
+            n = np.sqrt((m * m).sum(1))
+            out[at] = m @ q / np.where(n > 0, n, 1)
+        return pd.Series(out)
+
+    return run(vector)
 
 
 def top_k(df: DataFrame, id_col: str, vector_col: str, query: list[float], k: int = rules.TOP_K, filters: dict | None = None) -> DataFrame:
@@ -48,17 +60,20 @@ def _query_matrix(rows: list) -> tuple[list, np.ndarray]:
 def top_k_batch(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, q_id: str, q_vector: str, k: int = rules.TOP_K, on: list[str] | None = None) -> DataFrame:
     """q_id, id, score, rank of a batch of questions against all rows.
 
-    Questions are fetched in blocks of at most QUERY_BLOCK and multiplied with each Arrow batch of the corpus; a task keeps
-    only its k best per question, so what is shuffled is tasks x questions x k rows, not corpus x questions. ``on`` names
-    columns (metadata) in which a question's value, where not null, must equal the row's."""
+    Any number of questions: they are fetched in blocks of at most QUERY_BLOCK, and each block is multiplied with every Arrow
+    batch of the corpus; a task keeps only its k best per question, so what is shuffled is tasks x questions x k rows, not
+    corpus x questions. ``on`` names columns (metadata) in which a question's value, where not null, must equal the row's."""
     on = on or []
-    rows = queries.select(F.col(q_id), F.col(q_vector).cast("array<double>"), *on).limit(QUERY_BLOCK + 1).collect()
-    if len(rows) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} questions in one batch: call it once per block of questions")
+    kinds = (queries.schema[q_id].dataType.simpleString(), df.schema[id_col].dataType.simpleString())
+    asked = queries.select(F.col(q_id), F.col(q_vector).cast("array<double>"), *on)
+    parts = [_top_k_block(df, id_col, vector_col, list(rows), kinds, k, on) for rows in batched(asked.toLocalIterator(), QUERY_BLOCK)]
+    return reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, score double, rank int")
+
+
+def _top_k_block(df: DataFrame, id_col: str, vector_col: str, rows: list, kinds: tuple[str, str], k: int, on: list[str]) -> DataFrame:
     qid, matrix = _query_matrix(rows)
     want = [[r[2 + i] for r in rows] for i in range(len(on))]
     src = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), *on).filter("v is not null")
-    kinds = (queries.schema[q_id].dataType.simpleString(), src.schema["id"].dataType.simpleString())
 
     free = [q for q in range(len(qid)) if all(w[q] is None for w in want)]
 
@@ -141,7 +156,8 @@ class CellIndex:
                     c[j] = m[near == j].mean(0)
             c /= np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-30)
         self.centroids = c
-        assigned = materialize(self._assign(df), "cells")
+        # each cell is a partition on disk: a search reads the folders of its cells only
+        assigned = materialize(self._assign(df).hint("rebalance", F.col("cell")), "cells", ("cell",))
         self.reach = np.full(len(c), -np.inf)  # of a cell without rows
         for r in assigned.groupBy("cell").agg(F.min("cell_cosine").alias("least")).collect():
             self.reach[r.cell] = math.acos(min(1.0, max(-1.0, r.least)))
@@ -153,8 +169,6 @@ class CellIndex:
 
         @F.pandas_udf("cell int, cosine double")
         def nearest(v):
-            import pandas as pd
-
             if not len(v):
                 return pd.DataFrame({"cell": np.array([], "int32"), "cosine": np.array([], "float64")})
             m = np.stack([np.asarray(x, np.float64) for x in v])
@@ -239,6 +253,15 @@ def plan_search(n_rows: int) -> str:
     return "cells" if n_rows > rules.IVF_FROM else "exact"
 
 
+def search(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, q_id: str, q_vector: str, k: int = rules.TOP_K, on: list[str] | None = None) -> DataFrame:
+    """query_id, id, score, rank by the access path the corpus asks for: cells for large ones, all rows for small ones and where
+    questions name metadata (each such question reads its own part of the rows)."""
+    named = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in on], F.lit(False)) if on else F.lit(False)
+    if plan_search(df.count()) == "cells" and queries.filter(named).isEmpty():
+        return CellIndex(df, id_col, vector_col).search_batch(queries, q_id, q_vector, k).drop("cell")
+    return top_k_batch(df, id_col, vector_col, queries, q_id, q_vector, k, on)
+
+
 def rerank(candidates: DataFrame, score: Column | None, query_id: str = "query_id", cut: int = rules.RERANK_CUT) -> DataFrame:
     """The ``cut`` best by the reranker's score, ties by dense rank; without a reranker the candidates stay uncut."""
     if score is None:

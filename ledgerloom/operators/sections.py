@@ -21,13 +21,16 @@ def section_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "form string, ord int, section string, title string, pattern string")
 
 
+EVERY_SECTION = "_ALL"
+
+
 def validate_section_names(names: list[str]) -> None:
-    if names == ["_ALL"]:
-        return
-    if "_ALL" in names:
-        raise ValueError("_ALL may not be specified with other sections")
-    if bad := [n for n in names if n not in {s[0] for s in rules.SECTIONS}]:
-        raise ValueError(f"The following section names are not valid: {bad}")
+    """ValueError unless the names are catalog sections, or EVERY_SECTION and nothing else."""
+    unknown = set(names).difference({EVERY_SECTION}, (name for name, *_ in rules.SECTIONS))
+    mixed = EVERY_SECTION in names and len(set(names)) > 1
+    problems = [f"{EVERY_SECTION} stands for every section and excludes other names"] * mixed + [f"no such section: {', '.join(sorted(unknown))}"] * bool(unknown)
+    if problems:
+        raise ValueError("; ".join(problems))
 
 
 def form_family(form: Column) -> Column:
@@ -148,6 +151,24 @@ def narrative_without_toc(elements: DataFrame, is_section: Column, form_col: str
     return body.join(first, ["doc_id", "_seg"]).select("doc_id", "pos", "kind", "text")
 
 
+def narrative_sections(elements: DataFrame, form_col: str = "form") -> DataFrame:
+    """doc_id, section, section_title, text, n_blocks: the narrative of every section of the form's list.
+
+    The state machine of ``narrative_without_toc`` for all sections at once: a title that matches a section opens a run, an item
+    title without a match closes it, other titles belong to the run they stand in. The first run of a section that holds
+    narrative or list text wins, so entries of a table of contents, which hold none, open nothing. One shuffle by document."""
+    form = F.col(form_col)
+    titled = match_sections(elements.withColumn("_t", F.when(F.col("kind") == "title", F.col("text"))), "_t", form_col)
+    opens = (F.col("kind") == "title") & F.col("section").isNotNull()
+    closes = (F.col("kind") == "title") & is_item_title(F.col("text"), form)
+    mark = F.when(opens | closes, F.struct("pos", "section", "section_title"))
+    w = _doc().rowsBetween(Window.unboundedPreceding, 0)
+    d = titled.withColumn("_run", F.last(mark, True).over(w)).filter(F.col("kind").isin("narrative", "list") & F.col("_run.section").isNotNull())
+    d = d.select("doc_id", "pos", "text", F.col("_run.pos").alias("_at"), F.col("_run.section").alias("section"), F.col("_run.section_title").alias("section_title"))
+    first = d.withColumn("_first", F.min("_at").over(Window.partitionBy("doc_id", "section"))).filter("_at = _first")
+    return join_blocks(first, ["doc_id", "section", "section_title"], "pos", "text")
+
+
 def heading_positions(elements: DataFrame, toc: DataFrame, form_col: str = "form") -> DataFrame:
     """For each table-of-contents entry (doc_id, toc_pos, toc_text): start_pos, the last element of the document after the
     entry whose cleaned text matches it."""
@@ -246,3 +267,83 @@ def html_tables(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.string()) for c in cols[1:])], names=["id", "ord", "section", "section_title", "text", "html"])
 
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, ord int, section string, section_title string, text string, html string").withColumnRenamed("id", id_col)
+
+
+_BREAK = re.compile(r"<(/?)(h[1-6]|p|div|li|ul|ol|table|title|blockquote|center|tr|td|th|br|hr|body|html|document|text|type)\b[^<>]*>", re.I)
+_BOLD = re.compile(r"\s*<(b|strong|u)\b[^<>]*>(.*)</\1\s*>\s*", re.I | re.S)
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_RUN = re.compile(f"[{T.BLANKS}]+")
+#: A paragraph of so many words is narrative, one of fewer needs the end of a sentence; a title has at most TITLE_WORDS.
+NARRATIVE_WORDS, SENTENCE_WORDS, TITLE_WORDS = 15, 8, 14
+
+
+def element_kind(tag: str, text: str, bold: bool) -> str:
+    """What a block is: by its element where that says it, else by its words."""
+    if tag[0] == "h" and tag[1:].isdigit() or tag == "title":
+        return "title"
+    if tag in ("li", "table"):
+        return "list" if tag == "li" else "table"
+    n = text.count(" ") + 1
+    if n >= NARRATIVE_WORDS or n >= SENTENCE_WORDS and text[-1] in ".!?":
+        return "narrative"
+    heading = bold or re.match(r"(?i)(?:item|part)\s+[0-9ivx]+[a-c]?\b", text) or text.isupper()
+    return "title" if heading and n <= TITLE_WORDS and text[-1] not in ",;" else "text"
+
+
+def scan_elements(source: str) -> list[tuple[str, str]]:
+    """(kind, text) of the blocks of a filing in order. A table is one block; text without tags is cut at blank lines."""
+    source = _HIDDEN.sub(" ", source)
+    out: list[tuple[str, str]] = []
+    parts: list[str] = []
+    tag, tables, skip, at = "", 0, False, 0
+
+    def close() -> None:
+        raw = "".join(parts)
+        parts.clear()
+        bold = _BOLD.fullmatch(raw) is not None
+        for piece in [raw] if tag else re.split(r"\n[ \t\r]*\n", raw):
+            if text := _RUN.sub(" ", unescape(re.sub(r"<[^<>]+>", "" if not tables else " ", piece))).strip(" "):
+                out.append((element_kind(tag or "p", text, bold), text))
+
+    for m in _BREAK.finditer(source):
+        if not skip:
+            parts.append(source[at : m.start()])
+        at, end, name = m.end(), bool(m.group(1)), m.group(2).lower()
+        skip = False
+        if name == "type" and not tables:  # the form's tag has no closing one: its value ends with the line
+            close()
+            at = re.compile(r"[^<\n]*").match(source, at).end()
+        elif name == "table":
+            if not tables or end and tables == 1:
+                close()
+                tag = "" if end else "table"
+            tables = max(0, tables + (-1 if end else 1))
+        elif tables or name in ("br", "tr", "td", "th"):
+            parts.append(" ")
+        else:
+            close()
+            tag = "" if end or name in ("ul", "ol", "body", "html", "document", "text", "hr", "center") else name
+    parts.append(source[at:])
+    close()
+    return out
+
+
+def html_elements(df: DataFrame, id_col: str, html_col: str, *keep: str) -> DataFrame:
+    """doc_id, pos, kind (title, narrative, list, table, text), text, is_title and the columns ``keep`` of every block of raw
+    filings: the input of the section operators. Narrow: no shuffle."""
+    src = df.select(F.col(html_col).cast("string").alias("raw"), F.col(id_col).alias("doc_id"), *keep).filter("raw is not null")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.drop("raw").schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, rows = [], []
+            for k, raw in enumerate(batch.column(0).to_pylist()):
+                found = scan_elements(raw)
+                take += [k] * len(found)
+                rows += [(i, *e) for i, e in enumerate(found)]
+            cols = list(zip(*rows)) if rows else [[]] * 3
+            at = pa.array(take, pa.int64())
+            names = [*batch.schema.names[1:], "pos", "kind", "text"]
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[1:]), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=names)
+
+    return src.mapInArrow(run, f"{kinds}, pos int, kind string, text string").withColumn("is_title", F.col("kind") == "title")

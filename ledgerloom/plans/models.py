@@ -62,19 +62,37 @@ class WordOverlap:
 
 
 class Generator(Protocol):
-    def answer(self, query: Column, context: Column, sources: Column) -> Column: ...
+    def answer(self, query: Column, prompt: Column, sources: Column) -> Column: ...
 
 
 class Extractive:
     """Names the first source in a citation tag and quotes the first sentence of its text."""
 
-    def answer(self, query: Column, context: Column, sources: Column) -> Column:
+    def answer(self, query: Column, prompt: Column, sources: Column) -> Column:
         s = F.element_at(sources, 1)
         quote = F.coalesce(F.get(T.sentences(s["text"]), F.lit(0)), F.lit(""))
         tag = F.format_string('<source ticker="%s" year="%s" chunk_id="%s">%s</source>', F.coalesce(s["ticker"], F.lit("Unknown")), F.coalesce(s["year"].cast("string"), F.lit("Unknown")), s["chunk_id"], quote)
         return F.when(F.size(sources) > 0, tag).otherwise(F.lit(rules.EMPTY_ANSWER))
 
 
+class Remote:
+    """Answers of a remote model: ``call`` takes the whole prompt. Calls are repeated on quota errors; questions without sources
+    are not asked. ``call`` must be picklable and runs on the executors, one prompt after another."""
+
+    def __init__(self, call: Callable[[str], str], attempts: int = 3, first_delay: float = 5.0):
+        self.call = with_retry(call, attempts, first_delay)
+
+    def answer(self, query: Column, prompt: Column, sources: Column) -> Column:
+        call = self.call
+
+        @F.pandas_udf("string")
+        def run(prompts: pd.Series) -> pd.Series:
+            return prompts.map(call, na_action="ignore")
+
+        asked = F.size(sources) > 0
+        return F.when(asked, run(F.when(asked, prompt))).otherwise(F.lit(rules.EMPTY_ANSWER))
+
+
 class Captioner(Protocol):
     def caption(self, kind: Column, context: Column) -> Column: ...
 

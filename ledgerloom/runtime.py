@@ -46,6 +46,13 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     return out
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder beside the intermediate tables, removed with them."""
+    path = f"{shared_dir(spark)}/ledgerloom/{label}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = (spark.sparkContext.applicationId, spark.sparkContext._jsc.hadoopConfiguration())
+    return path
+
+
 def discard(df: DataFrame | None) -> None:
     """Remove a table of ``materialize`` that no plan reads any more, such as the last round of an iteration."""
     if (path := getattr(df, "_written_at", None)) is not None:

@@ -9,6 +9,17 @@ from dataclasses import dataclass, fields
 from ledgerloom.functions import rules
 
 
+def _leaves(values: dict) -> dict:
+    """Settings of all groups side by side; a name in two groups is an error, not a matter of order."""
+    out: dict = {}
+    for k, v in values.items():
+        for name, leaf in (_leaves(v) if isinstance(v, dict) else {k: v}).items():
+            if name in out:
+                raise ValueError(f"setting {name} occurs twice")
+            out[name] = leaf
+    return out
+
+
 @dataclass(frozen=True)
 class Config:
     top_k: int = rules.TOP_K
@@ -30,8 +41,17 @@ class Config:
 
     @classmethod
     def from_file(cls, path: str) -> Config:
+        """JSON or, where PyYAML is installed, YAML; settings may stand in groups, the innermost names count."""
         with open(path, encoding="utf-8") as f:
-            return cls.of(json.load(f))
+            if path.endswith((".yaml", ".yml")):
+                try:
+                    import yaml
+                except ImportError as e:
+                    raise ValueError(f"{path}: reading YAML needs PyYAML") from e
+                values = yaml.safe_load(f) or {}
+            else:
+                values = json.load(f)
+        return cls.of(_leaves(values))
 
     @classmethod
     def from_env(cls, prefix: str = "LEDGERLOOM_") -> Config:

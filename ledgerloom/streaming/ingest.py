@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.operators.layout import stored_metadata  # noqa: F401  (the usual projection before a write)
 from ledgerloom.sources.store import Collection
 
 
