@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import rules, text as T
-from ledgerloom.operators import layout
+from ledgerloom.operators import chunking, layout
 from ledgerloom.plans.queries_text import _strip
-from ledgerloom.runtime import table
+from ledgerloom.runtime import scratch, table
 from ledgerloom.sources import filings, parsed, store
 
 QUERIES, SQL = {}, {}
@@ -115,22 +115,48 @@ def batch_tallies(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "filings").groupBy(F.coalesce("filing_type", F.lit("unknown")).alias("filing_type")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("path").isNull()).alias("failed"))
 
 
-@query("select f.accession_number from filings f where not exists (select 1 from sec_tables t where t.doc_id = f.doc_id)")
+def _collection(spark: SparkSession, d: str, label: str, rows: DataFrame) -> store.Collection:
+    c = store.Collection(spark, scratch(spark, label))
+    c.write(rows)
+    return c
+
+
+KEYED = "select coalesce(nullif(trim(ticker), ''), 'unknown') as ticker, coalesce(nullif(trim(year), ''), 'unknown') as year, * exclude (ticker, year) from tsla_2023_unified_chunks"
+
+
+@query(f"""with k as ({KEYED}), h as (select ticker, year, count(*) as n, list(distinct chunk_id) as have from k where page % 2 = 0 group by ticker, year),
+a as (select k.ticker, k.year, count(distinct k.chunk_id) filter (not coalesce(list_contains(h.have, k.chunk_id), false)) as added from k left join h using (ticker, year) group by k.ticker, k.year)
+select a.ticker, a.year, coalesce(h.n, 0) + a.added as n, a.added from a left join h using (ticker, year)""")
 def incremental_append(spark: SparkSession, d: str) -> DataFrame:
-    """SNK3: filings not loaded yet."""
+    """SNK2, SNK3: a collection of the even pages, to which all chunks are appended twice."""
+    t = _tsla(spark, d).select("chunk_id", "ticker", "year", "page")
+    c = _collection(spark, d, "append", t.filter("page % 2 = 0").withColumn("first", F.lit(True)))
+    for _ in range(2):
+        c.append(t.withColumn("first", F.lit(False)))
+    return c.read().groupBy("ticker", "year").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("first")).alias("added"))
+
+
+@query("select f.accession_number from filings f where not exists (select 1 from sec_tables t where t.doc_id = f.doc_id)")
+def new_filings(spark: SparkSession, d: str) -> DataFrame:
+    """SNK3's test: filings not loaded yet."""
     return store.new_rows(table(spark, d, "filings").select(F.col("doc_id"), "accession_number"), table(spark, d, "sec_tables"), "doc_id", "doc_id").select("accession_number")
 
 
-@query("select count(*) as before, sum(cast(coalesce(ticker = 'ZORV', false) as int)) as deleted, sum(cast(not coalesce(ticker = 'ZORV', false) as int)) as after from sec_chunks")
+@query(f"with k as ({KEYED}) select ticker, year, count(*) as n from k where not coalesce(type = 'Figure' or ticker = 'unknown', false) group by ticker, year")
 def delete_by_key(spark: SparkSession, d: str) -> DataFrame:
-    """SNK4."""
-    return store.deletion_counts(table(spark, d, "sec_chunks"), F.col("ticker") == "ZORV")
+    """SNK4: figures, and all chunks without a ticker, deleted from a collection; what its manifest then says."""
+    c = _collection(spark, d, "delete", _tsla(spark, d).select("chunk_id", "ticker", "year", "type"))
+    c.delete((F.col("type") == "Figure") | (F.col("ticker") == "unknown"))
+    left = c.read().groupBy("ticker", "year").agg(F.count(F.lit(1)).alias("n"))
+    return left.join(c.manifest().select("ticker", "year", F.col("num_chunks").alias("n")), ["ticker", "year", "n"])
 
 
-@query("select ticker, count(*) as n, count(distinct doc_id) as n_docs, min(year) as first_year, max(year) as last_year from sec_chunks group by ticker")
+@query(f"with k as ({KEYED}) select 'sec_filings' as name, count(*) as n, count(distinct (ticker, year)) as partitions from k")
 def collection_info(spark: SparkSession, d: str) -> DataFrame:
-    """SNK8, SRC12: counts of a collection by partition."""
-    return table(spark, d, "sec_chunks").groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    """SNK8, SRC12, SRC13: a collection found by its folder and described by its manifest."""
+    c = _collection(spark, d, "info", _tsla(spark, d).select("chunk_id", "ticker", "year"))
+    found = [store.Collection(spark, c.path.rsplit("/", 1)[0], name).info() for name in store.discover(spark, c.path.rsplit("/", 1)[0])]
+    return spark.createDataFrame([(i["name"], i["count"], i["partitions"]) for i in found], "name string, n bigint, partitions bigint")
 
 
 @query(f"""with {ONE}
@@ -176,12 +202,11 @@ def image_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {ONE} select chunk_id, case lower(regexp_extract(coalesce(image_path, filename, ''), '(\\.[^./]*)$', 1)) when '.png' then 'image/png' when '.jpg' then 'image/jpeg' when '.jpeg' then 'image/jpeg' when '.gif' then 'image/gif' when '.webp' then 'image/webp' end as mime,
-  not (contains('/' || coalesce(image_path, filename, '') || '/', '/../') or starts_with(coalesce(image_path, filename, ''), '/')) as inside from one where type in ('Table', 'Figure')""")
+  not (contains('/' || coalesce(image_path, filename, '') || '/', '/../') or starts_with(coalesce(image_path, filename, ''), '/')) and lower(regexp_extract(coalesce(image_path, filename, ''), '(\\.[^./]*)$', 1)) in ('.png', '.jpg', '.jpeg', '.gif', '.webp') as served from one where type in ('Table', 'Figure')""")
 def served_images(spark: SparkSession, d: str) -> DataFrame:
     """FLT10, SC33: type and containment of the image files."""
     t = _one(spark, d).filter(F.col("type").isin("Table", "Figure")).withColumn("p", F.coalesce("image_path", "filename", F.lit("")))
-    inside = ~(F.contains(F.concat(F.lit("/"), "p", F.lit("/")), F.lit("/../")) | F.startswith("p", F.lit("/")))
-    return t.select("chunk_id", T.mime_type(F.regexp_extract("p", r"(\.[^./]*)$", 1)).alias("mime"), inside.alias("inside"))
+    return t.select("chunk_id", T.mime_type(F.regexp_extract("p", r"(\.[^./]*)$", 1)).alias("mime"), layout.is_served(F.col("p")).alias("served"))
 
 
 @query("select chunk_id, type from tsla_2023_unified_chunks where type in ('Text', 'Section header', 'Title', 'List') and trim(coalesce(text, '')) <> ''")
@@ -204,25 +229,25 @@ ELEMENTS = f"{ONE}, el as (select cast(trunc(page / 100.0) as int) as doc_id, pa
 
 
 @query(f"""with {ELEMENTS}
-select seq, page as pdf_page, 'Figure' as type, cast(row_number() over (partition by doc_id order by seq) - 1 as int) as block_id, round(coordinates.x_2, 3) as x_2 from el where type = 'Picture'
+select seq, page + 59 as pdf_page, 'Figure' as type, cast(row_number() over (partition by doc_id order by seq) - 1 as int) as block_id, round(coordinates.x_2, 3) as x_2 from el where type = 'Picture'
 """)
 def target_elements(spark: SparkSession, d: str) -> DataFrame:
     """FLT5, PRJ1, PRJ7, WN6: pictures renamed, corners, block ids."""
-    t = layout.target_elements(_elements(spark, d), ("Figure",))
+    t = layout.target_elements(_elements(spark, d), ("Figure",), page_offset=59)
     return t.select("seq", "pdf_page", "type", "block_id", F.round("coordinates.x_2", 3).alias("x_2"))
 
 
 @query(f"""with {ELEMENTS},
 t as (select seq, page, coordinates.x_1 as x1, coordinates.y_1 as y1, coordinates.x_2 as x2, coordinates.y_2 as y2 from el where type in ('Table', 'Picture')),
 h as (select page, coordinates.x_1 as hx1, coordinates.y_1 as hy1, coordinates.x_2 as hx2, coordinates.y_2 as hy2 from el where type in ('Text', 'Section header')),
-j as (select *, min(hy1) over (partition by seq) as top from t join h using (page) where hy2 between y1 - 30 and y1 + 10 and not (hx2 < x1 - 50 or hx1 > x2 + 50)),
+j as (select *, min(hy1) over (partition by seq) as top from t join h using (page) where hy2 between y1 - 5 and y1 + 10 and not (hx2 < x1 - 50 or hx1 > x2 + 50)),
 w as (select seq, min(hx1) as mx1, min(hy1) as my1, max(hx2) as mx2, count(*) as n from j where hy1 - top <= 5 group by seq)
-select t.seq, least(x1, coalesce(mx1, x1)) as x_1, least(y1, coalesce(my1, y1)) as y_1, greatest(x2, coalesce(mx2, x2)) as x_2, coalesce(n, 0) as n_headers from t left join w using (seq)""")
+select t.seq, least(x1, coalesce(mx1, x1)) as x_1, least(y1, coalesce(my1, y1)) as y_1, greatest(x2, coalesce(mx2, x2)) as x_2, y2 as y_2, coalesce(n, 0) as n_headers from t left join w using (seq)""")
 def header_capture(spark: SparkSession, d: str) -> DataFrame:
-    """JN2 with a margin of 30 above (boxes of this table lie further apart than the default)."""
+    """JN2."""
     e = _elements(spark, d).select("type", "seq", F.col("page_number").alias("page"), *[F.col(f"coordinates.{c}").alias(c) for c in ("x_1", "y_1", "x_2", "y_2")])
     t = e.filter(F.col("type").isin("Table", "Picture")).withColumnRenamed("seq", "target_id")
-    return layout.capture_headers(t, e.filter(F.col("type").isin("Text", "Section header")), ["page"], above=30).select(F.col("target_id").alias("seq"), "x_1", "y_1", "x_2", "n_headers")
+    return layout.capture_headers(t, e.filter(F.col("type").isin("Text", "Section header")), ["page"]).select(F.col("target_id").alias("seq"), "x_1", "y_1", "x_2", "y_2", "n_headers")
 
 
 @query(f"""with {ELEMENTS},
@@ -288,22 +313,22 @@ def images_present(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {ONE} select chunk_id, row_number() over (order by coalesce(page, 0), coalesce(coordinates.y_1, 0), chunk_id) as place from one")
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
-    """TK7: the place of each chunk; numbered per page after a count of the pages before it, so no task sorts everything."""
-    t = _one(spark, d).withColumn("p", F.coalesce("page", F.lit(0)))
-    sizes = t.groupBy("p").agg(F.count(F.lit(1)).alias("n"))  # one row per page
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "before")
-    w = Window.partitionBy("p").orderBy(F.coalesce("coordinates.y_1", F.lit(0.0)), "chunk_id")
-    return t.withColumn("k", F.row_number().over(w)).join(before, "p").select("chunk_id", (F.col("before") + F.col("k")).alias("place"))
+    """TK7: the place of each chunk."""
+    return layout.reading_places(_one(spark, d), "chunk_id").select("chunk_id", "place")
+
+
+_JSON = " || ', ' || ".join(f"""'"{n}": ' || coalesce({f"'{chr(34)}' || cast({n} as varchar) || '{chr(34)}'" if n not in ("start_token", "end_token") else f"cast({n} as varchar)"}, 'null')""" for n in ("doc_id", "ticker", "filing_type", "accession_number", "year", "start_token", "end_token"))
 
 
-@query("select chunk_uid, strlen(text) + strlen('{\"doc_id\": \"' || doc_id || '\"}') as n_bytes from sec_chunks where text is not null and doc_id is not null")
+@query(f"select chunk_uid, strlen(coalesce(text, '')) + strlen('{{' || {_JSON} || '}}') as n_bytes from sec_chunks")
 def stored_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ8, SC10: text and metadata bytes for the limit."""
-    c = table(spark, d, "sec_chunks").filter("text is not null and doc_id is not null")
-    return c.select("chunk_uid", (T.byte_length("text") + T.byte_length(F.concat(F.lit('{"doc_id": "'), "doc_id", F.lit('"}')))).cast("bigint").alias("n_bytes"))
+    """PRJ8, SC10: bytes of text and metadata for the limit."""
+    c = table(spark, d, "sec_chunks")
+    size = chunking.metadata_size(F.struct("doc_id", "ticker", "filing_type", "accession_number", "year", "start_token", "end_token"))
+    return c.select("chunk_uid", (F.coalesce(T.byte_length("text"), F.lit(0)) + size).cast("bigint").alias("n_bytes"))
 
 
 @query(f"select doc_id from documents where text is not null and length({_strip('text')}) >= 50")
 def long_enough(spark: SparkSession, d: str) -> DataFrame:
     """FLT7."""
-    return table(spark, d, "documents").filter(F.length(T.strip("text")) >= rules.MIN_CHUNK_LENGTH).select("doc_id")
+    return chunking.long_enough(table(spark, d, "documents"), "text").select("doc_id")

@@ -126,9 +126,8 @@ def _words(col: str) -> str:
 
 
 _OV = f"(len(list_intersect({_words('a')}, {_words('t')})) / greatest(len({_words('a')}), 1))"
-#: Answers are items, sources the chunks of the same filing: pairs met by an equi-join on doc_id. This SQL still cuts answers
-#: to their first two sentences, and that of word_overlap and citation_coverage the chunks; the queries do not (see README).
-ANSWERS = f"""an as (select section_uid as qid, doc_id, split_part(regexp_replace(text, '([.!?])[{S}]+', '\\1' || chr(57344), 'g'), chr(57344), 1) || ' ' || split_part(regexp_replace(text, '([.!?])[{S}]+', '\\1' || chr(57344), 'g'), chr(57344), 2) as a from sec_sections where text is not null and doc_id is not null),
+#: Answers are whole items, sources all chunks of the same filing: pairs met by an equi-join on doc_id.
+ANSWERS = """an as (select section_uid as qid, doc_id, text as a from sec_sections where text is not null and doc_id is not null),
 src as (select an.qid, an.a, c.chunk_uid, coalesce(c.text, '') as t, upper(coalesce(trim(c.ticker), '')) as ticker, c.year, row_number() over (partition by an.qid order by c.chunk_uid) as rank from an join sec_chunks c using (doc_id))"""
 
 
@@ -141,7 +140,7 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sec_chunks").select("doc_id", "chunk_uid", F.coalesce("text", F.lit("")).alias("t"), F.upper(F.coalesce(F.trim("ticker"), F.lit(""))).alias("ticker"), "year")
 
 
-@query(f"with {ANSWERS} select qid, chunk_uid, round({_OV}, 6) as overlap from src where rank <= 5")
+@query(f"with {ANSWERS} select qid, chunk_uid, round({_OV}, 6) as overlap from src")
 def word_overlap(spark: SparkSession, d: str) -> DataFrame:
     """ST3, SC14, ML2's stand-in, JN5."""
     a, c = _answers(spark, d).withColumn("a", T.word_set("a")), _sources(spark, d).select("doc_id", "chunk_uid", T.word_set("t").alias("t"))
@@ -159,7 +158,7 @@ def alignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {ANSWERS},
-i as (select qid, any_value(a) as a, count(*) as n, sum(cast(ticker <> '' and contains(upper(a), ticker) as int) + cast(trim(ticker || ' ' || coalesce(cast(year as varchar), '')) <> '' and contains(upper(a), trim(ticker || ' ' || coalesce(cast(year as varchar), ''))) as int) + cast(year is not null and contains(upper(a), cast(year as varchar)) as int)) as cited from src where rank <= 18 group by qid)
+i as (select qid, any_value(a) as a, count(*) as n, sum(cast(ticker <> '' and contains(upper(a), ticker) as int) + cast(trim(ticker || ' ' || coalesce(cast(year as varchar), '')) <> '' and contains(upper(a), trim(ticker || ' ' || coalesce(cast(year as varchar), ''))) as int) + cast(year is not null and contains(upper(a), cast(year as varchar)) as int)) as cited from src group by qid)
 select qid, round(least(least(cited / n, 1) + least({_count(rules.CITATION_PHRASES, 'a', '')} * 0.1, 0.3), 1), 6) as coverage from i""")
 def citation_coverage(spark: SparkSession, d: str) -> DataFrame:
     """SC29: nothing is reranked here, so every chunk of the filing is a source."""
@@ -192,24 +191,27 @@ def fact_check(spark: SparkSession, d: str) -> DataFrame:
     return f.select("k", F.round("f.score", 6).alias("score"), "f.verified_sources", "f.unverified_claims")
 
 
-@query("select * from (values (1, 0.8::double), (2, 1.0::double), (3, 0.0::double), (4, 0.5::double), (5, null)) t(k, score)")
+@query("select section_uid as k, case section_uid % 4 when 0 then null when 1 then 0.5::double else round(greatest(0, least(1, (section_uid % 17) / 10.0 - 0.3)), 6)::double end as score from sec_sections")
 def judged_score(spark: SparkSession, d: str) -> DataFrame:
     """SC28."""
-    r = spark.createDataFrame([(1, 'x {"score": 0.8, "why": {"a": 1}}'), (2, '{"score": 7}'), (3, '{"score": -1}'), (4, '{"why": "none"}'), (5, "nothing")], "k int, reply string")
-    return r.select("k", verify.judged_score(verify.first_json_object(F.col("reply"))).alias("score"))
+    uid = F.col("section_uid")
+    score = F.round((uid % 17) / 10 - 0.3, 6).cast("decimal(5,2)").cast("string")
+    reply = F.when(uid % 4 == 0, "nothing").when(uid % 4 == 1, 'well {"why": {"a": "none"}} }').otherwise(F.concat(F.lit('x {"score": '), score, F.lit(', "why": {"a": 1}} y')))
+    r = table(spark, d, "sec_sections").select(uid.alias("k"), reply.alias("reply"))
+    return r.select("k", F.round(verify.judged_score(verify.first_json_object(F.col("reply"))), 6).alias("score"))
 
 
 @query(f"""
 with c as (select doc_id, chunk_uid, '[Source: ' || coalesce(ticker, 'Unknown') || ' ' || coalesce(cast(year as varchar), 'Unknown') || ', chunk_id: ' || chunk_uid || ']' || chr(10) as head,
   coalesce(nullif({_strip('''array_to_string(list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(x, '(?i)^[''' + S + ''']*Image:')), chr(10))''')}, ''), '') as body from sec_chunks where doc_id is not null),
 r as (select *, row_number() over (partition by doc_id order by chunk_uid) as n, sum(length(head) + length(body)) over (partition by doc_id order by chunk_uid) + 2 * (row_number() over (partition by doc_id order by chunk_uid) - 1) as used from c),
-k as (select *, n = 1 and used > 3000 and 3000 - length(head) - 3 > 0 as cut from r),
-p as (select doc_id, chunk_uid, case when cut then head || body[1 : 3000 - length(head) - 3] || '...' else head || body end as part, cut, used from k where used <= 3000 or cut)
+k as (select *, n = 1 and used > 50000 and 50000 - length(head) - 3 > 0 as cut from r),
+p as (select doc_id, chunk_uid, case when cut then head || body[1 : 50000 - length(head) - 3] || '...' else head || body end as part, cut, used from k where used <= 50000 or cut)
 select doc_id, chunk_uid, md5(part) as h, cast(case when cut then length(part) else used end as bigint) as used from p""")
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
-    """WN1, SC32, SC13: the chunks of each filing under a budget of 3,000 characters."""
+    """WN1, SC32, SC13: the chunks of each filing under the budget."""
     c = table(spark, d, "sec_chunks").filter("doc_id is not null").select("doc_id", "chunk_uid", "text", "ticker", "year")
-    k = context.within_budget(c, ["doc_id"], "chunk_uid", "text", 3000, context.source_header(F.col("ticker"), F.col("year"), F.col("chunk_uid").cast("string")))
+    k = context.within_budget(c, ["doc_id"], "chunk_uid", "text", rules.CONTEXT_CHARS, context.source_header(F.col("ticker"), F.col("year"), F.col("chunk_uid").cast("string")))
     return k.select("doc_id", "chunk_uid", F.md5("part").alias("h"), F.col("used").cast("bigint").alias("used"))
 
 
@@ -221,16 +223,24 @@ def rerank_cut(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = "case " + " ".join(f"when contains(lower(q), '{n}') then '{t}'" for n, t in rules.COMPANIES) + " end"
-_ASKED = ("What was Apple''s revenue in 2023?", "metadata of the 10-k for 2019", "How is TSLA doing vs 1999 10-Q", "advisable margins", "", "8-k in 2025", "show v and ba today", "Coca Cola 10-KT 2001 or 2002")
+#: Questions about every filing, in turn by the company's name, its ticker and a name of the dictionary, with and without the form
+#: and the year.
+_PHRASES = ("What did %s report in its %s of %s?", "how is the %s, see %s, apple and metadata, %s", "advisable margins of %s: %s %s", "")
 
 
 @query(f"""
-with questions as (select row_number() over () - 1 as k, q from (values {', '.join(f"('{q}')" for q in _ASKED)}) t(q)),
+with questions as (select f.accession_number as k, replace(replace(replace(case length(f.accession_number || coalesce(f.filing_type, '')) % 4 when 0 then '{_PHRASES[0]}' when 1 then '{_PHRASES[1]}' when 2 then '{_PHRASES[2]}' else coalesce(f.filing_type, '') end, 'What did %s', 'What did ' || c.company_name), 'the %s', 'the ' || f.ticker), 'of %s?', 'of ' || f.year || '?') as q
+  from filings f join companies c on c.ticker = f.ticker),
 x as (select k, coalesce({_NAMES}, list_filter(regexp_extract_all(upper(q), '\\b([A-Z]{{1,5}})\\b', 1), lambda w: length(w) >= 2)[1]) as ticker, cast(nullif(regexp_extract(q, '\\b(19\\d{{2}}|20\\d{{2}})\\b', 1), '') as int) as year, nullif(upper(regexp_extract(q, '(?i)\\b(10-K|10-Q|8-K|10-KT)\\b', 1)), '') as filing_type from questions)
 select k, ticker, year, filing_type from x""")
 def detect_metadata(spark: SparkSession, d: str) -> DataFrame:
     """SC15, TK9."""
-    q = spark.createDataFrame([(i, x.replace("''", "'")) for i, x in enumerate(_ASKED)], "k bigint, q string")
+    f = table(spark, d, "filings").join(table(spark, d, "companies").select("ticker", "company_name"), "ticker")
+    kind = F.length(F.concat("accession_number", F.coalesce("filing_type", F.lit("")))) % 4
+    phrase = F.when(kind == 0, _PHRASES[0]).when(kind == 1, _PHRASES[1]).when(kind == 2, _PHRASES[2]).otherwise(F.coalesce("filing_type", F.lit("")))
+    for mark, value in (("What did %s", F.concat(F.lit("What did "), "company_name")), ("the %s", F.concat(F.lit("the "), "ticker")), ("of %s?", F.concat(F.lit("of "), F.col("year").cast("string"), F.lit("?")))):
+        phrase = F.replace(phrase, F.lit(mark), value)
+    q = f.select(F.col("accession_number").alias("k"), phrase.alias("q"))
     return q.select("k", detect.detect(F.col("q")).alias("m")).select("k", "m.ticker", "m.year", "m.filing_type")
 
 
@@ -255,18 +265,19 @@ def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sec_chunks").filter(retrieval.matches({"ticker": "ZORV", "year": "2023", "filing_type": "10-K"})).select("chunk_uid")
 
 
-@query("select * from (values ('TSLA', '2023', 'c1', ' grew '), (null, '2022', null, 'fell')) t(ticker, year, chunk_id, content)")
+@query("select nullif(ticker, '') as ticker, cast(year as varchar) as year, cast(chunk_uid as varchar) as chunk_id, text as content from sec_chunks where text <> '' and not contains(text, '<')")
 def citation_tags(spark: SparkSession, d: str) -> DataFrame:
     """SC17."""
-    a = spark.createDataFrame([('It <source ticker="TSLA" year="2023" chunk_id="c1"> grew </source> then <SOURCE year="2022">fell</SOURCE>. <source>x</source>',)], "a string")
+    c = table(spark, d, "sec_chunks").filter("text is not null")
+    s = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
+    a = c.select(F.format_string('It <source ticker="%s" year="%s" chunk_id="%s">%s</source> then <source>x</source>.', s("ticker"), s("year"), s("chunk_uid"), F.col("text")).alias("a"))
     return a.select(F.inline(T.source_tags("a")))
 
 
-@query("select k from (values (1, 'a'), (2, ' '), (3, null), (4, 'b ')) t(k, q) where trim(coalesce(q, '')) <> ''")
+@query("select chunk_uid as query_id from sec_chunks where trim(coalesce(text, '')) <> ''")
 def valid_questions(spark: SparkSession, d: str) -> DataFrame:
     """FLT9."""
-    q = spark.createDataFrame([(1, "a"), (2, " "), (3, None), (4, "b ")], "k int, q string")
-    return q.filter(F.trim(F.coalesce("q", F.lit(""))) != "").select("k")
+    return pipelines.valid_questions(table(spark, d, "sec_chunks").select(F.col("chunk_uid").alias("query_id"), F.col("text").alias("query"))).select("query_id")
 
 
 @query()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.functions import rules, text as T
 from ledgerloom.operators import chunking, sections
+from ledgerloom.plans import pipelines
 from ledgerloom.runtime import spread, table
 
 S = rules.SPACE
@@ -74,7 +76,7 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).cast("bigint").alias("longest"))
 
 
-@query("select doc_id, least(len(regexp_extract_all(text, '\\p{L}+|\\p{N}+|[^\\s\\p{L}\\p{N}]+')), 1024) as n_tokens from documents where text is not null")
+@query("select doc_id, len(regexp_extract_all(text, '\\p{L}+|\\p{N}+|[^\\s\\p{L}\\p{N}]+')) as n_tokens from documents where text is not null")
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
     """SC9 with the stand-in counter, over whole documents: the cap of SC9 is one of sentences."""
     return table(spark, d, "documents").filter("text is not null").select("doc_id", T.token_count("text", cap=None).cast("bigint").alias("n_tokens"))
@@ -193,8 +195,6 @@ c as (select section_uid, ord, upper(regexp_extract(block, '(?i)^(item\s+(?:1a|1
 select section_uid, dense_rank() over (partition by section_uid order by ord) as nr, item, md5(text) as h from c where item <> '' and text <> ''""")
 def item_blocks(spark: SparkSession, d: str) -> DataFrame:
     """WN10, SC24: blocks between item labels."""
-    from pyspark.sql.window import Window
-
     b = sections.item_blocks(table(spark, d, "sec_sections").filter("text is not null"), "section_uid", "text")
     w = Window.partitionBy("section_uid").orderBy("ord")
     return b.select("section_uid", F.dense_rank().over(w).cast("bigint").alias("nr"), "item", F.md5("text").alias("h"))
@@ -218,6 +218,9 @@ def _case(names) -> str:
     return "case " + " ".join(f"when {risk if n == 'RISK_FACTORS' else f'regexp_matches(k, {chr(39)}{known[n]}{chr(39)})'} then '{n}'" for n in names) + " end"
 
 
+_TITLED = "case matched " + " ".join(f"when '{n}' then '{t}'" for n, t, _ in rules.SECTIONS) + " end"
+
+
 def _title(col: str) -> str:
     blanks = f"trim(regexp_replace(regexp_replace({col}, '[-–—]', ' ', 'g'), '[{S}]+', ' ', 'g'))"
     return f"lower(regexp_replace({blanks}, '[.,:;{S}]+$', ''))"
@@ -227,12 +230,12 @@ def _title(col: str) -> str:
 @query(f"""
 with t as (select chunk_uid, replace(lower(section), '_', ' ') as title, filing_type as form from sec_chunks where section is not null and filing_type in ('10-K', '10-K/A', '10-Q', '10-Q/A')),
 c as (select *, {_title(f"regexp_replace(regexp_replace(title, '{rules.ITEM_TITLE}', '', 'g'), '^[{S}]+|[{S}]+$', '', 'g')")} as k from t)
-select chunk_uid, case when starts_with(form, '10-K') then {_case(rules.SECTIONS_10K)} else {_case(rules.SECTIONS_10Q)} end as matched from c""")
+select *, {_TITLED} as matched_title from (select chunk_uid, case when starts_with(form, '10-K') then {_case(rules.SECTIONS_10K)} else {_case(rules.SECTIONS_10Q)} end as matched from c)""")
 def match_sections(spark: SparkSession, d: str) -> DataFrame:
     """SC19-SC23: section names turned into titles and matched by the catalog."""
     c = table(spark, d, "sec_chunks").filter(F.col("section").isNotNull() & F.col("filing_type").isin(*rules.REPORT_FORMS))
     t = c.select("chunk_uid", F.replace(F.lower("section"), F.lit("_"), F.lit(" ")).alias("title"), F.col("filing_type").alias("form"))
-    return sections.match_sections(t, "title", "form").select("chunk_uid", F.col("section").alias("matched"))
+    return sections.match_sections(t, "title", "form").select("chunk_uid", F.col("section").alias("matched"), F.col("section_title").alias("matched_title"))
 
 
 @query("select form, count(*) as n, min(ord) as first, max(ord) as last from (values " + ", ".join(f"('{f}', {i})" for f, ns in (("10-K", rules.SECTIONS_10K), ("10-Q", rules.SECTIONS_10Q), ("S-1", rules.SECTIONS_S1)) for i in range(len(ns))) + ") t(form, ord) group by form")
@@ -257,8 +260,6 @@ select chunk_id, cast(case when core then cid when pos - prv <= 6 then cid when
 def title_clusters(spark: SparkSession, d: str) -> DataFrame:
     """AG13."""
     t = table(spark, d, "tsla_2023_unified_chunks").filter("page is not null and text is not null").groupBy("chunk_id").agg(F.max("page").alias("page"), F.max(F.coalesce(F.col("type") == "Section header", F.lit(False))).alias("is_title"))
-    from pyspark.sql.window import Window
-
     t = t.withColumn("doc_id", (F.col("page") / 10).cast("int"))
     t = t.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id")))
     return sections.title_clusters(t.filter("is_title")).select("chunk_id", "cluster")
@@ -338,3 +339,40 @@ from filings where filing_type is null or filing_type not in ('10-K', '10-Q', 'S
 def rejected_forms(spark: SparkSession, d: str) -> DataFrame:
     """FLT8."""
     return sections.split_by_validity(table(spark, d, "filings"), "filing_type")[1].select("accession_number", "reason")
+
+
+def _raw_filings(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, form, raw_text: a submission written from the chunks of every filing, each section under an item title, each
+    chunk a paragraph."""
+    c = table(spark, d, "sec_chunks").filter("doc_id is not null and section is not null and text is not null")
+    form = F.min(F.when(F.col("filing_type").isin(*rules.REPORT_FORMS), F.col("filing_type"))).over(Window.partitionBy("doc_id"))
+    c = c.withColumn("form", form).filter("form is not null")
+    body = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    c = c.withColumn("p", F.concat(F.lit("<p>"), body, F.lit("</p>")))
+    parts = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(x, "p"))), lambda e: e["p"]), "\n")
+    per = c.groupBy("doc_id", "form", "section").agg(parts("chunk_uid").alias("p"))
+    per = per.withColumn("p", F.concat(F.lit("<h2>Item 1. "), F.replace(F.lower("section"), F.lit("_"), F.lit(" ")), F.lit("</h2>\n"), "p"))
+    return per.groupBy("doc_id", "form").agg(parts("section").alias("body")).select("doc_id", "form", F.concat(F.lit("<type>"), "form", F.lit("\n<html><body>"), "body", F.lit("</body></html>")).alias("raw_text"))
+
+
+_N_WORDS = "(length(t) - length(replace(t, ' ', '')) + 1)"
+
+
+@query(f"""
+with f as (select *, min(filing_type) filter (filing_type in ('10-K', '10-Q', '10-K/A', '10-Q/A')) over (partition by doc_id) as form from sec_chunks where doc_id is not null and section is not null and text is not null),
+t as (select doc_id, chunk_uid, form, section as name, replace(lower(section), '_', ' ') as title, trim(regexp_replace(text, '[{S}]+', ' ', 'g')) as t from f where form is not null),
+k as (select *, {_title(f"regexp_replace(regexp_replace('item 1. ' || title, '{rules.ITEM_TITLE}', '', 'g'), '^[{S}]+|[{S}]+$', '', 'g')")} as k from t),
+m as (select *, case when starts_with(form, '10-K') then {_case(rules.SECTIONS_10K)} else {_case(rules.SECTIONS_10Q)} end as matched from k),
+n as (select * from m where matched is not null and t <> '' and ({_N_WORDS} >= 15 or {_N_WORDS} >= 8 and right(t, 1) in ('.', '!', '?'))),
+w as (select *, min(name) over (partition by doc_id, matched) as first from n)
+select doc_id, matched as section, {_TITLED} as section_title, count(*) as n_blocks, md5(string_agg(t, chr(10) || chr(10) order by chunk_uid)) as h from w where name = first group by doc_id, matched""")
+def filing_sections(spark: SparkSession, d: str) -> DataFrame:
+    """E1: SRC to AG6 over raw filings: elements, sections of the form's list, narrative of each."""
+    return pipelines.section_texts(_raw_filings(spark, d)).select("doc_id", "section", "section_title", "n_blocks", F.md5("text").alias("h"))
+
+
+@query()
+def filings_to_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """E1 to its end: chunks of every section of every raw filing."""
+    f = table(spark, d, "filings").select("doc_id", "ticker", "filing_type", "accession_number", "year")
+    return pipelines.filings_to_chunks(f.join(_raw_filings(spark, d).drop("form"), "doc_id"))[0]

@@ -12,12 +12,12 @@ from ledgerloom.operators import context, detect, layout, retrieval, verify
 from ledgerloom.plans import models, pipelines
 from ledgerloom.sources import filings, parsed
 from ledgerloom.sources.config import Config
-from ledgerloom.sources.store import Collection, available, manifest
+from ledgerloom.sources.store import Collection, available, discover, manifest
 from ledgerloom.streaming import ingest as streaming
 
 
 def test_filing_scan(spark, tmp_path):
-    for where, raw in (("AAA/10-K/0001-23-000001", "<type>10-K\n<h2>Item 7</h2><table><tr><td>1</td></tr></table> Item 7 We earned more in the year than in the year before, and sold coal."), ("BBB/8-K/0002-99-000002", "<type>8-K\nno")):
+    for where, raw in (("AAA/10-K/0001-23-000001", "<type>10-K\n<p>Item 7. Management discussion</p><p>Item 8. Financial statements</p><h2>Item 7. Management discussion</h2><table><tr><td>1</td></tr></table><p>We earned more in the year than in the year before, and sold coal.</p><h2>Item 8. Financial statements</h2>"), ("BBB/8-K/0002-99-000002", "<type>8-K\nno")):
         p = tmp_path / where
         p.mkdir(parents=True)
         (p / "full-submission.txt").write_bytes(raw.encode() + b"\xff")
@@ -26,7 +26,9 @@ def test_filing_scan(spark, tmp_path):
     rows = {r.ticker: r for r in f.collect()}
     assert len(rows) == 2 and rows["AAA"].year == 2023 and rows["BBB"].year == 1999 and rows["AAA"].doc_id == "0001-23-000001" and "�" not in rows["AAA"].raw_text
     chunks, tables, items, rejected = pipelines.filings_to_chunks(f)
-    assert chunks.first().ticker == "AAA" and tables.first().section == "ITEM 7" and items.filter("text like '%coal.'").count() == 1
+    one = chunks.first()
+    assert (one.ticker, one.section, one.section_title) == ("AAA", "MANAGEMENT_DISCUSSION", "Management Discussion") and one.text.startswith("We earned more")
+    assert tables.first().section == "ITEM 7" and items.filter("text like '%coal.'").count() == 1
     assert [tuple(r) for r in rejected.collect()] == [("0002-99-000002", "Unexpected filing type: 8-K")]
 
 
@@ -43,15 +45,28 @@ def test_json_arrays_and_names(spark, tmp_path):
 def test_store(spark, tmp_path):
     c = Collection(spark, str(tmp_path), "coll")
     df = spark.createDataFrame([("a", "T", 2020), ("b", "T", 2021), ("c", None, None), ("a", "T", 2020)], "chunk_id string, ticker string, year int")
-    assert not c.exists() and c.info()["count"] == 0 and c.delete(F.lit(True)) == (0, 0)
+    assert not c.exists() and c.info()["count"] == 0 and c.delete(F.lit(True)) == (0, 0) and discover(spark, str(tmp_path / "none")) == []
     c.append(df)
-    c.append(df.union(spark.createDataFrame([("d", "U", 2020)], df.schema)))
-    assert c.info()["count"] == 4
+    c.append(df.union(spark.createDataFrame([("d", "U", 2020), ("a", "U", 2020)], df.schema)))
+    assert c.info() == {"name": "coll", "count": 5, "partitions": 4, "partitioned_by": ["ticker", "year"]}
     assert "PartitionFilters: [isnotnull(ticker" in c.read().filter("ticker = 'T'")._jdf.queryExecution().toString()
-    assert c.delete(F.col("ticker") == "T") == (4, 2) and sorted(r.chunk_id for r in c.read().collect()) == ["c", "d"]
-    assert c.drop() and not c.exists()
+    assert c.delete(F.col("ticker") == "T") == (5, 3) and sorted(r.chunk_id for r in c.read().collect()) == ["a", "c", "d"]
+    assert {(r.ticker, r.num_chunks) for r in c.manifest().collect()} == {("U", 2), ("unknown", 1)} and discover(spark, str(tmp_path)) == ["coll"]
     assert {(r.ticker, r.year, r.num_chunks) for r in manifest(df).collect()} == {("T", "2020", 2), ("T", "2021", 1), ("unknown", "unknown", 1)}
     assert tuple(available(df).first()) == (["T"], [2020, 2021])
+    c.recreate(df.withColumn("more", F.lit(1)))
+    assert "more" in c.read().columns and c.delete(F.lit(True)) == (4, 0) and not c.exists()
+
+
+def test_a_deletion_touches_its_partitions_only(spark, tmp_path):
+    c = Collection(spark, str(tmp_path), "coll")
+    c.write(spark.createDataFrame([(f"{t}{i}", t, "2020") for t in ("007", "B C", "D") for i in range(4)], "chunk_id string, ticker string, year string"))
+    files = lambda t: {f for _, _, fs in os.walk(tmp_path / "coll" / f"ticker={t}") for f in fs if f.endswith(".parquet")}
+    before = files("D")
+    assert c.delete(F.col("chunk_id").isin("0071", "0072") | (F.col("ticker") == "B C")) == (12, 6)
+    assert files("D") == before and sorted(r.chunk_id for r in c.read().collect()) == ["0070", "0073", "D0", "D1", "D2", "D3"]
+    assert {(r.ticker, r.num_chunks) for r in c.manifest().collect()} == {("007", 2), ("D", 4)}
+    assert not [x for x in os.listdir(tmp_path / "coll") if x.startswith("_aside")]
 
 
 def test_streaming_ingest(spark, tmp_path):
@@ -114,8 +129,23 @@ def test_top_k_and_cells(spark):
     assert retrieval.plan_search(10_000) == "exact" and retrieval.plan_search(10_001) == "cells"
     unit = df.filter("id = 901").select(vectors.l2_normalize("v").alias("u")).first().u
     assert unit == [0.0] * 8
-    with pytest.raises(ValueError):
-        retrieval.top_k_batch(df, "id", "v", spark.range(5000).select("id", F.array(F.lit(1.0)).alias("v")), "id", "v")
+    assert retrieval.top_k_batch(df, "id", "v", df.limit(0), "id", "v").count() == 0
+
+
+def test_questions_beyond_one_block_and_the_access_path(spark, monkeypatch):
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(8)], i % 3) for i in range(200)] + [(900, None, 1)], "id bigint, v array<float>, label int").persist()
+    asked = df.filter("id < 50").select(F.col("id").alias("q"), F.col("v").alias("qv"), F.lit(None).cast("int").alias("label"))
+    run = lambda f, **k: {(r.query_id, r.id, r.rank) for r in f(df, "id", "v", asked, "q", "qv", 5, **k).collect()}
+    whole = run(retrieval.top_k_batch)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    assert run(retrieval.top_k_batch) == whole and len(whole) == 250
+    assert run(retrieval.search, on=["label"]) == whole
+    monkeypatch.setattr(retrieval.rules, "IVF_FROM", 100)
+    assert run(retrieval.search, on=["label"]) == whole  # by cells
+    index = retrieval.CellIndex(df, "id", "v", cells=6, probes=2)
+    plan = index._of(index._first(retrieval._query_matrix([(0, [1.0] * 8)])[1] @ index.centroids.T))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [cell" in plan and "PartitionFilters: []" not in plan
 
 
 def test_few_probes_find_all_neighbours(spark):
@@ -250,3 +280,50 @@ def test_entry_contract():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_names_inside_of_words_and_in_several_passes(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "The METADATA of it"), (2, "Advisable; Coca Cola"), (3, None), (4, "")], "doc_id int, text string")
+    names = spark.createDataFrame([(0, "Coca Cola", "KO"), (1, "visa", "V"), (2, "meta", "META"), (3, "Meta", "OTHER"), (4, None, "X"), (5, "", "Y")], "ord int, name string, ticker string")
+    run = lambda: {(r.doc_id, r.ticker) for r in detect.company_ticker_join(docs, "doc_id", "text", names, "name", "ticker", "ord").collect()}
+    assert run() == {(1, "META"), (2, "KO")}
+    monkeypatch.setattr(detect, "NAMES_AT_ONCE", 1)
+    assert run() == {(1, "META"), (2, "KO")}
+    assert detect.company_ticker_join(docs, "doc_id", "text", names.limit(0), "name", "ticker", "ord").count() == 0
+
+
+def test_remote_models_see_the_prompt_and_are_retried(spark):
+    corpus = spark.createDataFrame([("c1", "The firm sold coal in 2023.", "T", 2023)], "chunk_id string, text string, ticker string, year int").withColumn("v", models.HashedWords().embed(F.col("text")))
+    qs = spark.createDataFrame([(1, "Who sold coal?", "T", None), (2, "Who?", "U", None)], "query_id bigint, query string, ticker string, year int")
+
+    def call(prompt, seen=[]):  # noqa: B006
+        seen.append(prompt)
+        if len(seen) == 1:
+            raise RuntimeError("quota: retry in 0 s")
+        return str("Question: Who sold coal?" in prompt and "sold coal in 2023" in prompt)
+
+    remote = models.Remote(call, first_delay=0.0)
+    out = {r.query_id: r.answer for r in pipelines.answer_questions(qs, corpus, Config(verify=False), generator=remote).collect()}
+    assert out[1] == "True" and out[2].startswith("I couldn't find")
+
+
+def test_captions_come_from_the_page(spark):
+    e = spark.createDataFrame([("d", 0, "Text", 1, "Sales by region", 0.0, 0.0, 1.0, 1.0), ("d", 1, "Table", 1, None, 0.0, 1.0, 1.0, 1.0)], ELEMENTS).withColumn("coordinates", layout.corners(*(F.col(c) for c in ("left", "top", "width", "height"))))
+    c = spark.createDataFrame([("d", 1, "Table", 0, 0, None, None, "t.png")], "doc_id string, page_number int, kind string, block_id int, cseq int, caption string, image_path string, filename string")
+    out = pipelines.layout_to_chunks(e, c, "doc_id", "page_number", F.lit("pdf")).orderBy("index").collect()
+    assert [r.text for r in out] == ["Sales by region", "Table: Sales by region"]
+
+
+def test_settings_in_yaml_groups(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("retrieval:\n  top_k: 7\n  rerank: false\nchunk_tokens: 100\n")
+    assert Config.from_file(str(tmp_path / "c.yaml")) == Config(top_k=7, rerank=False, chunk_tokens=100)
+    (tmp_path / "d.yaml").write_text("a:\n  top_k: 7\nb:\n  top_k: 8\n")
+    with pytest.raises(ValueError, match="twice"):
+        Config.from_file(str(tmp_path / "d.yaml"))
+
+
+def test_served_files(spark):
+    paths = [("a/b.png", True), ("/a.png", False), ("a/../b.png", False), ("a\\..\\b.png", False), ("b.txt", False), ("..png", True), (None, False), ("x/..", False)]
+    got = [r.s for r in spark.createDataFrame(paths, "p string, w boolean").select(layout.is_served(F.col("p")).alias("s")).collect()]
+    assert got == [w for _, w in paths]

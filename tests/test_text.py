@@ -200,3 +200,43 @@ def test_narrative_state_machine_equals_the_loop(spark):
                 inside = True
         want |= set(found)
     assert got == want
+
+
+RAW = """<SEC-DOCUMENT><TYPE>10-K
+<html><head><title>x</title><style>p {}</style></head><body>
+<div><b>Item 1. Business</b></div><div>Item 1A. Risk Factors</div>
+<h2>Item 1. Business</h2><p>We make cars and batteries for people in many parts of the world.</p><h3>Plants</h3><ul><li>Austin</li><li>Berlin &amp; more</li></ul>
+<table><tr><td>a</td><td><p>1</p><table><tr><td>in</td></tr></table></td></tr></table>
+<p><strong>Item 1A. Risk Factors</strong></p><p>Much may fail in the coming year, and rates may rise.<br>We say so.</p>
+<h2>Item 99. Odd</h2><p>This belongs to no section of the list, however long it may be in the end.</p></body></html>"""
+
+
+def test_elements_and_sections_of_a_raw_filing(spark):
+    df = spark.createDataFrame([("a", "10-K", RAW), ("b", "10-K", None), ("c", "10-Q", ""), ("d", "10-K", "ITEM 1. BUSINESS\n\nWe dig for ore in the north and sell it to the south.\n\nshort")], "doc_id string, form string, raw string")
+    e = sections.html_elements(df, "doc_id", "raw", "form")
+    kinds = [(r.kind, r.text) for r in e.filter("doc_id = 'a'").orderBy("pos").collect()]
+    assert ("table", "a 1 in") in kinds and ("list", "Berlin & more") in kinds and kinds.count(("title", "Item 1A. Risk Factors")) == 2 and ("title", "Plants") in kinds
+    got = {(r.doc_id, r.section): (r.section_title, r.text) for r in sections.narrative_sections(e).collect()}
+    assert got == {
+        ("a", "BUSINESS"): ("Business", "We make cars and batteries for people in many parts of the world.\n\nAustin\n\nBerlin & more"),
+        ("a", "RISK_FACTORS"): ("Risk Factors", "Much may fail in the coming year, and rates may rise. We say so."),
+        ("d", "BUSINESS"): ("Business", "We dig for ore in the north and sell it to the south."),
+    }
+    assert sections.html_elements(df.limit(0), "doc_id", "raw").count() == 0
+
+
+def test_one_pass_equals_the_state_machine_of_each_section(spark):
+    from ledgerloom.plans.queries_text import elements
+
+    e = elements(spark).filter("doc_id <> 'b'")
+    one = {(r.doc_id, r.text) for r in sections.narrative_sections(e).filter("section = 'RISK_FACTORS'").collect()}
+    each = sections.narrative_without_toc(e, sections.is_risk_title(F.col("text"), F.col("form")))
+    assert one == {(r.doc_id, r.text) for r in sections.join_blocks(each, ["doc_id"], "pos", "text").collect()}
+
+
+@pytest.mark.parametrize(("names", "bad"), [(["_ALL"], False), (["BUSINESS", "EXPERTS"], False), ([], False), (["_ALL", "BUSINESS"], True), (["NOPE"], True), (["BUSINESS", "nope"], True)])
+def test_section_names(names, bad):
+    if not bad:
+        return sections.validate_section_names(names)
+    with pytest.raises(ValueError):
+        sections.validate_section_names(names)
