@@ -256,12 +256,13 @@ def _html_blocks(source: str, found: Found) -> list[Block]:
     return blocks
 
 
+_WIKI_LINK = re.compile(r"\[\[(?:[^\[\]\n]*\|)?([^\[\]|\n]*)\]\]")
 _URL = r"(?:[a-z]{2,10}:|#|/|\.|[\w.-]+\.[a-z]{2,4}\b)[^()\s]*(?:\s\"[^\"\n]*\")?"
 #: (kind, pattern, text): runs exclude their own sign, so each part of a text is looked at once.
 _INLINE = [
     ("markdown", re.compile(r"!\[([^\[\]\n]*)\]\([^()\n]*\)"), r"\1"),
     ("markdown", re.compile(rf"\[([^\[\]\n]*)\]\({_URL}\)"), "\x02\\1\x03"),
-    ("wiki", re.compile(r"\[\[(?:[^\[\]\n]*\|)?([^\[\]|\n]*)\]\]"), "\x02\\1\x03"),
+    ("wiki", _WIKI_LINK, "\x02\\1\x03"),
     ("markdown", re.compile(r"!?\[([^\[\]\n]+)\]\[[^\[\]\n]*\]"), r"\1"),
     ("markdown", re.compile(r"(?m)^\[([^\]\n]+)\]:[ \t]+(?=\S)"), r"\1: "),
     ("wiki", re.compile(r"(?<!\w)\[(?:https?|ftp)://[^\s\]]+(?:\s([^\]\n]*))?\]"), "\x02\\1\x03"),
@@ -331,8 +332,10 @@ _SYMBOL = {
 _SYMBOLS = re.compile(r"\\(" + "|".join(sorted(_SYMBOL, key=len, reverse=True)) + r")(?![A-Za-z])")
 
 
-def _formula(s: str) -> str:
-    """A readable line for LaTeX mathematics."""
+def _formula(s: str, found: Found) -> str:
+    """A readable line for LaTeX mathematics; tags, references and links inside it are residue as anywhere else."""
+    s = _WIKI_LINK.sub(r"\1", _TOKEN.sub("", found.decode(s)))
+    s = re.sub(r"\\[\[\]]", " ", s)
     while True:  # each step takes a command away
         new = _SQRT.sub(r"√(\1)", _FRAC.sub(lambda m: f"({m.group(1)})/({m.group(2)})", _WRAP.sub(r"\1", s)))
         if new == s:
@@ -355,10 +358,10 @@ _RULE = re.compile(r"[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\
 _CODES = re.compile("\x00([0-9]+)\x01")
 
 
-def _latex_rows(body: str) -> str:
+def _latex_rows(body: str, found: Found) -> str:
     rows = []
     for row in re.split(r"\\\\(?:\[[^\]]*\])?|\n", body):
-        cells = [_formula(c) for c in re.split(r"(?<!\\)&", row)]
+        cells = [_formula(c, found) for c in re.split(r"(?<!\\)&", row)]
         if any(cells):
             rows.append(" | ".join(cells))
     return "\n".join(rows)
@@ -394,7 +397,7 @@ def to_blocks(text: str, found: Found) -> list[Block]:
 
     def math(m: re.Match) -> str:
         found.add("latex")
-        return _formula(m.group(1) or m.group(2) or "")
+        return _formula(m.group(1) or m.group(2) or "", found)
 
     def section(m: re.Match) -> str:
         found.add("latex")
@@ -404,8 +407,8 @@ def to_blocks(text: str, found: Found) -> list[Block]:
     text = _FENCE.sub(lambda m: hold("markdown", "code", m.group(2).strip("\n").rstrip()), text)
     text = _WIKI_TABLE.sub(lambda m: hold("wiki", "row", "\n".join(_inline(r, found)[0] for r in found.decode(_TOKEN.sub(" ", _WRITTEN_OUT.sub(r"<\1>", _wiki_rows(m.group())))).split("\n"))), text)
     if "\\" in text or "$" in text:
-        text = _TABULAR.sub(lambda m: hold("latex", "row", _latex_rows(m.group(2))), text)
-        text = _DISPLAY.sub(lambda m: hold("latex", "formula", _formula(m.group(1) or m.group(2) or m.group(4) or "")), text)
+        text = _TABULAR.sub(lambda m: hold("latex", "row", _latex_rows(m.group(2), found)), text)
+        text = _DISPLAY.sub(lambda m: hold("latex", "formula", _formula(m.group(1) or m.group(2) or m.group(4) or "", found)), text)
         text = _SECTION.sub(section, text)
         text = _MATH.sub(math, text)
     text = _templates(text, found)

