@@ -386,6 +386,12 @@ def _wiki_rows(source: str) -> str:
     return "\n".join(" | ".join(r) for r in rows if any(r))
 
 
+def _cells(rows: str, found: Found) -> str:
+    """Rows of a table of another markup without the residue inside their cells."""
+    rows = found.decode(_TOKEN.sub(" ", _GONE.sub(" ", _WRITTEN_OUT.sub(r"<\1>", rows))))
+    return "\n".join(_inline(r, found)[0] for r in rows.split("\n"))
+
+
 def to_blocks(text: str, found: Found) -> list[Block]:
     """Blocks of a text in any mixture of the four kinds of markup; ``found`` counts what was turned into text."""
     held: list[Block] = []
@@ -405,9 +411,9 @@ def to_blocks(text: str, found: Found) -> list[Block]:
 
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\x00", "").replace("\x01", "")
     text = _FENCE.sub(lambda m: hold("markdown", "code", m.group(2).strip("\n").rstrip()), text)
-    text = _WIKI_TABLE.sub(lambda m: hold("wiki", "row", "\n".join(_inline(r, found)[0] for r in found.decode(_TOKEN.sub(" ", _WRITTEN_OUT.sub(r"<\1>", _wiki_rows(m.group())))).split("\n"))), text)
+    text = _WIKI_TABLE.sub(lambda m: hold("wiki", "row", _cells(_wiki_rows(m.group()), found)), text)
     if "\\" in text or "$" in text:
-        text = _TABULAR.sub(lambda m: hold("latex", "row", _latex_rows(m.group(2), found)), text)
+        text = _TABULAR.sub(lambda m: hold("latex", "row", _cells(_latex_rows(m.group(2), found), found)), text)
         text = _DISPLAY.sub(lambda m: hold("latex", "formula", _formula(m.group(1) or m.group(2) or m.group(4) or "", found)), text)
         text = _SECTION.sub(section, text)
         text = _MATH.sub(math, text)
