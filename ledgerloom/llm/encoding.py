@@ -199,6 +199,16 @@ def _decode_run(run: str, name: str) -> tuple[str, int, int]:
     return "".join(out), good, bad
 
 
+def _replaced(text: str, edits: list[tuple[int, int, str]]) -> str:
+    """The text with every span (start, end, new) replaced; spans do not overlap. Linear, however many there are."""
+    out, at = [], 0
+    for s, e, new in sorted(edits):
+        out += (text[at:s], new)
+        at = e
+    out.append(text[at:])
+    return "".join(out)
+
+
 def _utf8_round(text: str, hits: list[tuple[int, int, dict]]) -> tuple[str, list[str], bool]:
     """Decodes what was UTF-8; the encodings used, and whether some of it was incomplete."""
     spans: dict[str, list[tuple[int, int, bool]]] = {}
@@ -219,18 +229,18 @@ def _utf8_round(text: str, hits: list[tuple[int, int, dict]]) -> tuple[str, list
     if not best:
         return text, [], False
     order = sorted(best, key=lambda x: (-sum(e - s for s, e in best[x]), READ_AS.index(x)))
-    used, lost, taken, edits = [], False, [], []
+    used, lost, taken, edits = [], False, bytearray(len(text)), []
     for name in order:
         back, mine = _back(name), False
         for s, e in best[name]:
-            if any(s < b and e > a for a, b in taken):
+            if taken.find(1, s, e) >= 0:
                 continue
-            while s > 0 and text[s - 1] in back and not any(a < s <= b for a, b in taken):
+            while s > 0 and text[s - 1] in back and not taken[s - 1]:
                 s -= 1
-            while e < len(text) and text[e] in back:
+            while e < len(text) and text[e] in back and not taken[e]:
                 e += 1
             new, good, bad = _decode_run(text[s:e], name)
-            taken.append((s, e))
+            taken[s:e] = b"\x01" * (e - s)
             if good:
                 edits.append((s, e, new))
                 mine = True
@@ -238,9 +248,7 @@ def _utf8_round(text: str, hits: list[tuple[int, int, dict]]) -> tuple[str, list
                 lost = True
         if mine:
             used.append(name)
-    for s, e, new in sorted(edits, reverse=True):
-        text = text[:s] + new + text[e:]
-    return text, used, lost
+    return _replaced(text, edits), used, lost
 
 
 def _core(word: str) -> str:
@@ -308,12 +316,12 @@ def _latin_round(text: str, hits: list[tuple[int, int, dict]]) -> tuple[str, lis
             word = text[s:e]
             if i not in repairs and not word.isascii() and (new := _convert(word, rank[0])) != word and _right(new):
                 words[i], repairs[i] = (s, e, word), {rank[0]: new}
-    used, out = [], text
+    used, edits = [], []
     for i in sorted(repairs, reverse=True):
         pair = next(p for p in rank if p in repairs[i])
         used.append(f"{pair[0]}>{pair[1]}")
-        out = out[: words[i][0]] + repairs[i][pair] + out[words[i][1] :]
-    return out, used
+        edits.append((words[i][0], words[i][1], repairs[i][pair]))
+    return _replaced(text, edits), used
 
 
 def _convert(word: str, pair: tuple[str, str]) -> str:
@@ -349,8 +357,7 @@ def _cyrillic_round(text: str, hits: list[tuple[int, int, dict]]) -> tuple[str,
             mass += letters * (letters > 3)
             new.append((s, e, fixed))
         if after >= 6 and after > 2 * before and mass >= 8:
-            for s, e, fixed in reversed(new):
-                text = text[:s] + fixed + text[e:]
+            text = _replaced(text, new)
             back, to = _back(pair[1]), _table(pair[0])
             text = re.sub(r"(?<![^\s(])[^\x00-\x7f](?![^\s).,;:])", lambda m: to[back[m.group()]] if m.group() in back else m.group(), text)
             return text, [f"{pair[0]}>{pair[1]}"]
@@ -415,9 +422,7 @@ def _east_round(text: str, hits: list[tuple[int, int, dict]]) -> tuple[str, list
         new = _convert(text[s:done], ("cp1252", "cp1250"))
         if new != text[s:done] and _right(new):
             edits.append((s, done, new))
-    for s, e, new in reversed(edits):
-        text = text[:s] + new + text[e:]
-    return text, ["cp1252>cp1250"] if edits else []
+    return _replaced(text, edits), ["cp1252>cp1250"] if edits else []
 
 
 _LOST = re.compile("�|(?<![\\w/?=&%])[^\\W\\d_]*[^\\W\\d_]\\?[^\\W\\d_]+(?![\\w/=&%])")

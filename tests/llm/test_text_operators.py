@@ -303,3 +303,12 @@ def test_round_trip_of_every_pair_restores_most_words(pair):
         affected, got, *_ = encoding.restore(garbled)
         words = list(zip(text.split(), got.split()))
         assert affected and sum(a == b for a, b in words) >= 0.9 * len(text.split()), (lang, pair, got)
+
+
+@pytest.mark.parametrize("part", ["rÃ©sumÃ© ", "SpÃ³Å‚ka zwiÄ™kszyÅ‚a ", "Ñòðàõîâàÿ ïðîãðàììà ", "soci\u201at\u201a ", "5 ▒ 3 ", "ôa\u00f6 "])
+def test_very_long_garbled_texts_cost_no_more_than_their_length(part):
+    import time
+
+    start = time.time()
+    affected, *_ = encoding.restore(part * (400_000 // len(part)))
+    assert affected and time.time() - start < 30
