@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,7 +96,27 @@ def strip_html_tags(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "sec_tables").filter("html is not null").select("table_uid", "html")).select("table_uid", F.md5(T.strip_tags("html")).alias("h"))
 
 
-@query()
+def _sql(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _decoded(src: str, key: str, col: str) -> str:
+    """CTEs that end in ``decoded`` (key, t): a text is cut at its ampersands, each part begins with what may be a reference. The
+    names come from the standard library's table of HTML 5."""
+    named = ", ".join(f"({_sql(n)}, {_sql(v)})" for n, v in html5.items())
+    old = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+    moved = " ".join(f"when {b} then {_sql(bytes([b]).decode('cp1252'))}" for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+    number = "case when num[2] in ('x', 'X') then try_cast('0x' || regexp_replace(num[3:], ';$', '') as bigint) else try_cast(regexp_replace(num[2:], ';$', '') as bigint) end"
+    sign = f"""case c {moved} when 0 then chr(65533) else case when c is null or c > 1114111 or c between 55296 and 57343 then chr(65533)
+      when c between 1 and 8 or c = 11 or c between 14 and 31 or c between 127 and 159 or c between 64976 and 65007 or c % 65536 in (65534, 65535) then '' else chr(cast(c as int)) end end"""
+    return f"""names as (select * from (values {named}) n(name, value)),
+parts as (select {key}, unnest(string_split({col}, '&')) as p, unnest(range(len(string_split({col}, '&')))) as i from {src} where {col} is not null),
+tokens as (select *, regexp_extract(p, '^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?)') as num, regexp_extract(p, '^[^\\t\\n\\f <&#;]{{1,32}};') as name, regexp_extract(p, '^(?:{old})') as old from parts),
+valued as (select t.{key}, t.i, t.p, t.num, t.name, t.old, n.value, o.value as old_value, {number} as c from tokens t left join names n on n.name = t.name left join names o on o.name = t.old),
+decoded as (select {key}, string_agg(case when i = 0 then p when num <> '' then {sign} || p[length(num) + 1 :] when value is not null then value || p[length(name) + 1 :] when old <> '' then old_value || p[length(old) + 1 :] else '&' || p end, '' order by i) as t from valued group by {key})"""
+
+
+@query(f"with {_decoded('sec_tables', 'table_uid', 'html')} select table_uid, t as decoded from decoded")
 def decode_html_entities(spark: SparkSession, d: str) -> DataFrame:
     """SC1 with the full table of names."""
     return table(spark, d, "sec_tables").filter("html is not null").select("table_uid", T.decode_entities("html").alias("decoded"))
@@ -188,6 +210,16 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_documents(spread(table(spark, d, "documents").filter("text is not null")), "doc_id", "text", metadata=("ticker", "filing_type", "accession_number", "year"))
 
 
+@query(f"select cast(doc_id as varchar) as doc_id, true as within_bytes, true as within_tokens from documents where text is not null and length({_strip('text')}) >= 50")
+def chunk_limits(spark: SparkSession, d: str) -> DataFrame:
+    """WN2, WN3: what holds for the chunks of every document: no more bytes than allowed unless it is one word, no more tokens
+    unless it is one sentence."""
+    c = chunking.chunk_documents(spread(table(spark, d, "documents").filter("text is not null")), "doc_id", "text", keep_bad=True)
+    one_word, one_sentence = ~F.col("text").rlike(rf"[^{S}][{S}]+[^{S}]"), F.size(T.sentences("text")) == 1
+    bytes_ok, tokens_ok = (T.byte_length("text") <= rules.MAX_CHUNK_BYTES) | one_word, (F.col("end_token") <= rules.CHUNK_TOKENS) | one_sentence
+    return c.groupBy("doc_id").agg(F.bool_and(bytes_ok).alias("within_bytes"), F.bool_and(tokens_ok).alias("within_tokens"))
+
+
 @query(rf"""
 with a as (select section_uid, regexp_replace(text, '(?i)(item\s+(?:1a|1b|7a|7|8|9|15))', chr(57344) || '\1', 'g') as t from sec_sections where text is not null),
 b as (select section_uid, unnest(string_split(t, chr(57344))) as block, unnest(range(0, len(string_split(t, chr(57344))))) as ord from a),
