@@ -126,10 +126,11 @@ _XB = "html"
 for _p in rules.XBRL_SPANS:
     _XB = f"regexp_replace({_XB}, '(?is){_p}', '', 'g')"
 _XB = rf"regexp_replace({_XB}, '<[^>]+\s+[^>]+>', '', 'g')"
+_XBL = f"array_to_string(list_filter(string_split({_XB}, chr(10)), lambda x: not (length(x) > 200 and (contains(x, 'http://') or contains(x, 'https://') or contains(lower(x), 'xbrl') or contains(lower(x), 'us-gaap') or regexp_matches(x, '[a-z]+:[A-Z][a-zA-Z]+')))), chr(10))"
 
 
 @query(
-    f"select table_uid, md5(array_to_string(list_filter(string_split({_XB}, chr(10)), lambda x: not (length(x) > 200 and (contains(x, 'http://') or contains(x, 'https://') or contains(lower(x), 'xbrl') or contains(lower(x), 'us-gaap') or regexp_matches(x, '[a-z]+:[A-Z][a-zA-Z]+')))), chr(10))) as h from sec_tables where html is not null"
+    f"select table_uid, md5({_XBL}) as h from sec_tables where html is not null"
 )
 def remove_xbrl(spark: SparkSession, d: str) -> DataFrame:
     """SC3."""
@@ -186,7 +187,23 @@ def main_content(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").filter("text is not null").select("doc_id", "text")).select("doc_id", F.md5(T.main_content("text")).alias("h"))
 
 
-@query()
+@query(rf"""
+with {_decoded('documents', 'doc_id', 'text')},
+a as (select doc_id, regexp_replace(t, '<[^>]+>', '', 'g') as html from decoded),
+b as (select doc_id, {_XBL} as text from a),
+l as (select doc_id, unnest(string_split(text, chr(10))) as x, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from b),
+c as (select *, regexp_matches({_strip('x')}, '^[A-Za-z0-9+/=]{{60,}}$') as code from l),
+g as (select *, i - row_number() over (partition by doc_id, code order by i) as run from c),
+n as (select *, count(*) over (partition by doc_id, code, run) as len from g),
+k as (select doc_id, string_agg(x, chr(10) order by i) as kept from n where not (code and len >= 3) group by doc_id),
+r as (select b.doc_id, coalesce(k.kept, '') as text from b left join k using (doc_id)),
+h as (select doc_id, array_to_string(list_filter(string_split({_HL}, chr(10)), lambda x: not {_HB}), chr(10)) as text from r),
+u as (select doc_id, text, string_split(text, chr(10)) as ls, list_transform(string_split(text, chr(10)), lambda x: upper({_strip('x')})) as us from h),
+p as (select *, coalesce(list_position(list_transform(us, lambda x: {_marks(rules.CONTENT_STARTS)}), true), 0) - 1 as s, coalesce(list_position(list_reverse(list_transform(us, lambda x: {_marks(rules.CONTENT_ENDS)})), true), 0) as r from u),
+q as (select *, case when r > 0 then len(ls) - r else len(ls) end as e from p),
+m as (select doc_id, case when s > 0 and s < e then array_to_string(ls[s + 1 : e], chr(10)) else text end as text from q),
+z as (select doc_id, trim(regexp_replace({_BP}, '[{S}]+', ' ', 'g')) as clean from m)
+select d.doc_id, z.clean from documents d left join z using (doc_id)""")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     """SC7: all steps in order."""
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.clean_text("text").alias("clean"))
