@@ -355,31 +355,61 @@ def elements(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "doc_id string, form string, pos int, kind string, text string").withColumn("is_title", F.col("kind") == "title")
 
 
-@query("select * from (values ('a', 1), ('a', 2), ('a', 3), ('a', 4), ('a', 5), ('a', 6), ('b', 0), ('b', 1), ('b', 2)) t(doc_id, pos)")
+_OUTLINE = f"""
+f as (select *, min(filing_type) filter (filing_type in ('10-K', '10-Q', '10-K/A', '10-Q/A')) over (partition by doc_id) as form from sec_chunks where doc_id is not null and section is not null and text is not null),
+e as (select doc_id, form, section, 'Item 1. ' || replace(lower(section), '_', ' ') as title, dense_rank() over (partition by doc_id order by section) as rs, row_number() over (partition by doc_id order by section, chunk_uid) as rc from f where form is not null),
+m as (select *, max(rs) over (partition by doc_id) as n from e),
+b as (select doc_id, section, title, rs, cast(n + 2 + rc + rs as int) as pos from m),
+hd as (select doc_id, section, any_value(title) as title, any_value(rs) as rs, min(pos) - 1 as pos from b group by doc_id, section)"""
+
+
+def _outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Elements of every filing as its chunks make it: a table of contents between two "Part I", then each section's title and
+    chunks. doc_id, form, pos, kind, text, is_title."""
+    c = table(spark, d, "sec_chunks").filter("doc_id is not null and section is not null and text is not null")
+    form = F.min(F.when(F.col("filing_type").isin(*rules.REPORT_FORMS), F.col("filing_type"))).over(Window.partitionBy("doc_id"))
+    by = Window.partitionBy("doc_id").orderBy("section")
+    e = c.withColumn("form", form).filter("form is not null").withColumn("rs", F.dense_rank().over(by)).withColumn("rc", F.row_number().over(by.orderBy("section", "chunk_uid")))
+    e = e.withColumn("n", F.max("rs").over(Window.partitionBy("doc_id"))).withColumn("pos", F.col("n") + 2 + F.col("rc") + F.col("rs"))
+    title = F.concat(F.lit("Item 1. "), F.replace(F.lower("section"), F.lit("_"), F.lit(" ")))
+    heads = e.groupBy("doc_id", "form", "section", "rs").agg(F.min("pos").alias("at")).withColumn("text", title)
+    docs = e.groupBy("doc_id", "form").agg(F.max("n").alias("n"))
+    row = lambda pos, kind, text: F.struct(pos.cast("int").alias("pos"), F.lit(kind).alias("kind"), text.alias("text"))
+    parts = F.array(row(F.lit(0), "text", F.lit("Part I")), row(F.col("n") + 1, "text", F.lit("x")), row(F.col("n") + 2, "text", F.lit("Part I")))
+    out = docs.select("doc_id", "form", F.inline(parts))
+    out = out.unionByName(heads.select("doc_id", "form", F.inline(F.array(row(F.col("rs"), "title", F.col("text")), row(F.col("at") - 1, "title", F.col("text"))))))
+    out = out.unionByName(e.select("doc_id", "form", F.col("pos").cast("int").alias("pos"), F.lit("narrative").alias("kind"), "text"))
+    return out.withColumn("is_title", F.col("kind") == "title")
+
+
+@query(f"with {_OUTLINE} select doc_id, cast(unnest(range(0, n + 1)) as int) as pos from (select doc_id, max(rs) as n from hd group by doc_id)")
 def toc_slice(spark: SparkSession, d: str) -> DataFrame:
-    """WN8 on hand-made documents (the tables hold no contents pages)."""
-    return sections.toc_slice(elements(spark)).select("doc_id", "pos")
+    """WN8 over every filing."""
+    return sections.toc_slice(_outlines(spark, d)).select("doc_id", "pos")
 
 
-@query("select * from (values ('a', 13), ('b', 6), ('c', 3), ('c', 4)) t(doc_id, pos)")
+@query(f"""with {_OUTLINE}, risk as (select doc_id, min(section) as section from b where (contains(lower(title), '1a') or contains(lower(title), 'risk factors')) and not contains(lower(title), 'summary') group by doc_id)
+select b.doc_id, b.pos from b join risk using (doc_id, section)""")
 def narrative_without_toc(spark: SparkSession, d: str) -> DataFrame:
-    """WN7, WN11."""
-    return sections.narrative_without_toc(elements(spark), sections.is_risk_title(F.col("text"), F.col("form"))).select("doc_id", "pos")
+    """WN7 over every filing."""
+    return sections.narrative_without_toc(_outlines(spark, d), sections.is_risk_title(F.col("text"), F.col("form"))).select("doc_id", "pos")
 
 
-@query("select * from (values ('a', 2, 9), ('a', 3, 12), ('a', 4, 14)) t(doc_id, toc_pos, start_pos)")
+@query(f"with {_OUTLINE} select a.doc_id, cast(a.rs as int) as toc_pos, max(o.pos) as start_pos from hd a join hd o on o.doc_id = a.doc_id and starts_with(o.title, a.title) group by a.doc_id, a.rs")
 def heading_positions(spark: SparkSession, d: str) -> DataFrame:
-    """JN8."""
-    e = elements(spark)
-    toc = sections.toc_slice(e).filter("doc_id = 'a' and kind = 'title' and pos < 5").select("doc_id", F.col("pos").alias("toc_pos"), F.col("text").alias("toc_text"))
+    """JN8 over every filing."""
+    e = _outlines(spark, d)
+    toc = sections.toc_slice(e).filter("kind = 'title'").select("doc_id", F.col("pos").alias("toc_pos"), F.col("text").alias("toc_text"))
     return sections.heading_positions(e, toc).select("doc_id", "toc_pos", "start_pos")
 
 
-@query("select * from (values ('a', 10), ('a', 11), ('c', 3), ('c', 4)) t(doc_id, pos)")
+@query(f"with {_OUTLINE} select doc_id, pos from b")
 def narrative_between(spark: SparkSession, d: str) -> DataFrame:
-    """WN11 with a known end and up to the next title."""
-    b = spark.createDataFrame([("a", 9, 12), ("c", 2, None)], "doc_id string, start_pos int, end_pos int")
-    return sections.narrative_between(elements(spark), b).select("doc_id", "pos")
+    """WN11 over every filing: between each title and the next, the last without a known end."""
+    e = _outlines(spark, d)
+    h = e.join(sections.toc_slice(e).select("doc_id", "pos"), ["doc_id", "pos"], "left_anti").filter("is_title")
+    bounds = h.select("doc_id", F.col("pos").alias("start_pos"), F.lead("pos").over(Window.partitionBy("doc_id").orderBy("pos")).alias("end_pos"))
+    return sections.narrative_between(e, bounds).select("doc_id", "pos")
 
 
 @query("""

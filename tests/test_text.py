@@ -240,3 +240,16 @@ def test_section_names(names, bad):
         return sections.validate_section_names(names)
     with pytest.raises(ValueError):
         sections.validate_section_names(names)
+
+
+def test_contents_and_narrative_of_hand_made_filings(spark):
+    from ledgerloom.plans.queries_text import elements
+
+    e = elements(spark)
+    at = lambda df, *cols: sorted(tuple(r[c] for c in cols) for r in df.collect())
+    assert at(sections.toc_slice(e), "doc_id", "pos") == [*(("a", i) for i in range(1, 7)), ("b", 0), ("b", 1), ("b", 2)]
+    assert at(sections.narrative_without_toc(e, sections.is_risk_title(F.col("text"), F.col("form"))), "doc_id", "pos") == [("a", 13), ("b", 6), ("c", 3), ("c", 4)]
+    toc = sections.toc_slice(e).filter("doc_id = 'a' and kind = 'title' and pos < 5").select("doc_id", F.col("pos").alias("toc_pos"), F.col("text").alias("toc_text"))
+    assert at(sections.heading_positions(e, toc), "doc_id", "toc_pos", "start_pos") == [("a", 2, 9), ("a", 3, 12), ("a", 4, 14)]
+    bounds = spark.createDataFrame([("a", 9, 12), ("c", 2, None)], "doc_id string, start_pos int, end_pos int")
+    assert at(sections.narrative_between(e, bounds), "doc_id", "pos") == [("a", 10), ("a", 11), ("c", 3), ("c", 4)]
