@@ -4,7 +4,7 @@ The canonical form keeps the lower-cased letters and digits of the text in order
 semicolons and vertical bars into two or more nonblank parts, each holding ``:`` or ``=``, is a record of fields: its
 parts are canonicalized one by one and sorted, so their order does not matter.
 
-Defined results: rows with a null scope or a text that is null or without letter or digit belong to no group and are left
+Defined results: rows with a null id or scope or a text that is null or without letter or digit belong to no group and are left
 out; ties are settled by the smallest id; a row that occurs twice with the same id counts as two copies; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -32,7 +32,7 @@ def canonical_text(text: Column) -> Column:
 
 def _hashed(df: DataFrame, id_col: str, text_col: str, scope: Column | None) -> DataFrame:
     body = canonical_text(F.col(text_col).cast("string"))
-    src = df.select(F.col(id_col).alias("id"), body.alias("body"), (scope if scope is not None else F.lit("")).alias("scope")).filter((F.col("body") != "") & F.col("scope").isNotNull())
+    src = df.select(F.col(id_col).alias("id"), body.alias("body"), (scope if scope is not None else F.lit("")).alias("scope")).filter((F.col("body") != "") & F.col("scope").isNotNull() & F.col("id").isNotNull())
     whole = F.concat_ws("\u0000", "scope", "body")
     return src.select("id", F.unhex(F.md5(whole)).alias("h"), F.xxhash64(whole, F.length("body")).alias("h2"))
 

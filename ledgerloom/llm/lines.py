@@ -4,7 +4,8 @@ Nodes are (source, line) with the number of records that hold the line; edges jo
 record, weighted by the number of records. Nodes and edges of high support stay; connected components of what stays are the
 boilerplate blocks; every occurrence of a line of a block is deleted.
 
-Defined results: sources and texts that are null take no part and such texts come out unchanged; empty lines are no
+Defined results: records whose source or text is null take no part and their texts come out unchanged; records without an id
+are not counted, but lose the lines that others repeat; empty lines are no
 nodes; a line twice in one record counts once; rows that share an id count as so many records; an empty table gives empty results.
 """
 
@@ -45,7 +46,7 @@ def _hash(source: Column, line: Column) -> Column:
 def _lines(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     """id, source, lines: the normal, nonempty lines of each record in order."""
     base = df.select(F.col(id_col).alias("id"), normal_source(F.col(source_col)).alias("source"), F.col(text_col).cast("string").alias("text"))
-    base = base.filter("source is not null and text is not null")
+    base = base.filter("id is not null and source is not null and text is not null")
     return base.select("id", "source", F.filter(normal_lines(F.col("text")), lambda x: x != "").alias("lines"))
 
 

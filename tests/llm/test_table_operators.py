@@ -242,3 +242,13 @@ def test_small_blocks_and_hubs_lose_little(spark, cloud):
     df = spark.createDataFrame([(f"c{i:04d}", [float(v) for v in x]) for i, x in enumerate(cloud)], "id string, vec array<float>")
     made = [{(r.id, r.neighbour) for r in neighbours.NeighbourGraph(df, "id", "vec", leaf=40, **k).neighbours().collect()} for k in ({}, {"block": 16, "hub": 64})]
     assert len(made[0]) == len(made[1]) == 5 * 1080 and len(made[0] & made[1]) >= 0.95 * len(made[0])
+
+
+def test_records_without_id(spark):
+    rows = [(None if i % 3 == 0 else i, f"Legal notice\nbody {i}", "zz") for i in range(18)] + [(None, "only here\nx", "yy")] * 12
+    df = spark.createDataFrame(rows, "uid bigint, text string, ticker string")
+    assert {(r.source, r.line, r.support) for r in lines.line_blocks(df, "uid", "ticker", "text").collect()} == {("ZZ", "legal notice", 12)}
+    out = lines.without_repeated_lines(df, "uid", "ticker", "text")
+    assert out.count() == 30 and out.filter("n_removed = 1").count() == 18 and out.filter("text = 'only here\nx'").count() == 12
+    same = spark.createDataFrame([(None, "a", "s"), (None, "a", "s"), (2, "A", "s"), (3, "a.", "s")], "uid bigint, text string, scope string")
+    assert [tuple(r) for r in copies.copy_pairs(same, "uid", "text", F.col("scope")).collect()] == [(2, 3)]
